@@ -66,15 +66,20 @@ def safe_double(text: ColumnOrName) -> Column:
 
 
 def contains_any_ci(c: ColumnOrName, needles: Iterable[str]) -> Column:
-    """True when ``c`` contains any needle, ignoring case; NULL input gives NULL (dropped)."""
-    lowered = F.lower(_col(c))
-    conds = [lowered.contains(n.lower()) for n in needles]
-    if not conds:
+    """True when ``c`` contains any needle, ignoring case; NULL input gives NULL (dropped).
+
+    One regular expression of quoted literals over one ``lower(c)``: the input is
+    evaluated once per row, which matters when it is a JSON leaf (an OR of
+    ``contains`` terms would re-evaluate the leaf per needle after predicate pushdown).
+    """
+    quoted = []
+    for n in needles:
+        if "\\E" in n:
+            raise ValueError(f"needle {n!r} contains the regex quote terminator")
+        quoted.append("\\Q" + n.lower() + "\\E")
+    if not quoted:
         raise ValueError("needles must not be empty")
-    out = conds[0]
-    for cond in conds[1:]:
-        out = out | cond
-    return out
+    return F.lower(_col(c)).rlike("|".join(quoted))
 
 
 def status_label(flag: ColumnOrName) -> Column:

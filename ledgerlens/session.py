@@ -32,6 +32,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
+        # Let HotSpot JIT-compile generated stage methods above 8000 bytes of bytecode
+        # (wide report stages otherwise run in the bytecode interpreter).
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+        .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)

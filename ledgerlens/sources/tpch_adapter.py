@@ -21,11 +21,13 @@ are restated, independently and without JSON, in the DuckDB oracle
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import ROUTER_ADDRESSES
-from .tables import Inputs, from_frames
+from .tables import LEDGER_TX_COLUMNS, Inputs, _require, from_frames, normalize_flag
 
 # Design values of this adapter (chain and token names are invented test labels).
 TRANSFER_SOURCE_CHAINS = ("Ethereum", "ethereum", "Polygon", "Arbitrum", "AVALANCHE", "binance")
@@ -96,7 +98,9 @@ def token_transfers_from_lineitem(lineitem: DataFrame) -> DataFrame:
     ok, ln, pk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     qty = F.col("l_quantity").cast("double")
     flag, lstatus = F.col("l_returnflag"), F.col("l_linestatus")
-    price = F.sqrt(pk.cast("double") + F.lit(1.0)) / F.lit(4.0)
+    # Dyadic prices (multiples of 1/64): integer amount x price and sums of such
+    # products are exact in binary floating point, whatever the summation order.
+    price = F.floor(F.sqrt(pk.cast("double") + F.lit(1.0)) * F.lit(16.0)).cast("double") / F.lit(64.0)
 
     amount = (
         F.when(ln <= 3, _num(qty))
@@ -223,15 +227,60 @@ def bridge_events_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The four dashboard inputs derived from ``{sf_dir}/{events,lineitem,orders}.parquet``."""
-    sf_dir = sf_dir.rstrip("/")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return from_frames(
-        ledger_tx_from_events(events),
-        token_transfers_from_lineitem(lineitem),
-        contract_calls_from_orders(orders),
-        bridge_events_from_orders(orders),
-    )
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that yields fewer partitions than the cluster runs tasks.
+
+    A file written as one Parquet row group is read by one task, which would leave
+    all per-row work (JSON building and parsing) on one core. Only then are its
+    rows dealt round-robin over ``defaultParallelism`` partitions; a large table
+    already scans in many splits and is left alone (no extra shuffle). Filters and
+    column pruning still reach the scan below the repartition.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+class TestTableInputs:
+    """The four dashboard inputs derived from ``{sf_dir}/{events,lineitem,orders}.parquet``.
+
+    Each input is built on first use, so a report reads only the table it needs.
+    Attribute names match :class:`ledgerlens.sources.Inputs`.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark = spark
+        self._dir = sf_dir.rstrip("/")
+
+    def _table(self, name: str) -> DataFrame:
+        return spread(self._spark.read.parquet(f"{self._dir}/{name}.parquet"))
+
+    @cached_property
+    def ledger_tx(self) -> DataFrame:
+        return normalize_flag(_require(ledger_tx_from_events(self._table("events")), "ledger_tx", LEDGER_TX_COLUMNS))
+
+    @cached_property
+    def token_transfers(self) -> DataFrame:
+        return token_transfers_from_lineitem(self._table("lineitem"))
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._table("orders")
+
+    @cached_property
+    def contract_calls(self) -> DataFrame:
+        return contract_calls_from_orders(self.orders)
+
+    @cached_property
+    def bridge_events(self) -> DataFrame:
+        return bridge_events_from_orders(self.orders)
+
+    def materialize(self) -> Inputs:
+        """All four inputs as a plain :class:`Inputs`."""
+        return from_frames(self.ledger_tx, self.token_transfers, self.contract_calls, self.bridge_events)
+
+
+def load_inputs(spark: SparkSession, sf_dir: str) -> TestTableInputs:
+    """The four dashboard inputs derived from the test tables under ``sf_dir`` (lazily)."""
+    return TestTableInputs(spark, sf_dir)
