@@ -1,6 +1,6 @@
 """Input tables: readers for the four dashboard sources and the test-table adapter."""
 
 from .tables import Inputs, from_frames, from_parquet, from_tables, normalize_flag
-from .tpch_adapter import load_inputs
+from .tpch_adapter import load_inputs, stage_inputs
 
-__all__ = ["Inputs", "from_frames", "from_parquet", "from_tables", "load_inputs", "normalize_flag"]
+__all__ = ["Inputs", "from_frames", "from_parquet", "from_tables", "load_inputs", "normalize_flag", "stage_inputs"]

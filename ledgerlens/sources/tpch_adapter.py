@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import ROUTER_ADDRESSES
-from .tables import LEDGER_TX_COLUMNS, Inputs, _require, from_frames, normalize_flag
+from .tables import LEDGER_TX_COLUMNS, Inputs, _require, from_frames, from_parquet, normalize_flag
 
 # Design values of this adapter (chain and token names are invented test labels).
 TRANSFER_SOURCE_CHAINS = ("Ethereum", "ethereum", "Polygon", "Arbitrum", "AVALANCHE", "binance")
@@ -216,7 +216,8 @@ def contract_calls_from_orders(orders: DataFrame) -> DataFrame:
 def bridge_events_from_orders(orders: DataFrame) -> DataFrame:
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     return orders.select(
-        F.timestamp_add("HOUR", F.pmod(ok, F.lit(24)).cast("int"), F.col("o_orderdate")).alias("block_timestamp"),
+        # A stored column, so the report's date range reaches the orders scan.
+        F.col("o_orderdate").alias("block_timestamp"),
         F.concat(F.lit("0x"), ok.cast("string")).alias("tx_hash"),
         _pick(BRIDGE_SOURCE_CHAINS, ck).alias("source_chain"),
         _pick(BRIDGE_DEST_CHAINS, ok).alias("destination_chain"),
@@ -284,3 +285,18 @@ class TestTableInputs:
 def load_inputs(spark: SparkSession, sf_dir: str) -> TestTableInputs:
     """The four dashboard inputs derived from the test tables under ``sf_dir`` (lazily)."""
     return TestTableInputs(spark, sf_dir)
+
+
+def stage_inputs(spark: SparkSession, sf_dir: str, out_dir: str) -> Inputs:
+    """Write the four derived inputs once as Parquet under ``out_dir`` and read them back.
+
+    This is how the inputs exist in production (stored tables with JSON text in
+    ``data``); reports over the staged copy measure report work only. ``out_dir``
+    must be on storage shared by the cluster (for example below
+    ``spark.checkpoint.dir``).
+    """
+    src = load_inputs(spark, sf_dir)
+    out_dir = out_dir.rstrip("/")
+    for name in ("ledger_tx", "token_transfers", "contract_calls", "bridge_events"):
+        getattr(src, name).write.mode("overwrite").parquet(f"{out_dir}/{name}")
+    return from_parquet(spark, out_dir)

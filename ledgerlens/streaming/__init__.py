@@ -1,0 +1,17 @@
+"""Structured Streaming ingest of routed transfers into a date-partitioned table."""
+
+from .ingest import (
+    CONTRACT_CALL_SCHEMA,
+    TOKEN_TRANSFER_SCHEMA,
+    normalize_routed,
+    read_unified,
+    start_routed_ingest,
+)
+
+__all__ = [
+    "CONTRACT_CALL_SCHEMA",
+    "TOKEN_TRANSFER_SCHEMA",
+    "normalize_routed",
+    "read_unified",
+    "start_routed_ingest",
+]

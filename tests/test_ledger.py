@@ -1,0 +1,114 @@
+"""Ledger reports on hand-made edge rows."""
+
+from __future__ import annotations
+
+from conftest import ts
+
+from ledgerlens.plans import ledger
+from ledgerlens.sources import normalize_flag
+
+SCHEMA = "tx_id string, tx_from string, tx_succeeded boolean, block_timestamp timestamp_ntz"
+S, E = "2025-01-01", "2025-01-31"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(a, b, c, ts(t)) for a, b, c, t in rows], SCHEMA)
+
+
+def test_null_flag_dropped_from_kpis_but_failed_in_status(spark):
+    df = frame(
+        spark,
+        [
+            ("t1", "u1", True, "2025-01-02 10:00:00"),
+            ("t2", "u2", None, "2025-01-02 11:00:00"),
+            ("t3", "u2", False, "2025-01-03 11:00:00"),
+        ],
+    )
+    k = ledger.ledger_kpis(df, S, E).collect()[0]
+    assert (k.txn_count, k.user_count, k.txn_per_user) == (1, 1, 1.0)
+    totals = {r.status: r.txn_count for r in ledger.ledger_status_totals(df, S, E).collect()}
+    assert totals == {"Succeeded": 1, "Failed": 2}
+    users = ledger.ledger_users_over_time(df, S, E, "week").collect()
+    assert [(r.bucket, r.user_count) for r in users] == [(ts("2024-12-30 00:00:00"), 1)]
+
+
+def test_same_tx_in_both_statuses_counts_in_each_and_repeats_once(spark):
+    df = frame(
+        spark,
+        [
+            ("t1", "u1", True, "2025-01-02 10:00:00"),
+            ("t1", "u1", False, "2025-01-02 10:05:00"),
+            ("t2", "u1", True, "2025-01-02 10:06:00"),
+            ("t2", "u1", True, "2025-01-02 10:07:00"),
+        ],
+    )
+    totals = {r.status: r.txn_count for r in ledger.ledger_status_totals(df, S, E).collect()}
+    assert totals == {"Succeeded": 2, "Failed": 1}
+    assert ledger.ledger_kpis(df, S, E).collect()[0].txn_count == 2
+
+
+def test_range_ends_and_week_edges(spark):
+    df = frame(
+        spark,
+        [
+            ("a", "u1", True, "2025-01-01 00:00:00"),
+            ("b", "u1", True, "2025-01-05 23:59:59"),  # Sunday
+            ("c", "u2", True, "2025-01-06 00:00:00"),  # Monday
+            ("d", "u2", True, "2025-01-31 23:59:59.999999"),
+            ("e", "u3", True, "2025-02-01 00:00:00"),  # day after the end
+            ("f", "u3", True, "2024-12-31 23:59:59"),  # day before the start
+        ],
+    )
+    rows = ledger.ledger_status_over_time(df, S, E, "week").collect()
+    assert [(r.bucket, r.status, r.txn_count) for r in rows] == [
+        (ts("2024-12-30 00:00:00"), "Succeeded", 2),
+        (ts("2025-01-06 00:00:00"), "Succeeded", 1),
+        (ts("2025-01-27 00:00:00"), "Succeeded", 1),
+    ]
+    assert ledger.ledger_kpis(df, S, E).collect()[0].txn_count == 4
+
+
+def test_rounding_and_no_users(spark):
+    rows = [(f"t{i}", f"u{i % 2}", True, "2025-01-02 10:00:00") for i in range(5)]
+    k = ledger.ledger_kpis(frame(spark, rows), S, E).collect()[0]
+    assert (k.txn_count, k.user_count, k.txn_per_user) == (5, 2, 3.0)  # 2.5 rounds up
+    none = [(f"t{i}", None, True, "2025-01-02 10:00:00") for i in range(3)]
+    k = ledger.ledger_kpis(frame(spark, none), S, E).collect()[0]
+    assert (k.txn_count, k.user_count, k.txn_per_user) == (3, 0, None)
+    u = ledger.ledger_users_over_time(frame(spark, none), S, E, "day").collect()
+    assert [(r.user_count, r.txn_per_user) for r in u] == [(0, None)]
+
+
+def test_empty_range(spark):
+    df = frame(spark, [("t1", "u1", True, "2025-01-02 10:00:00")])
+    k = ledger.ledger_kpis(df, E, S).collect()
+    assert [(r.txn_count, r.user_count, r.txn_per_user) for r in k] == [(0, 0, None)]
+    assert ledger.ledger_status_over_time(df, E, S).count() == 0
+    assert ledger.ledger_status_totals(df, E, S).count() == 0
+
+
+def test_shares(spark):
+    df = frame(
+        spark,
+        [
+            ("a", "u", True, "2025-01-02 10:00:00"),
+            ("b", "u", True, "2025-01-02 10:00:00"),
+            ("c", "u", True, "2025-01-02 10:00:00"),
+            ("d", "u", False, "2025-01-03 10:00:00"),
+            ("e", "u", True, "2025-01-13 10:00:00"),
+        ],
+    )
+    shares = ledger.ledger_status_share_over_time(df, S, E, "week").collect()
+    assert [(r.bucket, r.status, r.share) for r in shares] == [
+        (ts("2024-12-30 00:00:00"), "Failed", 0.25),
+        (ts("2024-12-30 00:00:00"), "Succeeded", 0.75),
+        (ts("2025-01-13 00:00:00"), "Succeeded", 1.0),
+    ]
+    total = {r.status: r.share for r in ledger.ledger_status_total_share(df, S, E).collect()}
+    assert total == {"Failed": 0.2, "Succeeded": 0.8}
+
+
+def test_text_flag_normalised(spark):
+    df = spark.createDataFrame([("TRUE",), ("true",), ("FALSE",), (None,)], "tx_succeeded string")
+    got = [r.tx_succeeded for r in normalize_flag(df).collect()]
+    assert got == [True, False, False, None]

@@ -1,0 +1,129 @@
+"""Routed-transfer dataset and reports on hand-made JSON rows."""
+
+from __future__ import annotations
+
+import json
+
+from conftest import ts
+from pyspark.sql import functions as F
+
+from ledgerlens.operators import unified_transfers
+from ledgerlens.params import ROUTER_ADDRESSES as A
+from ledgerlens.plans import routed
+
+TT = "id string, created_at timestamp_ntz, status string, simplified_status string, sender_address string, recipient_address string, data string"
+CC = "id string, created_at timestamp_ntz, status string, simplified_status string, data string"
+S, E = "2025-01-01", "2025-01-31"
+
+
+def tdoc(src=None, dst=None, amount=None, price=None, fee=None, asset=None, missing=()):
+    send = {"original_source_chain": src, "original_destination_chain": dst, "amount": amount, "fee_value": fee}
+    link = {"price": price, "asset": asset}
+    for k in missing:
+        send.pop(k, None)
+        link.pop(k, None)
+    return json.dumps({"send": send, "link": link})
+
+
+def cdoc(chain, dest, user, value=None, amount=None, gas=None, usd=None, express=None, address=None, symbol="tok"):
+    doc = {
+        "call": {"chain": chain, "returnValues": {"destinationChain": dest}, "transaction": {"from": user}},
+        "amount": amount,
+        "value": value,
+        "symbol": symbol,
+        "gas": {} if gas is None else {"gas_used_amount": gas},
+        "gas_price_rate": {"source_token": {"token_price": {} if usd is None else {"usd": usd}}},
+        "fees": {} if express is None else {"express_fee_usd": express},
+        "approved": {"returnValues": {} if address is None else {"contractAddress": address}},
+    }
+    if value is None:
+        doc.pop("value")
+    return json.dumps(doc)
+
+
+def fixture(spark):
+    ok = ("executed", "received")
+    tt = [
+        ("h1_1", "2025-01-02 01:00:00", *ok, A[0].upper(), "r1", tdoc("Ethereum", "Osmosis", "12.5", 2, 1, "usdc")),
+        ("h2_1", "2025-01-03 01:00:00", *ok, "x" + A[1] + "y", "r2", tdoc("ethereum", "osmosis", 10, "3")),
+        ("h3_1", "2025-01-03 02:00:00", *ok, A[2], "r1", tdoc("Polygon", "kava", 5, missing=("price",))),
+        ("h4_1", "2025-01-03 03:00:00", "executed", "sent", A[0], "r9", tdoc("x", "y", 1, 1)),
+        ("h5_1", "2025-01-03 03:00:00", "Executed", "received", A[0], "r9", tdoc("x", "y", 1, 1)),
+        ("h6_1", "2025-01-03 03:00:00", *ok, None, "r9", tdoc("x", "y", 1, 1)),
+        ("h7_1", "2025-01-03 03:00:00", *ok, "0xother", "r9", tdoc("x", "y", 1, 1)),
+        ("h8_1", "2025-01-04 03:00:00", *ok, A[3], "r3", "{bad"),
+        ("h9_1", "2025-01-04 04:00:00", *ok, A[4], "r4", tdoc("Ethereum", "osmosis", [1], 2)),
+        ("h10_1", "2025-02-01 00:00:00", *ok, A[0], "r5", tdoc("Ethereum", "osmosis", 1, 1)),
+    ]
+    cc = [
+        ("h1_1", "2025-01-02 05:00:00", *ok, cdoc("Ethereum", "osmosis", "w1", 100, 1, 2, 3, 9, A[4])),
+        ("c2", "2025-01-10 05:00:00", *ok, cdoc("Polygon", "Kava", "w2", "50", None, None, 3, 9, A[0].lower())),
+        ("c3", "2025-01-10 06:00:00", *ok, cdoc("Polygon", "Kava", "w3", {"a": 1}, None, [2], 3, 9, A[1])),
+        ("c4", "2025-01-11 06:00:00", *ok, cdoc("AVAX", "kava", None, "0.4", None, None, None, None, A[2])),
+        ("c5", "2025-01-11 06:00:00", *ok, "{bad"),
+        ("c6", "2025-01-11 06:00:00", *ok, cdoc("AVAX", "kava", "w6", 1, None, None, None, None, "0xother")),
+        ("c7", "2025-01-11 06:00:00", *ok, cdoc("AVAX", "kava", "w7", 1)),
+    ]
+    tdf = spark.createDataFrame([(r[0], ts(r[1]), *r[2:]) for r in tt], TT)
+    cdf = spark.createDataFrame([(r[0], ts(r[1]), *r[2:]) for r in cc], CC)
+    return unified_transfers(tdf, cdf)
+
+
+def test_unified_rows(spark):
+    rows = {(r.service, r.id): r for r in fixture(spark).collect()}
+    assert set(rows) == {
+        ("Token Transfers", i) for i in ["h1_1", "h2_1", "h3_1", "h8_1", "h9_1", "h10_1"]
+    } | {("GMP", i) for i in ["h1_1", "c2", "c3", "c4"]}
+    t1 = rows[("Token Transfers", "h1_1")]
+    assert (t1.source_chain, t1.destination_chain, t1.amount, t1.amount_usd, t1.fee, t1.raw_asset, t1.user_address) == (
+        "ethereum",
+        "osmosis",
+        12.5,
+        25.0,
+        1.0,
+        "usdc",
+        "r1",
+    )
+    assert rows[("Token Transfers", "h3_1")].amount_usd is None  # price missing
+    assert rows[("Token Transfers", "h9_1")].amount is None  # array amount
+    bad = rows[("Token Transfers", "h8_1")]
+    assert (bad.source_chain, bad.amount, bad.amount_usd) == (None, None, None)
+    # fee: gas x price, else express fee (array gas -> express), else NULL
+    assert rows[("GMP", "h1_1")].fee == 6.0
+    assert rows[("GMP", "c2")].fee == 9.0
+    assert rows[("GMP", "c3")].fee == 9.0
+    assert rows[("GMP", "c4")].fee is None
+    assert rows[("GMP", "c3")].amount_usd is None  # object value
+    assert rows[("GMP", "c2")].source_chain == "polygon"
+
+
+def test_routed_kpis(spark):
+    k = routed.routed_kpis(fixture(spark), S, E).collect()[0]
+    # h1_1 appears in both services and counts once; h10_1 is after the range
+    assert (k.txn_count, k.user_count, k.volume_usd) == (8, 7, 205.0)
+
+
+def test_routed_over_time(spark):
+    rows = routed.routed_over_time(fixture(spark), S, E, "week").collect()
+    assert [(r.bucket, r.txn_count, r.user_count, r.volume_usd) for r in rows] == [
+        (ts("2024-12-30 00:00:00"), 5, 5, 155.0),
+        (ts("2025-01-06 00:00:00"), 3, 2, 50.0),
+    ]
+
+
+def test_routed_route_totals_order_and_case(spark):
+    rows = routed.routed_route_totals(fixture(spark), S, E).collect()
+    assert [(r.source_chain, r.destination_chain, r.volume_usd, r.txn_count) for r in rows] == [
+        ("ethereum", "osmosis", 155.0, 2),
+        ("polygon", "kava", 50.0, 1),
+        ("avax", "kava", 0.0, 1),
+    ]
+
+
+def test_route_order_volume_first(spark):
+    df = spark.createDataFrame(
+        [("a", "b", "1", 9.0), ("c", "d", "2", 2.5), ("c", "d", "3", 2.5)],
+        "source_chain string, destination_chain string, id string, amount_usd double",
+    ).withColumn("created_at", F.lit(ts("2025-01-02 00:00:00")).cast("timestamp_ntz"))
+    rows = routed.routed_route_totals(df, S, E).collect()
+    assert [(r.source_chain, r.volume_usd, r.txn_count) for r in rows] == [("a", 9.0, 1), ("c", 5.0, 2)]
