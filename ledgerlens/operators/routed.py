@@ -111,15 +111,12 @@ def contract_call_rows(
 ) -> DataFrame:
     """Contract-call branch of the unified dataset.
 
-    The JSON document is parsed once into a struct column; the router-address test
-    and every output leaf read fields of that one struct.
+    Leaves are referenced directly, so Catalyst keeps only those a report reads:
+    a pruned ``from_json`` schema for JSON text (common subexpressions are parsed
+    once per row in the projection), or pruned shredded columns for VARIANT.
     """
-    leaf = json_leaves(contract_calls, "data", CONTRACT_CALL_PATHS)
-    parsed = contract_calls.where(finished()).select(
-        "created_at", "id", F.struct(*[c.alias(k) for k, c in leaf.items()]).alias("j")
-    )
-    j = {k: F.col("j").getField(k) for k in CONTRACT_CALL_PATHS}
-    kept = parsed.where(contains_any_ci(j["contract_address"], addresses))
+    j = json_leaves(contract_calls, "data", CONTRACT_CALL_PATHS)
+    kept = contract_calls.where(finished() & contains_any_ci(j["contract_address"], addresses))
     return kept.select(
         "created_at",
         F.lower(j["source_chain"]).alias("source_chain"),

@@ -237,10 +237,12 @@ def spread(df: DataFrame) -> DataFrame:
     already scans in many splits and is left alone (no extra shuffle). Filters and
     column pruning still reach the scan below the repartition.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()  # plans the scan; runs no job
+    except Exception:  # no RDD access (e.g. Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 class TestTableInputs:
@@ -287,16 +289,23 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> TestTableInputs:
     return TestTableInputs(spark, sf_dir)
 
 
-def stage_inputs(spark: SparkSession, sf_dir: str, out_dir: str) -> Inputs:
+def stage_inputs(spark: SparkSession, sf_dir: str, out_dir: str, data_type: str = "variant") -> Inputs:
     """Write the four derived inputs once as Parquet under ``out_dir`` and read them back.
 
-    This is how the inputs exist in production (stored tables with JSON text in
-    ``data``); reports over the staged copy measure report work only. ``out_dir``
-    must be on storage shared by the cluster (for example below
-    ``spark.checkpoint.dir``).
+    This is how the inputs exist in production: stored tables whose ``data`` payload
+    is a VARIANT (``data_type="variant"``, parsed once here with ``try_parse_json``;
+    malformed text becomes NULL, like a failed parse) or JSON text
+    (``data_type="string"``). Spark writes VARIANT shredded, and reports then read
+    only the shredded leaves they use. ``out_dir`` must be on storage shared by the
+    cluster (for example below ``spark.checkpoint.dir``).
     """
+    if data_type not in ("variant", "string"):
+        raise ValueError(f"data_type must be 'variant' or 'string', not {data_type!r}")
     src = load_inputs(spark, sf_dir)
     out_dir = out_dir.rstrip("/")
     for name in ("ledger_tx", "token_transfers", "contract_calls", "bridge_events"):
-        getattr(src, name).write.mode("overwrite").parquet(f"{out_dir}/{name}")
+        df = getattr(src, name)
+        if data_type == "variant" and "data" in df.columns:
+            df = df.withColumn("data", F.try_parse_json("data"))
+        df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
     return from_parquet(spark, out_dir)
