@@ -35,17 +35,21 @@ def in_date_range(ts: ColumnOrName, start: date | str, end: date | str) -> Colum
     return (c >= F.lit(lo).cast("timestamp_ntz")) & (c < F.lit(hi).cast("timestamp_ntz"))
 
 
-def time_bucket(ts: ColumnOrName, grain: str) -> Column:
-    """Start of the day / week (Monday) / month holding ``ts``, as ``timestamp_ntz``."""
-    return F.date_trunc(check_grain(grain), _col(ts)).cast("timestamp_ntz")
-
-
 def date_bucket(d: ColumnOrName, grain: str) -> Column:
     """Start of the day / week (Monday) / month holding date ``d``, as a ``date``.
 
-    ``trunc(d, 'day')`` is NULL in Spark, so ``date_trunc`` is used for every grain.
+    Pure date arithmetic (``trunc`` for week and month, the date itself for day;
+    ``trunc(d, 'day')`` would be NULL), so no session time zone is involved.
     """
-    return F.date_trunc(check_grain(grain), _col(d)).cast("date")
+    g = check_grain(grain)
+    c = _col(d).cast("date")
+    return c if g == "day" else F.trunc(c, g)
+
+
+def time_bucket(ts: ColumnOrName, grain: str) -> Column:
+    """Start of the day / week (Monday) / month holding timestamp ``ts``, as
+    ``timestamp_ntz`` (midnight of the bucket's first day)."""
+    return date_bucket(F.to_date(_col(ts)), grain).cast("timestamp_ntz")
 
 
 def safe_double(text: ColumnOrName) -> Column:

@@ -24,6 +24,15 @@ _RANGE = "{col} >= CAST(:range_start AS TIMESTAMP_NTZ) AND {col} < CAST(date_add
 _SUCCEEDED_LABEL = "CASE WHEN tx_succeeded THEN 'Succeeded' ELSE 'Failed' END"
 
 
+def _date_bucket(date_expr: str) -> str:
+    """First day of the :grain bucket of a DATE expression (date arithmetic only)."""
+    return f"CASE WHEN :grain = 'day' THEN {date_expr} ELSE trunc({date_expr}, :grain) END"
+
+
+def _time_bucket(col: str) -> str:
+    return f"CAST({_date_bucket(f'to_date({col})')} AS TIMESTAMP_NTZ)"
+
+
 def _bridge(select_from_overview: str) -> str:
     return f"""
 WITH events AS (
@@ -48,7 +57,7 @@ SELECT count(DISTINCT tx_id) AS txn_count,
 FROM ledger_tx
 WHERE tx_succeeded AND {_RANGE.format(col="block_timestamp")}""",
     "ledger_status_over_time": f"""
-SELECT CAST(date_trunc(:grain, block_timestamp) AS TIMESTAMP_NTZ) AS bucket,
+SELECT {_time_bucket("block_timestamp")} AS bucket,
        count(DISTINCT tx_id) AS txn_count,
        {_SUCCEEDED_LABEL} AS status
 FROM ledger_tx
@@ -56,7 +65,7 @@ WHERE {_RANGE.format(col="block_timestamp")}
 GROUP BY 1, 3
 ORDER BY 1 ASC NULLS LAST, 3""",
     "ledger_users_over_time": f"""
-SELECT CAST(date_trunc(:grain, block_timestamp) AS TIMESTAMP_NTZ) AS bucket,
+SELECT {_time_bucket("block_timestamp")} AS bucket,
        count(DISTINCT tx_from) AS user_count,
        round(try_divide(count(DISTINCT tx_id), count(DISTINCT tx_from))) AS txn_per_user
 FROM ledger_tx
@@ -75,7 +84,7 @@ SELECT count(DISTINCT id) AS txn_count,
 FROM routed_transfers
 WHERE {_RANGE.format(col="created_at")}""",
     "routed_over_time": f"""
-SELECT CAST(date_trunc(:grain, created_at) AS TIMESTAMP_NTZ) AS bucket,
+SELECT {_time_bucket("created_at")} AS bucket,
        count(DISTINCT id) AS txn_count,
        count(DISTINCT user_address) AS user_count,
        round(sum(amount_usd)) AS volume_usd
@@ -97,7 +106,7 @@ ORDER BY 3 DESC, 4 ASC, 1 ASC NULLS LAST, 2 ASC NULLS LAST""",
 FROM overview"""
     ),
     "bridge_over_time": _bridge(
-        """SELECT CAST(date_trunc(:grain, event_date) AS DATE) AS bucket,
+        f"""SELECT {_date_bucket("event_date")} AS bucket,
        count(DISTINCT tx_hash) AS txn_count, count(DISTINCT sender) AS user_count,
        round(sum(amount_usd)) AS volume_usd
 FROM overview
