@@ -9,9 +9,10 @@ every report reads them. Everything stays lazy until the caller acts.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from ..functions import in_date_range
 from ..operators import keep, priced_bridge_events, unified_transfers
@@ -91,6 +92,25 @@ class Dashboard:
     def reports(self) -> dict[str, DataFrame]:
         return {name: self.report(name) for name in REPORT_NAMES}
 
+    def run_all(self, max_concurrent: int = 4, names: tuple[str, ...] = REPORT_NAMES) -> dict[str, list[Row]]:
+        """Run reports as concurrent Spark jobs and return their rows.
+
+        Report results are small (one row, one per bucket or one per route), so they
+        are what the dashboard shows. Submitting the jobs together lets the
+        scheduler fill idle executor slots with the next report's tasks while one
+        report waits on a shuffle. Kept intermediates are materialised first, so
+        concurrent reports share them instead of each computing them.
+        """
+        if self.reuse == "persist":
+            if any(n.startswith("routed") for n in names):
+                self.unified.count()
+            if any(n.startswith("bridge") for n in names):
+                self.priced.count()
+        frames = {name: self.report(name) for name in names}
+        with ThreadPoolExecutor(max_workers=max(1, max_concurrent)) as pool:
+            futures = {name: pool.submit(df.collect) for name, df in frames.items()}
+            return {name: f.result() for name, f in futures.items()}
+
     def release(self) -> None:
         """Drop kept intermediates (no-op when nothing was persisted)."""
         for df in (self._unified, self._priced):
