@@ -36,10 +36,8 @@ def ledger_kpis(ledger_tx: DataFrame, start: date | str, end: date | str) -> Dat
     )
 
 
-def ledger_status_over_time(
-    ledger_tx: DataFrame, start: date | str, end: date | str, grain: str = "week"
-) -> DataFrame:
-    """Distinct transactions per time bucket and status ('Succeeded' / 'Failed')."""
+def _status_counts(ledger_tx: DataFrame, start: date | str, end: date | str, grain: str) -> DataFrame:
+    """Distinct transactions per (bucket, status), unordered."""
     return (
         _in_range(ledger_tx, start, end)
         .select(
@@ -49,6 +47,15 @@ def ledger_status_over_time(
         )
         .groupBy("bucket", "status")
         .agg(F.count_distinct("tx_id").alias("txn_count"))
+    )
+
+
+def ledger_status_over_time(
+    ledger_tx: DataFrame, start: date | str, end: date | str, grain: str = "week"
+) -> DataFrame:
+    """Distinct transactions per time bucket and status ('Succeeded' / 'Failed')."""
+    return (
+        _status_counts(ledger_tx, start, end, grain)
         .select("bucket", "txn_count", "status")
         .orderBy(F.col("bucket").asc_nulls_last(), "status")
     )
@@ -59,9 +66,10 @@ def ledger_status_share_over_time(
 ) -> DataFrame:
     """Status counts per bucket plus each status's share of the bucket (0 when empty).
 
-    The window runs over the grouped result (at most two rows per bucket).
+    The window runs over the grouped result (at most two rows per bucket), and the
+    only sort is the final one.
     """
-    counts = ledger_status_over_time(ledger_tx, start, end, grain)
+    counts = _status_counts(ledger_tx, start, end, grain)
     return counts.select(
         "bucket", "txn_count", "status", share_within("txn_count", "bucket").alias("share")
     ).orderBy(F.col("bucket").asc_nulls_last(), "status")
