@@ -47,27 +47,32 @@ def test_safe_double_text_forms(spark):
     assert got[None] is None
 
 
-def test_json_leaves_every_kind(spark):
-    docs = [
-        ('{"send":{"amount":"12.5"}}', 12.5),
-        ('{"send":{"amount":12.5}}', 12.5),
-        ('{"send":{"amount":"1e3"}}', 1000.0),
-        ('{"send":{"amount":[1]}}', None),
-        ('{"send":{"amount":{"a":1}}}', None),
-        ('{"send":{"amount":true}}', None),
-        ('{"send":{"amount":"n/a"}}', None),
-        ('{"send":{"amount":""}}', None),
-        ('{"send":{"amount":null}}', None),
-        ('{"send":{}}', None),
-        ('{"send":{"amount":"1d"}}', None),
-        ("{bad", None),
-        (None, None),
-    ]
-    df = spark.createDataFrame([(i, doc) for i, (doc, _) in enumerate(docs)], "i int, data string")
+KIND_DOCS = [
+    ('{"send":{"amount":"12.5"}}', 12.5),
+    ('{"send":{"amount":12.5}}', 12.5),
+    ('{"send":{"amount":"1e3"}}', 1000.0),
+    ('{"send":{"amount":[1]}}', None),
+    ('{"send":{"amount":{"a":1}}}', None),
+    ('{"send":{"amount":true}}', None),
+    ('{"send":{"amount":"n/a"}}', None),
+    ('{"send":{"amount":""}}', None),
+    ('{"send":{"amount":null}}', None),
+    ('{"send":{}}', None),
+    ('{"send":{"amount":"1d"}}', None),
+    ("{bad", None),
+    (None, None),
+]
+
+
+@pytest.mark.parametrize("as_variant", [False, True])
+def test_json_leaves_every_kind(spark, as_variant):
+    df = spark.createDataFrame([(i, doc) for i, (doc, _) in enumerate(KIND_DOCS)], "i int, data string")
+    if as_variant:
+        df = df.select("i", F.try_parse_json("data").alias("data"))
     leaf = json_leaves(df, "data", {"amount": "send.amount"})
     got = dict(df.select("i", safe_double(leaf["amount"]).alias("v")).collect())
-    for i, (_, want) in enumerate(docs):
-        assert got[i] == want, docs[i]
+    for i, (_, want) in enumerate(KIND_DOCS):
+        assert got[i] == want, KIND_DOCS[i]
 
 
 def test_json_leaves_variant_matches_text(spark):
