@@ -16,20 +16,28 @@ the whole tables).
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import oracle_queries as oq
-from ledgerlens import load_inputs
-from ledgerlens.functions import contains_any_ci, json_leaves, safe_double
-from ledgerlens.operators import contract_call_fee as fee_expr
-from ledgerlens.operators import priced_bridge_events as priced_events
-from ledgerlens.operators import token_transfer_amounts, unified_transfers
-from ledgerlens.operators.routed import CONTRACT_CALL_PATHS
-from ledgerlens.params import ROUTER_ADDRESSES, SERVICE_CONTRACT_CALLS, SERVICE_TOKEN_TRANSFERS
-from ledgerlens.plans import bridge, ledger, routed
+# The package and the oracle live next to this file; make them importable however
+# this module is loaded (by name or by file path).
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
+import oracle_queries as oq  # noqa: E402
+from ledgerlens import load_inputs  # noqa: E402
+from ledgerlens.functions import contains_any_ci, json_leaves, safe_double  # noqa: E402
+from ledgerlens.operators import contract_call_fee as fee_expr  # noqa: E402
+from ledgerlens.operators import priced_bridge_events as priced_events  # noqa: E402
+from ledgerlens.operators import token_transfer_amounts, unified_transfers  # noqa: E402
+from ledgerlens.operators.routed import CONTRACT_CALL_PATHS  # noqa: E402
+from ledgerlens.params import ROUTER_ADDRESSES, SERVICE_CONTRACT_CALLS, SERVICE_TOKEN_TRANSFERS  # noqa: E402
+from ledgerlens.plans import bridge, ledger, routed  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
