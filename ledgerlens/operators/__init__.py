@@ -1,6 +1,13 @@
 """Dataset-level operators: unified routed transfers, priced bridge events, reuse."""
 
-from .bridge import bridge_events_in_range, priced_bridge_events, transfer_totals
+from .bridge import (
+    bridge_events_in_range,
+    price_events,
+    priced_bridge_events,
+    totals_per_hash,
+    transfer_totals,
+    transfer_values,
+)
 from .reuse import ensure_checkpoint_dir, keep
 from .routed import (
     contract_call_fee,
@@ -18,9 +25,12 @@ __all__ = [
     "ensure_checkpoint_dir",
     "finished",
     "keep",
+    "price_events",
     "priced_bridge_events",
     "token_transfer_amounts",
     "token_transfer_rows",
+    "totals_per_hash",
     "transfer_totals",
+    "transfer_values",
     "unified_transfers",
 ]

@@ -43,25 +43,40 @@ PRICED_EVENT_COLUMNS = (
 )
 
 
-def transfer_totals(token_transfers: DataFrame, start: date | str, end: date | str) -> DataFrame:
-    """One row per transfer hash: finished transfers created in the range, their count,
-    how many carry a USD value, and the sums of amount and amount_usd (NULL when no
-    transfer of the hash has a value)."""
-    kept = token_transfers.where(finished() & in_date_range("created_at", start, end))
+def transfer_values(token_transfers: DataFrame) -> DataFrame:
+    """Finished token transfers as ``(created_at, tx_hash, amount, amount_usd)``: the
+    join hash and the typed values, all the bridge side needs from a transfer."""
+    kept = token_transfers.where(finished())
     v = token_transfer_amounts(kept)
-    rows = kept.select(
+    return kept.select(
+        "created_at",
         hash_part("id").alias("tx_hash"),
         v["amount"].alias("amount"),
         v["amount_usd"].alias("amount_usd"),
     )
-    return rows.groupBy("tx_hash").agg(
-        F.count(F.lit(1)).alias("transfers"),
-        F.count("amount_usd").alias("priced_transfers"),
-        F.sum("amount").alias("amount"),
-        F.sum("amount_usd").alias("amount_usd"),
+
+
+def totals_per_hash(values: DataFrame, start: date | str, end: date | str) -> DataFrame:
+    """One row per hash of :func:`transfer_values` rows created in the range: their
+    count, how many carry a USD value, and the sums of amount and amount_usd (NULL
+    when no transfer of the hash has a value)."""
+    return (
+        values.where(in_date_range("created_at", start, end))
+        .groupBy("tx_hash")
+        .agg(
+            F.count(F.lit(1)).alias("transfers"),
+            F.count("amount_usd").alias("priced_transfers"),
+            F.sum("amount").alias("amount"),
+            F.sum("amount_usd").alias("amount_usd"),
+        )
     )
 
 
+def transfer_totals(token_transfers: DataFrame, start: date | str, end: date | str) -> DataFrame:
+    """Per-hash totals of the finished token transfers created in the range."""
+    return totals_per_hash(transfer_values(token_transfers), start, end)
+
+
 def bridge_events_in_range(bridge_events: DataFrame, start: date | str, end: date | str) -> DataFrame:
     return bridge_events.where(in_date_range("block_timestamp", start, end)).select(
         F.to_date("block_timestamp").alias("event_date"),
@@ -87,8 +102,14 @@ def priced_bridge_events(
     shuffled side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``) and
     splits skewed event partitions (``spark.sql.adaptive.skewJoin.enabled``).
     """
+    return price_events(bridge_events, transfer_totals(token_transfers, start, end), start, end)
+
+
+def price_events(bridge_events: DataFrame, totals: DataFrame, start: date | str, end: date | str) -> DataFrame:
+    """Bridge events in ``[start, end]`` left-joined to per-hash ``totals``
+    (:func:`transfer_totals`, or :func:`totals_per_hash` over an ingested
+    transfer-values table)."""
     events = bridge_events_in_range(bridge_events, start, end)
-    totals = transfer_totals(token_transfers, start, end)
     joined = events.join(totals, on="tx_hash", how="left")
     return joined.select(
         "event_date",

@@ -1,4 +1,4 @@
-"""Incremental ingest of routed transfers into a date-partitioned Parquet table.
+"""Incremental ingest of transfers into date-partitioned Parquet tables.
 
 At scale the expensive part of every routed report is reading the JSON payload of
 each transfer. The dashboard re-ran that work on every refresh. Here new transfer
@@ -8,6 +8,11 @@ files are normalised once, as they arrive, by a Structured Streaming query:
                            ├─ unified_transfers (filters + JSON leaves) ─> Parquet
     contract_calls files ──┘                          partitioned by created_date
 
+A second query does the same for the bridge side: finished token transfers as
+``(tx_hash, amount, amount_usd)`` (:func:`ledgerlens.operators.transfer_values`),
+read back with :func:`read_transfer_values` and priced against bridge events with
+:func:`ledgerlens.operators.totals_per_hash` and :func:`ledgerlens.operators.price_events`.
+
 The transformation is the batch one (:func:`ledgerlens.operators.unified_transfers`),
 stateless per row, so each micro-batch is independent and the file sink with a
 checkpoint gives exactly-once output; a restarted query resumes from its
@@ -28,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import in_date_range
-from ..operators import unified_transfers
+from ..operators import transfer_values, unified_transfers
 
 TOKEN_TRANSFER_SCHEMA = T.StructType(
     [
@@ -80,9 +85,12 @@ def start_routed_ingest(
     opts = {} if max_files_per_trigger is None else {"maxFilesPerTrigger": str(max_files_per_trigger)}
     tt = spark.readStream.schema(TOKEN_TRANSFER_SCHEMA).options(**opts).parquet(token_transfers_path)
     cc = spark.readStream.schema(CONTRACT_CALL_SCHEMA).options(**opts).parquet(contract_calls_path)
+    return _start(normalize_routed(tt, cc), output_path, checkpoint_path, available_now, processing_time)
+
+
+def _start(frame: DataFrame, output_path: str, checkpoint_path: str, available_now: bool, processing_time: str) -> StreamingQuery:
     writer = (
-        normalize_routed(tt, cc)
-        .writeStream.format("parquet")
+        frame.writeStream.format("parquet")
         .option("path", output_path)
         .option("checkpointLocation", checkpoint_path)
         .partitionBy(PARTITION_COLUMN)
@@ -92,13 +100,39 @@ def start_routed_ingest(
     return writer.start()
 
 
+def start_transfer_values_ingest(
+    spark: SparkSession,
+    token_transfers_path: str,
+    output_path: str,
+    checkpoint_path: str,
+    *,
+    available_now: bool = False,
+    processing_time: str = "1 minute",
+    max_files_per_trigger: int | None = None,
+) -> StreamingQuery:
+    """Start the ingest of finished token transfers' hash and values (bridge side)."""
+    opts = {} if max_files_per_trigger is None else {"maxFilesPerTrigger": str(max_files_per_trigger)}
+    tt = spark.readStream.schema(TOKEN_TRANSFER_SCHEMA).options(**opts).parquet(token_transfers_path)
+    frame = transfer_values(tt).withColumn(PARTITION_COLUMN, F.to_date("created_at"))
+    return _start(frame, output_path, checkpoint_path, available_now, processing_time)
+
+
+def _read_range(spark: SparkSession, path: str, start: date | str, end: date | str) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.where(F.col(PARTITION_COLUMN).between(F.lit(start).cast("date"), F.lit(end).cast("date"))).where(
+        in_date_range("created_at", start, end)
+    )
+
+
+def read_transfer_values(spark: SparkSession, path: str, start: date | str, end: date | str) -> DataFrame:
+    """Ingested transfer values of ``[start, end]`` (partition-pruned)."""
+    return _read_range(spark, path, start, end)
+
+
 def read_unified(spark: SparkSession, path: str, start: date | str, end: date | str) -> DataFrame:
     """Normalised routed rows of ``[start, end]`` from the ingest table.
 
     The partition filter prunes whole date directories; the row filter keeps the
     exact inclusive range on ``created_at``.
     """
-    df = spark.read.parquet(path)
-    return df.where(F.col(PARTITION_COLUMN).between(F.lit(start).cast("date"), F.lit(end).cast("date"))).where(
-        in_date_range("created_at", start, end)
-    )
+    return _read_range(spark, path, start, end)

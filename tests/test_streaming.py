@@ -42,3 +42,23 @@ def test_ingest_then_report_matches_batch(spark, tmp_path):
     assert routed.routed_route_totals(read_unified(spark, out, "1998-03-01", "1998-03-31"), "1998-03-01", "1998-03-31").collect() == (
         routed.routed_route_totals(batch, "1998-03-01", "1998-03-31").collect()
     )
+
+
+def test_transfer_values_ingest_prices_bridge_events(spark, tmp_path):
+    from ledgerlens.operators import price_events, priced_bridge_events, totals_per_hash
+    from ledgerlens.plans import bridge
+    from ledgerlens.streaming import read_transfer_values, start_transfer_values_ingest
+
+    inp = load_inputs(spark, SF_SMALL)
+    tt, events = inp.token_transfers, inp.bridge_events
+    src, out, ckpt = str(tmp_path / "tt"), str(tmp_path / "values"), str(tmp_path / "ckpt")
+    early = F.col("created_at") < F.lit("1998-01-01").cast("timestamp_ntz")
+    for part in (early, ~early):
+        tt.where(part).write.mode("append").parquet(src)
+        start_transfer_values_ingest(spark, src, out, ckpt, available_now=True).awaitTermination(300)
+
+    for start, end in [(S, E), ("1997-06-01", "1998-06-30")]:
+        from_table = price_events(events, totals_per_hash(read_transfer_values(spark, out, start, end), start, end), start, end)
+        batch = priced_bridge_events(events, tt, start, end)
+        assert sorted(from_table.collect()) == sorted(batch.collect())
+        assert bridge.bridge_route_totals(from_table).collect() == bridge.bridge_route_totals(batch).collect()
