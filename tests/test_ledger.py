@@ -112,3 +112,20 @@ def test_text_flag_normalised(spark):
     df = spark.createDataFrame([("TRUE",), ("true",), ("FALSE",), (None,)], "tx_succeeded string")
     got = [r.tx_succeeded for r in normalize_flag(df).collect()]
     assert got == [True, False, False, None]
+
+
+def test_local_timestamp_column_gives_same_reports(spark):
+    rows = [
+        ("a", "u1", True, "2025-01-01 00:00:00"),
+        ("b", "u2", False, "2025-01-05 23:59:59"),
+        ("c", "u2", True, "2025-01-06 00:00:00"),
+        ("d", "u3", True, "2025-01-31 23:59:59.999999"),
+        ("e", "u3", True, "2025-02-01 00:00:00"),
+    ]
+    ntz = frame(spark, rows)
+    ltz = ntz.withColumn("block_timestamp", ntz.block_timestamp.cast("timestamp"))
+    for grain in ("day", "week", "month"):
+        got = [(r.bucket, r.status, r.txn_count) for r in ledger.ledger_status_over_time(ltz, S, E, grain).collect()]
+        want = [(r.bucket, r.status, r.txn_count) for r in ledger.ledger_status_over_time(ntz, S, E, grain).collect()]
+        assert got == want, grain
+    assert ledger.ledger_kpis(ltz, S, E).collect() == ledger.ledger_kpis(ntz, S, E).collect()
