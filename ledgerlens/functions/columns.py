@@ -32,7 +32,13 @@ def in_date_range(ts: ColumnOrName, start: date | str, end: date | str) -> Colum
     lo = datetime.combine(as_date(start), time.min)
     hi = datetime.combine(as_date(end) + timedelta(days=1), time.min)
     c = _col(ts)
-    return (c >= F.lit(lo).cast("timestamp_ntz")) & (c < F.lit(hi).cast("timestamp_ntz"))
+    # Bounds are built from text, not from Python datetimes: a datetime literal would
+    # pass through the Python process's local zone and then the session zone.
+    return (c >= _ntz(lo)) & (c < _ntz(hi))
+
+
+def _ntz(moment: datetime) -> Column:
+    return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
 
 
 def date_bucket(d: ColumnOrName, grain: str) -> Column:

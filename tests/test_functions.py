@@ -173,3 +173,27 @@ def test_share_within(spark):
 def test_hash_part(spark):
     df = spark.createDataFrame([("0xab_1",), ("0xab",), ("0xab_1_2",), ("_x",), ("",), (None,)], "id string")
     assert [r.h for r in df.select(hash_part("id").alias("h")).collect()] == ["0xab", "0xab", "0xab", "", "", None]
+
+
+def test_range_and_buckets_do_not_depend_on_time_zones(spark, monkeypatch):
+    import time as _time
+
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    _time.tzset()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame(
+            [("2025-01-01 00:00:00",), ("2024-12-31 23:59:59",), ("2025-01-31 23:59:59",), ("2025-02-01 00:00:00",)], "s string"
+        ).select(F.col("s").cast("timestamp_ntz").alias("t"))
+        got = [(r.k, r.b) for r in df.select(in_date_range("t", "2025-01-01", "2025-01-31").alias("k"), time_bucket("t", "week").alias("b")).collect()]
+        assert got == [
+            (True, ts("2024-12-30 00:00:00")),
+            (False, ts("2024-12-30 00:00:00")),
+            (True, ts("2025-01-27 00:00:00")),
+            (False, ts("2025-01-27 00:00:00")),
+        ]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+        monkeypatch.delenv("TZ")
+        _time.tzset()
