@@ -147,8 +147,8 @@ def _registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
             oq.ledger_status_share_over_time(*LEDGER_ALL, "week"),
         ),
         "status_share": (
-            _ledger(ledger.ledger_status_share_over_time, LEDGER_MID, "day"),
-            oq.ledger_status_share_over_time(*LEDGER_MID, "day"),
+            _ledger(ledger.ledger_status_share_over_time, LEDGER_ALL, "day"),
+            oq.ledger_status_share_over_time(*LEDGER_ALL, "day"),
         ),
         "routed_kpis": (_routed(routed.routed_kpis, CHAIN_ALL), oq.routed_kpis(*CHAIN_ALL)),
         "routed_kpis_1998": (_routed(routed.routed_kpis, CHAIN_1998), oq.routed_kpis(*CHAIN_1998)),

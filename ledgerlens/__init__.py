@@ -2,7 +2,7 @@
 
 from .params import GRAINS, ReportParams
 from .plans import REPORT_NAMES, Dashboard
-from .sources import Inputs, from_frames, from_parquet, from_tables, load_inputs
+from .sources import Inputs, from_frames, from_parquet, from_tables, load_inputs, stage_inputs
 
 __all__ = [
     "GRAINS",
@@ -14,4 +14,5 @@ __all__ = [
     "from_parquet",
     "from_tables",
     "load_inputs",
+    "stage_inputs",
 ]
