@@ -6,6 +6,8 @@ from __future__ import annotations
 import json
 
 from conftest import d, ts
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import hash_part, in_date_range, safe_double
@@ -147,3 +149,43 @@ def test_route_report_plans_inner_join(spark):
     assert "Join Inner" in plan and "LeftOuter" not in plan
     plan = bridge.bridge_kpis(priced_bridge_events(ev, tt, S, E))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" in plan
+
+
+_HASHES = ["0xa", "0xb", "0xc", "0xA", ""]
+_DAYS = ["2024-12-31", "2025-01-01", "2025-01-15", "2025-01-31", "2025-02-01"]
+_event = st.tuples(st.sampled_from(_DAYS), st.sampled_from(_HASHES), st.sampled_from(["Ethereum", "ethereum", "BSC"]), st.sampled_from(["s1", "s2", None]))
+_transfer = st.tuples(
+    st.sampled_from(_HASHES),
+    st.integers(0, 9),
+    st.sampled_from(_DAYS),
+    st.booleans(),
+    st.sampled_from([1, 2, "3", [1], None]),
+    st.sampled_from([0.5, 1.25, "2", None, True]),
+)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_event, min_size=1, max_size=12), st.lists(_transfer, max_size=15))
+def test_pre_aggregated_join_equals_row_level_join_random(spark, events, transfers):
+    ev = spark.createDataFrame(
+        [(ts(day + " 12:00:00"), h, src, "osmosis", snd, "tok") for day, h, src, snd in events], EV
+    )
+    tt = spark.createDataFrame(
+        [
+            (f"{h}_{n}", ts(day + " 08:00:00"), "executed", "received" if done else "sent", "x", "r", tdoc(amount, price))
+            for h, n, day, done, amount, price in transfers
+        ],
+        TT,
+    )
+    brute = _brute_force_overview(ev, tt, S, E)
+    priced = priced_bridge_events(ev, tt, S, E)
+    want = brute.agg(F.count_distinct("tx_hash"), F.count_distinct("sender"), F.round(F.sum("amount_usd"))).collect()
+    assert [tuple(r) for r in bridge.bridge_kpis(priced).collect()] == [tuple(want[0])]
+    want_routes = sorted(
+        tuple(r)
+        for r in brute.where(F.col("amount_usd").isNotNull())
+        .groupBy("source_chain", "destination_chain")
+        .agg(F.count_distinct("tx_hash"), F.round(F.sum("amount_usd")))
+        .collect()
+    )
+    assert sorted(tuple(r) for r in bridge.bridge_route_totals(priced).collect()) == want_routes
