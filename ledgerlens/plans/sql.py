@@ -64,6 +64,29 @@ FROM ledger_tx
 WHERE {_RANGE.format(col="block_timestamp")}
 GROUP BY 1, 3
 ORDER BY 1 ASC NULLS LAST, 3""",
+    "ledger_status_share_over_time": f"""
+WITH counts AS (
+    SELECT {_time_bucket("block_timestamp")} AS bucket,
+           count(DISTINCT tx_id) AS txn_count,
+           {_SUCCEEDED_LABEL} AS status
+    FROM ledger_tx
+    WHERE {_RANGE.format(col="block_timestamp")}
+    GROUP BY 1, 3
+)
+SELECT bucket, txn_count, status,
+       coalesce(try_divide(txn_count, sum(txn_count) OVER (PARTITION BY bucket)), 0D) AS share
+FROM counts
+ORDER BY 1 ASC NULLS LAST, 3""",
+    "ledger_status_total_share": f"""
+WITH totals AS (
+    SELECT {_SUCCEEDED_LABEL} AS status, count(DISTINCT tx_id) AS txn_count
+    FROM ledger_tx
+    WHERE {_RANGE.format(col="block_timestamp")}
+    GROUP BY 1
+)
+SELECT status, txn_count, coalesce(try_divide(txn_count, sum(txn_count) OVER ()), 0D) AS share
+FROM totals
+ORDER BY 1""",
     "ledger_users_over_time": f"""
 SELECT {_time_bucket("block_timestamp")} AS bucket,
        count(DISTINCT tx_from) AS user_count,
@@ -122,7 +145,13 @@ GROUP BY 1, 2
 ORDER BY 3 DESC, 4 ASC, 1 ASC NULLS LAST, 2 ASC NULLS LAST"""
     ),
 }
-GRAINED = {"ledger_status_over_time", "ledger_users_over_time", "routed_over_time", "bridge_over_time"}
+GRAINED = {
+    "ledger_status_over_time",
+    "ledger_status_share_over_time",
+    "ledger_users_over_time",
+    "routed_over_time",
+    "bridge_over_time",
+}
 
 
 def token_transfer_values(token_transfers: DataFrame) -> DataFrame:
