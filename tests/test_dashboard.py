@@ -33,3 +33,20 @@ def test_unknown_report(spark):
 def test_unknown_reuse_mode(spark):
     with pytest.raises(ValueError):
         Dashboard(load_inputs(spark, SF_SMALL), PARAMS, reuse="cache").run_all(names=("routed_kpis",))
+
+
+def test_command_line_prints_every_report(spark, tmp_path, capsys):
+    import json
+
+    from ledgerlens.__main__ import main
+    from ledgerlens.sources import stage_inputs
+
+    stage_inputs(spark, SF_SMALL, str(tmp_path / "in"))
+    assert main(["--inputs", str(tmp_path / "in"), "--start", "1995-01-01", "--end", "2024-12-31", "--reuse", "persist"]) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    seen = {x["report"] for x in lines}
+    from ledgerlens import REPORT_NAMES
+
+    assert seen == set(REPORT_NAMES)
+    kpis = [x for x in lines if x["report"] == "routed_kpis"]
+    assert len(kpis) == 1 and kpis[0]["txn_count"] > 0
