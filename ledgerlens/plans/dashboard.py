@@ -112,7 +112,9 @@ class Dashboard:
             return {name: f.result() for name, f in futures.items()}
 
     def release(self) -> None:
-        """Drop kept intermediates (no-op when nothing was persisted)."""
+        """Drop kept intermediates: unpersist persisted ones; drop the references to
+        checkpointed ones so the context cleaner can remove their files (with
+        ``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
         for df in (self._unified, self._priced):
             if df is not None and self.reuse == "persist":
                 df.unpersist()
