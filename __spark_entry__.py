@@ -38,6 +38,7 @@ from ledgerlens.operators import token_transfer_amounts, unified_transfers  # no
 from ledgerlens.operators.routed import CONTRACT_CALL_PATHS  # noqa: E402
 from ledgerlens.params import ROUTER_ADDRESSES, SERVICE_CONTRACT_CALLS, SERVICE_TOKEN_TRANSFERS  # noqa: E402
 from ledgerlens.plans import bridge, ledger, routed  # noqa: E402
+from ledgerlens.plans.sql import REPORT_SQL, run_sql  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -127,6 +128,13 @@ def address_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.unionByName(cc).groupBy("service", "matched").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def _sql(name, rng, grain="week"):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run_sql(spark, name, *rng, grain, inputs=load_inputs(spark, sf_dir))
+
+    return run
+
+
 _GRAIN_SUFFIX = {"week": "", "day": "_day", "month": "_month"}
 
 
@@ -193,6 +201,11 @@ def _registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
             _bridge(bridge.bridge_over_time, CHAIN_ALL, grain),
             oq.bridge_over_time(*CHAIN_ALL, grain),
         )
+    # The same twelve reports run as SQL text with bound parameters (plans.sql),
+    # checked against the same oracle as their DataFrame twins.
+    for name in REPORT_SQL:
+        rng = LEDGER_ALL if name.startswith("ledger") else CHAIN_ALL
+        reg["sql_" + name] = (_sql(name, rng), reg[name][1])
     return reg
 
 

@@ -1,14 +1,17 @@
 """The dashboard reports as Spark SQL text with named parameter markers.
 
-For users who run reports as SQL: :func:`register_views` exposes the inputs and the
-two derived datasets as temp views, and :func:`run_sql` binds ``:range_start``,
-``:range_end`` (inclusive dates) and ``:grain`` with ``spark.sql(text, args=...)`` —
-no value is spliced into the text. The grain is still checked against the allow-list
-before binding. Plans are the same as the DataFrame reports' (same Catalyst input).
+For users who run reports as SQL. Each text names its inputs with ``{table}``
+placeholders, filled by PySpark's SQL formatter either with the input DataFrames
+themselves (``run_sql(..., inputs=...)``: no session state) or with the temp views
+made by :func:`register_views`. ``:range_start``, ``:range_end`` (inclusive dates)
+and ``:grain`` are bound with ``spark.sql(text, args=...)`` — no value is spliced
+into the text, and the grain is still checked against the allow-list. Plans are the
+same as the DataFrame reports' (same Catalyst input).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +40,10 @@ def _bridge(select_from_overview: str) -> str:
     return f"""
 WITH events AS (
     SELECT CAST(block_timestamp AS DATE) AS event_date, tx_hash, source_chain, destination_chain, sender
-    FROM bridge_events WHERE {_RANGE.format(col="block_timestamp")}
+    FROM {{bridge_events}} WHERE {_RANGE.format(col="block_timestamp")}
 ), totals AS (
     SELECT tx_hash, sum(amount_usd) AS amount_usd
-    FROM token_transfer_values
+    FROM {{token_transfer_values}}
     WHERE finished AND {_RANGE.format(col="created_at")}
     GROUP BY tx_hash
 ), overview AS (
@@ -54,13 +57,13 @@ REPORT_SQL = {
 SELECT count(DISTINCT tx_id) AS txn_count,
        count(DISTINCT tx_from) AS user_count,
        round(try_divide(count(DISTINCT tx_id), count(DISTINCT tx_from))) AS txn_per_user
-FROM ledger_tx
+FROM {{ledger_tx}}
 WHERE tx_succeeded AND {_RANGE.format(col="block_timestamp")}""",
     "ledger_status_over_time": f"""
 SELECT {_time_bucket("block_timestamp")} AS bucket,
        count(DISTINCT tx_id) AS txn_count,
        {_SUCCEEDED_LABEL} AS status
-FROM ledger_tx
+FROM {{ledger_tx}}
 WHERE {_RANGE.format(col="block_timestamp")}
 GROUP BY 1, 3
 ORDER BY 1 ASC NULLS LAST, 3""",
@@ -69,7 +72,7 @@ WITH counts AS (
     SELECT {_time_bucket("block_timestamp")} AS bucket,
            count(DISTINCT tx_id) AS txn_count,
            {_SUCCEEDED_LABEL} AS status
-    FROM ledger_tx
+    FROM {{ledger_tx}}
     WHERE {_RANGE.format(col="block_timestamp")}
     GROUP BY 1, 3
 )
@@ -80,7 +83,7 @@ ORDER BY 1 ASC NULLS LAST, 3""",
     "ledger_status_total_share": f"""
 WITH totals AS (
     SELECT {_SUCCEEDED_LABEL} AS status, count(DISTINCT tx_id) AS txn_count
-    FROM ledger_tx
+    FROM {{ledger_tx}}
     WHERE {_RANGE.format(col="block_timestamp")}
     GROUP BY 1
 )
@@ -91,27 +94,27 @@ ORDER BY 1""",
 SELECT {_time_bucket("block_timestamp")} AS bucket,
        count(DISTINCT tx_from) AS user_count,
        round(try_divide(count(DISTINCT tx_id), count(DISTINCT tx_from))) AS txn_per_user
-FROM ledger_tx
+FROM {{ledger_tx}}
 WHERE tx_succeeded AND {_RANGE.format(col="block_timestamp")}
 GROUP BY 1
 ORDER BY 1 ASC NULLS LAST""",
     "ledger_status_totals": f"""
 SELECT {_SUCCEEDED_LABEL} AS status, count(DISTINCT tx_id) AS txn_count
-FROM ledger_tx
+FROM {{ledger_tx}}
 WHERE {_RANGE.format(col="block_timestamp")}
 GROUP BY 1""",
     "routed_kpis": f"""
 SELECT count(DISTINCT id) AS txn_count,
        count(DISTINCT user_address) AS user_count,
        round(sum(amount_usd)) AS volume_usd
-FROM routed_transfers
+FROM {{routed_transfers}}
 WHERE {_RANGE.format(col="created_at")}""",
     "routed_over_time": f"""
 SELECT {_time_bucket("created_at")} AS bucket,
        count(DISTINCT id) AS txn_count,
        count(DISTINCT user_address) AS user_count,
        round(sum(amount_usd)) AS volume_usd
-FROM routed_transfers
+FROM {{routed_transfers}}
 WHERE {_RANGE.format(col="created_at")}
 GROUP BY 1
 ORDER BY 1 ASC NULLS LAST""",
@@ -119,7 +122,7 @@ ORDER BY 1 ASC NULLS LAST""",
 SELECT source_chain, destination_chain,
        round(sum(amount_usd)) AS volume_usd,
        count(DISTINCT id) AS txn_count
-FROM routed_transfers
+FROM {{routed_transfers}}
 WHERE {_RANGE.format(col="created_at")} AND amount_usd IS NOT NULL
 GROUP BY 1, 2
 ORDER BY 3 DESC, 4 ASC, 1 ASC NULLS LAST, 2 ASC NULLS LAST""",
@@ -167,21 +170,37 @@ def token_transfer_values(token_transfers: DataFrame) -> DataFrame:
     )
 
 
+def _view_frames(inputs) -> dict[str, Callable[[], DataFrame]]:
+    return {
+        "ledger_tx": lambda: inputs.ledger_tx,
+        "routed_transfers": lambda: unified_transfers(inputs.token_transfers, inputs.contract_calls),
+        "token_transfer_values": lambda: token_transfer_values(inputs.token_transfers),
+        "bridge_events": lambda: inputs.bridge_events,
+    }
+
+
 def register_views(inputs) -> None:
     """Register :data:`VIEWS` as temp views of the given inputs (lazy, nothing runs)."""
-    inputs.ledger_tx.createOrReplaceTempView("ledger_tx")
-    unified_transfers(inputs.token_transfers, inputs.contract_calls).createOrReplaceTempView("routed_transfers")
-    token_transfer_values(inputs.token_transfers).createOrReplaceTempView("token_transfer_values")
-    inputs.bridge_events.createOrReplaceTempView("bridge_events")
+    for view, build in _view_frames(inputs).items():
+        build().createOrReplaceTempView(view)
 
 
 def run_sql(
-    spark: SparkSession, name: str, start: date | str, end: date | str, grain: str = "week"
+    spark: SparkSession,
+    name: str,
+    start: date | str,
+    end: date | str,
+    grain: str = "week",
+    inputs=None,
 ) -> DataFrame:
-    """Run report ``name`` from :data:`REPORT_SQL` with bound parameters."""
+    """Run report ``name`` from :data:`REPORT_SQL` with bound parameters, over ``inputs``
+    when given, else over the views of :func:`register_views`."""
     if name not in REPORT_SQL:
         raise KeyError(f"unknown report {name!r}; expected one of {sorted(REPORT_SQL)}")
+    text = REPORT_SQL[name]
     args = {"range_start": F.lit(as_date(start)), "range_end": F.lit(as_date(end))}
     if name in GRAINED:
         args["grain"] = F.lit(check_grain(grain))
-    return spark.sql(REPORT_SQL[name], args=args)
+    frames = {view: (lambda v=view: spark.table(v)) for view in VIEWS} if inputs is None else _view_frames(inputs)
+    tables = {view: build() for view, build in frames.items() if "{" + view + "}" in text}
+    return spark.sql(text, args=args, **tables)

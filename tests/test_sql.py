@@ -23,8 +23,8 @@ def test_sql_matches_dataframe(spark, inputs, name):
     start, end = RANGES[name.split("_")[0]]
     for grain in ("day", "week", "month") if name in GRAINED else ("week",):
         want = Dashboard(inputs, ReportParams(start, end, grain)).report(name).collect()
-        got = run_sql(spark, name, start, end, grain).collect()
-        assert got == want, (name, grain)
+        assert run_sql(spark, name, start, end, grain).collect() == want, (name, grain)  # views
+        assert run_sql(spark, name, start, end, grain, inputs=inputs).collect() == want, (name, grain)
 
 
 def test_sql_rejects_unknown_grain(spark, inputs):
