@@ -11,7 +11,8 @@ one report or operator on them. Date ranges are the reports' own parameter:
 the main keys use a range that covers all rows of the tables; the ``_mid`` and
 ``_1998`` keys use an inner range to check the inclusive range ends and the
 independent range filter on each side of the bridge join (the scans still read
-the whole tables).
+the whole tables). The ``sql_*`` keys run the same twelve reports as SQL text with
+bound parameters and share their DataFrame twins' oracle.
 """
 
 from __future__ import annotations
