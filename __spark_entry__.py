@@ -82,9 +82,12 @@ def unified_transfers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified_transfers(inp.token_transfers, inp.contract_calls)
 
 
-def priced_bridge_events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inp = load_inputs(spark, sf_dir)
-    return priced_events(inp.bridge_events, inp.token_transfers, *CHAIN_ALL)
+def _priced_bridge_events(rng):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inp = load_inputs(spark, sf_dir)
+        return priced_events(inp.bridge_events, inp.token_transfers, *rng)
+
+    return run
 
 
 def safe_double_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +183,8 @@ def _registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
             oq.bridge_route_totals(*CHAIN_1998),
         ),
         "unified_transfers": (unified_transfers_query, oq.unified_transfers()),
-        "priced_bridge_events": (priced_bridge_events_query, oq.priced_bridge_events(*CHAIN_ALL)),
+        "priced_bridge_events": (_priced_bridge_events(CHAIN_ALL), oq.priced_bridge_events(*CHAIN_ALL)),
+        "priced_bridge_events_1998": (_priced_bridge_events(CHAIN_1998), oq.priced_bridge_events(*CHAIN_1998)),
         "safe_double_extract": (safe_double_extract, oq.safe_double_extract()),
         "contract_call_fee": (contract_call_fee, oq.contract_call_fee()),
         "address_match": (address_match, oq.address_match()),
