@@ -58,15 +58,15 @@ def pieces(text: Column) -> Column:
 
 
 def with_sums(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: struct(n, sums), the multiset hash of column ``text``.
+    """Adds ``{out}_n`` and ``{out}_sums``, the multiset hash of column ``text``.
 
     Hashes are taken in a projection of their own, so that the lanes share them."""
 
-    def hashes(piece: Column) -> Column:
-        digest = F.sha2(F.encode(piece, "UTF-8"), 256)
+    def longs(digest: Column) -> Column:
         return F.array(*[F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("long") for i in range(HASH_LONGS)])
 
-    hashed = df.withColumn("__h", F.transform(pieces(F.col(text)), hashes))
+    digests = F.transform(pieces(F.col(text)), lambda piece: F.sha2(F.encode(piece, "UTF-8"), 256))
+    hashed = df.withColumn("__h", F.transform(digests, longs))
 
     def lane(which: int, shift: int) -> Column:
         def bits(h: Column) -> Column:
@@ -77,47 +77,42 @@ def with_sums(df: DataFrame, text: str, out: str) -> DataFrame:
         return F.when(F.size("__h") < LANE_MODULUS, plain).otherwise(masked)
 
     lanes = F.array(*[lane(i, s) for i in range(HASH_LONGS) for s in range(LANE_BITS)])
-    return hashed.withColumn(out, F.struct(F.size("__h").cast("long").alias("n"), lanes.alias("sums"))).drop("__h")
+    return hashed.withColumns({f"{out}_n": F.size("__h").cast("long"), f"{out}_sums": lanes}).drop("__h")
 
 
-def combine(whole: Column, part: Column, insert: bool = True) -> Column:
-    """The hash of ``whole`` with the pieces of ``part`` inserted, or deleted."""
-    sums = F.zip_with(whole["sums"], part["sums"], lambda a, b: _add(a, b if insert else _negate(b)))
-    n = whole["n"] + part["n"] if insert else whole["n"] - part["n"]
-    return F.struct(n.alias("n"), sums.alias("sums"))
+def combine(n: Column, sums: Column, part_n: Column, part_sums: Column, insert: bool = True) -> tuple[Column, Column]:
+    """(n, sums) of a multiset with the pieces of another inserted, or deleted."""
+    if insert:
+        return n + part_n, F.zip_with(sums, part_sums, _add)
+    return n - part_n, F.zip_with(sums, part_sums, lambda a, b: _add(a, _negate(b)))
 
 
-def fingerprint(of: Column) -> Column:
+def fingerprint(n: Column, sums: Column) -> Column:
     """Text form: the number of pieces, then 15 hex digits a long."""
-    digits = F.transform(of["sums"], lambda x: F.lpad(F.lower(F.hex(x)), 15, "0"))
-    return F.concat(F.lower(F.hex(of["n"])), F.lit(":"), F.array_join(digits, ""))
+    digits = F.transform(sums, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0"))
+    return F.concat(F.lower(F.hex(n)), F.lit(":"), F.array_join(digits, ""))
 
 
-def with_centred(df: DataFrame, hashed: str, out: str) -> DataFrame:
-    """Adds ``out``: the lanes of ``hashed`` as signed numbers around 0."""
-    n = F.col(hashed)["n"]
-
-    def centre(v: Column) -> Column:
-        return F.pmod(v * 2 - n + LANE_MODULUS, F.lit(2 * LANE_MODULUS)) - LANE_MODULUS
+def centred(n: Column, sums: Column) -> Column:
+    """The lanes as signed numbers around 0."""
 
     def unpack(x: Column) -> Column:
         parts = [F.shiftrightunsigned(x, LANE_BITS * i).bitwiseAND(_long(LANE_MODULUS - 1)) for i in range(LANES_A_LONG)]
-        return F.array(*[centre(p) for p in parts])
+        return F.array(*[F.pmod(v * 2 - n + LANE_MODULUS, F.lit(2 * LANE_MODULUS)) - LANE_MODULUS for v in parts])
 
-    return df.withColumn(out, F.flatten(F.transform(F.col(hashed)["sums"], unpack)))
+    return F.flatten(F.transform(sums, unpack))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), _long(0), lambda acc, x: acc + x)
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), _long(0), lambda acc, x: acc + x).cast("double")
 
 
-def likeness(equal: Column, a: Column, b: Column) -> Column:
-    """0 to 1 from two centred lane vectors; 1 if the fingerprints are equal."""
-    na, nb = _dot(a, a).cast("double"), _dot(b, b).cast("double")
-    cosine = _dot(a, b).cast("double") / (F.sqrt(na) * F.sqrt(nb))
+def likeness(equal: Column, ab: Column, aa: Column, bb: Column) -> Column:
+    """0 to 1 from the dot products of two centred lane vectors; 1 if the fingerprints are equal."""
+    cosine = ab / (F.sqrt(aa) * F.sqrt(bb))
     return (
         F.when(equal, F.lit(1.0))
-        .when((na == 0) | (nb == 0), F.lit(0.0))
+        .when((aa == 0) | (bb == 0), F.lit(0.0))
         .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
     )
 
@@ -161,34 +156,39 @@ def fingerprint_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str =
     third = F.floor(F.length("text") / 3).cast("int")
     ring = following(raw, "doc_id", third).withColumnRenamed("doc_id", "taker")
     lent = hashed.join(ring, hashed["doc_id"].eqNullSafe(ring["next_id"])).select(
-        "taker", F.struct(F.expr("substring(text, 1, need)").alias("head"), F.col("own").alias("next")).alias("lent")
+        "taker",
+        F.struct(F.expr("substring(text, 1, need)").alias("head"), "own_n", "own_sums").alias("lent"),
     )
     lent = lent.groupBy("taker").agg(F.max("lent").alias("lent"))
     both = hashed.join(lent, hashed["doc_id"].eqNullSafe(lent["taker"]), "left").select(
         "doc_id",
-        "text",
-        "own",
         F.length("text").cast("long").alias("n_chars"),
-        F.floor(F.length("text") / 3).cast("int").alias("cut"),
-        F.col("lent.head").alias("head"),
-        F.col("lent.next").alias("next"),
-    )
-    edited = both.select(
-        "doc_id",
-        "n_chars",
-        "own",
-        "next",
-        F.expr("concat(substring(text, 1, cast(n_chars - cut as int)), substring(head, 1, cut))").alias("edited"),
+        "own_n",
+        "own_sums",
+        F.col("lent.own_n").alias("next_n"),
+        F.col("lent.own_sums").alias("next_sums"),
+        F.expr(
+            "concat(substring(text, 1, cast(length(text) - floor(length(text) / 3) as int)),"
+            " substring(lent.head, 1, cast(floor(length(text) / 3) as int)))"
+        ).alias("edited"),
     )
-    out = with_sums(edited, "edited", "changed")
-    for name in ("own", "next", "changed"):
-        out = with_centred(out, name, f"{name}_lanes")
+    out = with_sums(both, "edited", "edit")
+    names = ("own", "next", "edit")
+    out = out.withColumns({f"{k}_lanes": centred(F.col(f"{k}_n"), F.col(f"{k}_sums")) for k in names})
+    out = out.withColumns({f"{k}_print": fingerprint(F.col(f"{k}_n"), F.col(f"{k}_sums")) for k in names})
+    out = out.withColumns({f"{k}_own": dot(F.col(f"{k}_lanes"), F.col("own_lanes")) for k in names})
+    out = out.withColumns({f"{k}_square": dot(F.col(f"{k}_lanes"), F.col(f"{k}_lanes")) for k in ("next", "edit")})
+
+    def near(k: str) -> Column:
+        equal = F.col("own_print") == F.col(f"{k}_print")
+        return likeness(equal, F.col(f"{k}_own"), F.col("own_own"), F.col(f"{k}_square"))
+
     return out.select(
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own") == F.col("changed"), F.col("own_lanes"), F.col("changed_lanes")).alias("near_edited"),
-        likeness(F.col("own") == F.col("next"), F.col("own_lanes"), F.col("next_lanes")).alias("near_next"),
+        F.col("own_print").alias("fingerprint"),
+        F.col("edit_print").alias("edited_fingerprint"),
+        near("edit").alias("near_edited"),
+        near("next").alias("near_next"),
     )
