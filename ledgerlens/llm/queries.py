@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .bfd_packing import pack_best_fit
 from .exact_dedup import exact_dedup
+from .hilbert_packing import pack_along_curve
 from .jump_shards import assign_shards
+from .language_id import identify_languages
 from .mixing import mix_sources
 from .multiset_hash import fingerprint_with_edits
+from .secret_novelty import find_secrets
 
+SEQUENCE_LENGTH = 2048
+END_ID = 1
 SHARDS = 8
 MIX_WEIGHTS = (5.0, 2.0, 1.0)
 MIX_EPOCHS = 3
@@ -24,6 +30,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def piece_digests(pieces: DataFrame) -> DataFrame:
+    """Packed pieces with the CRC-32 of their ids in place of the ids."""
+    return pieces.select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(pack_along_curve(documents(spark, sf_dir), tokenizer_path(), SEQUENCE_LENGTH, END_ID))
+
+
+def op2_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(documents(spark, sf_dir), tokenizer_path(), SEQUENCE_LENGTH, END_ID)
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign_shards(documents(spark, sf_dir), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -33,18 +66,30 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir))
+
+
 def op7_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(documents(spark, sf_dir))
 
 
+def op8_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(documents(spark, sf_dir))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), MIX_WEIGHTS, MIX_EPOCHS)
 
 
 QUERIES = {
+    "op1_hilbert_packing": op1_hilbert_packing,
+    "op2_bfd_packing": op2_bfd_packing,
     "op4_jump_shards": op4_jump_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op7_multiset_fingerprints": op7_multiset_fingerprints,
+    "op8_secret_novelty": op8_secret_novelty,
     "op10_mix_sources": op10_mix_sources,
 }
 
