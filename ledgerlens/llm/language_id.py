@@ -212,3 +212,28 @@ def identify_languages(
     model = fit(rows, per_language, clusters)
     out = rows.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def _accept(model: Model, text_at: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
+                _, _, rejected = model.predict(np.stack(list(trigram_counts(part.column(text_at)))))
+                yield part.filter(pa.array(~rejected))
+
+    return run
+
+
+def accepted_documents(
+    docs: DataFrame,
+    per_language: int = SAMPLE_PER_LANGUAGE,
+    clusters: int = CLUSTERS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not rejected."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    model = fit(rows, per_language, clusters)
+    return docs.mapInArrow(_accept(model, docs.columns.index(text)), docs.schema)

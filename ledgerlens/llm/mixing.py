@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 from .common import BUCKET_ROWS, drawn, materialise, running_sum
 
 WORD = "[^\\x20\\x09-\\x0D]+"
+AFTER_WORD = "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])"
 #: The lowest and highest quality weight, and the steps between them at which the mean
 #: distribution of the keys is taken (it only spreads rows over buckets).
 WEIGHT_STEPS = tuple(i / 10 for i in range(1, 11))
@@ -111,3 +112,26 @@ def mix_sources(
         (F.col("epochs") * F.col("size") + part).alias("taken"),
         "source",
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (5.0, 2.0, 1.0),
+    max_epochs: int = 3,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+) -> DataFrame:
+    """The mix itself: ``docs`` with each row as often as it is taken, all columns kept; the
+    last time perhaps only its first words, with the white space before them. Rows that
+    share a doc_id are taken alike."""
+    mix = mix_sources(docs, weights, max_epochs, doc_id, source, text)
+    taken = mix.groupBy(F.col("doc_id").alias("__id")).agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
+    chosen = docs.join(taken.where("__taken > 0"), docs[doc_id].eqNullSafe(F.col("__id")))
+    times = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))
+    each = chosen.withColumn("__time", F.explode(times))
+    words = F.least(F.col("__size"), F.col("__taken") - (F.col("__time") - 1) * F.col("__size")).cast("int")
+    # Cut after each word: a part is a word and the white space before it.
+    first = F.array_join(F.slice(F.split(F.col(text), AFTER_WORD), 1, words), "")
+    cut = F.when(words < F.col("__size"), first).otherwise(F.col(text))
+    return each.withColumn(text, cut).select(docs.columns)

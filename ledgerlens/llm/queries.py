@@ -13,8 +13,10 @@ from . import sql
 from .bfd_packing import pack_best_fit
 from .exact_dedup import exact_dedup
 from .hilbert_packing import pack_along_curve
+from .jaccard_trie import jaccard_components
 from .jump_shards import assign_shards
 from .language_id import identify_languages
+from .line_dedup import line_classes
 from .mixing import mix_sources
 from .multiset_hash import fingerprint_with_edits
 from .secret_novelty import find_secrets
@@ -57,6 +59,10 @@ def op2_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(documents(spark, sf_dir), tokenizer_path(), SEQUENCE_LENGTH, END_ID)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(documents(spark, sf_dir))
+
+
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign_shards(documents(spark, sf_dir), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -78,6 +84,10 @@ def op8_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
 
+def op9_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), width=3, num=90, den=100)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), MIX_WEIGHTS, MIX_EPOCHS)
 
@@ -85,11 +95,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hilbert_packing": op1_hilbert_packing,
     "op2_bfd_packing": op2_bfd_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_jump_shards": op4_jump_shards,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op7_multiset_fingerprints": op7_multiset_fingerprints,
     "op8_secret_novelty": op8_secret_novelty,
+    "op9_jaccard_trie": op9_jaccard_trie,
     "op10_mix_sources": op10_mix_sources,
 }
 
