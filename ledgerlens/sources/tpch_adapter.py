@@ -228,23 +228,6 @@ def bridge_events_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that yields fewer partitions than the cluster runs tasks.
-
-    A file written as one Parquet row group is read by one task, which would leave
-    all per-row work (JSON building and parsing) on one core. Only then are its
-    rows dealt round-robin over ``defaultParallelism`` partitions; a large table
-    already scans in many splits and is left alone (no extra shuffle). Filters and
-    column pruning still reach the scan below the repartition.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()  # plans the scan; runs no job
-    except Exception:  # no RDD access (e.g. Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(target) if splits < target else df
-
-
 class TestTableInputs:
     """The four dashboard inputs derived from ``{sf_dir}/{events,lineitem,orders}.parquet``.
 
@@ -257,7 +240,7 @@ class TestTableInputs:
         self._dir = sf_dir.rstrip("/")
 
     def _table(self, name: str) -> DataFrame:
-        return spread(self._spark.read.parquet(f"{self._dir}/{name}.parquet"))
+        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
 
     @cached_property
     def ledger_tx(self) -> DataFrame:
@@ -279,6 +262,10 @@ class TestTableInputs:
     def bridge_events(self) -> DataFrame:
         return bridge_events_from_orders(self.orders)
 
+    def between(self, start, end) -> TestTableInputs:
+        """The inputs as they are: the test tables have no date column of their own."""
+        return self
+
     def materialize(self) -> Inputs:
         """All four inputs as a plain :class:`Inputs`."""
         return from_frames(self.ledger_tx, self.token_transfers, self.contract_calls, self.bridge_events)
