@@ -64,15 +64,10 @@ def safe_double(text: ColumnOrName) -> Column:
     ``try_cast`` already gives NULL for arrays / objects rendered as JSON text,
     booleans, empty or non-numeric text. Java's float parser also accepts a
     ``d``/``f`` type suffix (``"1d"``), which is not a number in SQL, so such text
-    is turned to NULL too. The suffix test only runs on text that did parse.
+    is turned to NULL first. The text is evaluated twice, once for the test, once cast.
     """
     t = _col(text)
-    parsed = t.try_cast("double")
-    return (
-        F.when(parsed.isNull(), F.lit(None).cast("double"))
-        .when(F.rtrim(t).rlike("[0-9.][dDfF]$"), F.lit(None).cast("double"))
-        .otherwise(parsed)
-    )
+    return F.when(~F.rtrim(t).rlike("[0-9.][dDfF]$"), t).try_cast("double")
 
 
 def contains_any_ci(c: ColumnOrName, needles: Iterable[str]) -> Column:

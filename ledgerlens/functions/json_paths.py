@@ -9,8 +9,9 @@ Two storage forms are supported:
 * ``STRING`` holding JSON text: one ``from_json`` per row with a nested schema
   whose leaves are all ``StringType``. Spark's JSON reader keeps a non-string
   leaf as its JSON text (``12.5``, ``[1]``, ``{"a":1}``, ``true``); malformed text
-  gives NULL leaves. Catalyst prunes the schema to the leaves a query actually
-  reads, and the parser skips every other field.
+  gives NULL leaves. The options are given, if with their default, because without
+  any Catalyst narrows each leaf's call to its own top-level field, and the calls then
+  differ and parse the text once each. So callers name only the leaves they read.
 * ``VARIANT``: ``try_variant_get(v, '$.a.b', 'string')`` per leaf; Spark pushes
   variant extraction into the Parquet scan.
 """
@@ -63,7 +64,7 @@ def json_leaves(df: DataFrame, column: str, paths: Mapping[str, str]) -> dict[st
         }
     if not isinstance(dtype, T.StringType):
         raise TypeError(f"column {column!r} must be STRING (JSON text) or VARIANT, not {dtype}")
-    parsed = F.from_json(F.col(column), leaf_schema(paths))
+    parsed = F.from_json(F.col(column), leaf_schema(paths), {"mode": "PERMISSIVE"})
     out = {}
     for alias, path in paths.items():
         c = parsed

@@ -8,7 +8,7 @@ that filter into both branches and down to the Parquet scans.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,19 +66,50 @@ def finished(status: str = "status", simplified_status: str = "simplified_status
     )
 
 
-def token_transfer_amounts(token_transfers: DataFrame) -> dict[str, Column]:
+#: The leaves that each typed value needs.
+TOKEN_TRANSFER_NEEDS = {
+    "source_chain": ("source_chain",),
+    "destination_chain": ("destination_chain",),
+    "amount": ("amount",),
+    "amount_usd": ("amount", "price"),
+    "fee": ("fee_value",),
+    "raw_asset": ("asset",),
+}
+CONTRACT_CALL_NEEDS = {
+    "source_chain": ("source_chain",),
+    "destination_chain": ("destination_chain",),
+    "user_address": ("user_address",),
+    "amount": ("amount",),
+    "amount_usd": ("value",),
+    "fee": ("gas_used", "token_price_usd", "express_fee_usd"),
+    "raw_asset": ("symbol",),
+}
+
+
+def _leaves(
+    df: DataFrame, paths: Mapping[str, str], needs: Mapping[str, Iterable[str]], columns: Iterable[str], always: Iterable[str] = ()
+) -> dict[str, Column]:
+    """The leaves of ``df.data`` that ``columns`` need, read by one parse of the text."""
+    wanted = {leaf for c in columns for leaf in needs.get(c, ())} | set(always)
+    return json_leaves(df, "data", {k: v for k, v in paths.items() if k in wanted}) if wanted else {}
+
+
+def token_transfer_amounts(
+    token_transfers: DataFrame, columns: Iterable[str] = tuple(TOKEN_TRANSFER_NEEDS)
+) -> dict[str, Column]:
     """Typed leaves of a token transfer: amount, amount_usd (amount x price), fee,
-    lower-cased chains and the asset text."""
-    leaf = json_leaves(token_transfers, "data", TOKEN_TRANSFER_PATHS)
-    amount = safe_double(leaf["amount"])
-    return {
-        "source_chain": F.lower(leaf["source_chain"]),
-        "destination_chain": F.lower(leaf["destination_chain"]),
-        "amount": amount,
-        "amount_usd": amount * safe_double(leaf["price"]),
-        "fee": safe_double(leaf["fee_value"]),
-        "raw_asset": leaf["asset"],
+    lower-cased chains and the asset text; those of ``columns``."""
+    columns = tuple(columns)
+    leaf = _leaves(token_transfers, TOKEN_TRANSFER_PATHS, TOKEN_TRANSFER_NEEDS, columns)
+    made = {
+        "source_chain": lambda: F.lower(leaf["source_chain"]),
+        "destination_chain": lambda: F.lower(leaf["destination_chain"]),
+        "amount": lambda: safe_double(leaf["amount"]),
+        "amount_usd": lambda: safe_double(leaf["amount"]) * safe_double(leaf["price"]),
+        "fee": lambda: safe_double(leaf["fee_value"]),
+        "raw_asset": lambda: leaf["asset"],
     }
+    return {c: make() for c, make in made.items() if c in columns}
 
 
 def contract_call_fee(gas_used: Column, token_price_usd: Column, express_fee_usd: Column) -> Column:
@@ -87,61 +118,59 @@ def contract_call_fee(gas_used: Column, token_price_usd: Column, express_fee_usd
 
 
 def token_transfer_rows(
-    token_transfers: DataFrame, addresses: Iterable[str] = ROUTER_ADDRESSES
+    token_transfers: DataFrame,
+    addresses: Iterable[str] = ROUTER_ADDRESSES,
+    columns: Iterable[str] = UNIFIED_COLUMNS,
 ) -> DataFrame:
     """Token-transfer branch of the unified dataset."""
+    columns = tuple(columns)
     kept = token_transfers.where(finished() & contains_any_ci("sender_address", addresses))
-    v = token_transfer_amounts(kept)
-    return kept.select(
-        "created_at",
-        v["source_chain"].alias("source_chain"),
-        v["destination_chain"].alias("destination_chain"),
-        F.col("recipient_address").alias("user_address"),
-        v["amount"].alias("amount"),
-        v["amount_usd"].alias("amount_usd"),
-        v["fee"].alias("fee"),
-        "id",
-        F.lit(SERVICE_TOKEN_TRANSFERS).alias("service"),
-        v["raw_asset"].alias("raw_asset"),
-    )
+    made = token_transfer_amounts(kept, columns) | {
+        "created_at": F.col("created_at"),
+        "user_address": F.col("recipient_address"),
+        "id": F.col("id"),
+        "service": F.lit(SERVICE_TOKEN_TRANSFERS),
+    }
+    return kept.select(*[made[c].alias(c) for c in columns])
 
 
 def contract_call_rows(
-    contract_calls: DataFrame, addresses: Iterable[str] = ROUTER_ADDRESSES
+    contract_calls: DataFrame,
+    addresses: Iterable[str] = ROUTER_ADDRESSES,
+    columns: Iterable[str] = UNIFIED_COLUMNS,
 ) -> DataFrame:
-    """Contract-call branch of the unified dataset.
-
-    Leaves are referenced directly, so Catalyst keeps only those a report reads:
-    a pruned ``from_json`` schema for JSON text (common subexpressions are parsed
-    once per row in the projection), or pruned shredded columns for VARIANT.
-    """
-    j = json_leaves(contract_calls, "data", CONTRACT_CALL_PATHS)
+    """Contract-call branch of the unified dataset."""
+    columns = tuple(columns)
+    j = _leaves(contract_calls, CONTRACT_CALL_PATHS, CONTRACT_CALL_NEEDS, columns, always=("contract_address",))
     kept = contract_calls.where(finished() & contains_any_ci(j["contract_address"], addresses))
-    return kept.select(
-        "created_at",
-        F.lower(j["source_chain"]).alias("source_chain"),
-        F.lower(j["destination_chain"]).alias("destination_chain"),
-        j["user_address"].alias("user_address"),
-        safe_double(j["amount"]).alias("amount"),
-        safe_double(j["value"]).alias("amount_usd"),
-        contract_call_fee(j["gas_used"], j["token_price_usd"], j["express_fee_usd"]).alias("fee"),
-        "id",
-        F.lit(SERVICE_CONTRACT_CALLS).alias("service"),
-        j["symbol"].alias("raw_asset"),
-    )
+    made = {
+        "created_at": lambda: F.col("created_at"),
+        "source_chain": lambda: F.lower(j["source_chain"]),
+        "destination_chain": lambda: F.lower(j["destination_chain"]),
+        "user_address": lambda: j["user_address"],
+        "amount": lambda: safe_double(j["amount"]),
+        "amount_usd": lambda: safe_double(j["value"]),
+        "fee": lambda: contract_call_fee(j["gas_used"], j["token_price_usd"], j["express_fee_usd"]),
+        "id": lambda: F.col("id"),
+        "service": lambda: F.lit(SERVICE_CONTRACT_CALLS),
+        "raw_asset": lambda: j["symbol"],
+    }
+    return kept.select(*[made[c]().alias(c) for c in columns])
 
 
 def unified_transfers(
     token_transfers: DataFrame,
     contract_calls: DataFrame,
     addresses: Iterable[str] = ROUTER_ADDRESSES,
+    columns: Iterable[str] = UNIFIED_COLUMNS,
 ) -> DataFrame:
-    """``UNION ALL`` of both services with the columns of :data:`UNIFIED_COLUMNS`.
+    """``UNION ALL`` of both services with ``columns`` (of :data:`UNIFIED_COLUMNS`).
 
     ``user_address`` is the recipient for token transfers and the calling wallet for
-    contract calls. Chains are lower-cased in both branches.
+    contract calls. Chains are lower-cased in both branches. A report names the columns it
+    reads, so that no other JSON leaf is parsed.
     """
-    addresses = tuple(addresses)
-    return token_transfer_rows(token_transfers, addresses).unionByName(
-        contract_call_rows(contract_calls, addresses)
+    addresses, columns = tuple(addresses), tuple(columns)
+    return token_transfer_rows(token_transfers, addresses, columns).unionByName(
+        contract_call_rows(contract_calls, addresses, columns)
     )

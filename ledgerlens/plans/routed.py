@@ -12,6 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import in_date_range, time_bucket
+from ..operators.routed import UNIFIED_COLUMNS
+
+#: Columns of the unified dataset that each report reads (of it, only their JSON leaves
+#: are parsed: pass them to :func:`ledgerlens.operators.unified_transfers`).
+COLUMNS = {
+    "routed_kpis": ("created_at", "user_address", "amount_usd", "id"),
+    "routed_over_time": ("created_at", "user_address", "amount_usd", "id"),
+    "routed_route_totals": ("created_at", "source_chain", "destination_chain", "amount_usd", "id"),
+}
+#: Those of all three.
+REPORT_COLUMNS = ("created_at", "source_chain", "destination_chain", "user_address", "amount_usd", "id")
+
+
+def columns_of(report: str) -> tuple[str, ...]:
+    return COLUMNS.get(report, UNIFIED_COLUMNS)
 
 
 def _in_range(unified: DataFrame, start: date | str, end: date | str) -> DataFrame:
