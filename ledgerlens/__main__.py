@@ -17,6 +17,7 @@ from datetime import date, datetime
 
 from pyspark.sql import SparkSession
 
+from .operators.reuse import MODES
 from .params import DEFAULT_END, DEFAULT_START, GRAINS, ReportParams
 from .plans import REPORT_NAMES, Dashboard
 from .session import configure
@@ -37,14 +38,15 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--start", default=DEFAULT_START.isoformat())
     ap.add_argument("--end", default=DEFAULT_END.isoformat())
     ap.add_argument("--grain", default=GRAINS[0], choices=GRAINS)
-    ap.add_argument("--reuse", default="checkpoint", choices=("none", "persist", "checkpoint"))
+    ap.add_argument("--reuse", default="none", choices=MODES)
+    ap.add_argument("--shared-path", help="folder that all executors share, for --reuse parquet")
     ap.add_argument("--reports", nargs="*", default=list(REPORT_NAMES), choices=REPORT_NAMES)
     ap.add_argument("--concurrency", type=int, default=4)
     args = ap.parse_args(argv)
 
     spark = configure(SparkSession.builder.appName("ledgerlens").getOrCreate())
     inputs = from_tables(spark) if args.tables else from_parquet(spark, args.inputs)
-    dash = Dashboard(inputs, ReportParams(args.start, args.end, args.grain), reuse=args.reuse)
+    dash = Dashboard(inputs, ReportParams(args.start, args.end, args.grain), reuse=args.reuse, shared_path=args.shared_path)
     try:
         results = dash.run_all(max_concurrent=args.concurrency, names=tuple(args.reports))
     finally:

@@ -1,14 +1,17 @@
 """Dataset-level operators: unified routed transfers, priced bridge events, reuse."""
 
 from .bridge import (
+    BridgeSides,
     bridge_events_in_range,
+    bridge_sides,
     price_events,
     priced_bridge_events,
+    priced_bridge_rows,
     totals_per_hash,
     transfer_totals,
     transfer_values,
 )
-from .reuse import ensure_checkpoint_dir, keep
+from .reuse import checkpoint_dir, keep
 from .routed import (
     contract_call_fee,
     contract_call_rows,
@@ -19,14 +22,17 @@ from .routed import (
 )
 
 __all__ = [
+    "BridgeSides",
     "bridge_events_in_range",
+    "bridge_sides",
+    "checkpoint_dir",
     "contract_call_fee",
     "contract_call_rows",
-    "ensure_checkpoint_dir",
     "finished",
     "keep",
     "price_events",
     "priced_bridge_events",
+    "priced_bridge_rows",
     "token_transfer_amounts",
     "token_transfer_rows",
     "totals_per_hash",

@@ -1,4 +1,10 @@
-"""Priced bridge events: each bridge event with the USD value of its finished transfers.
+"""Bridge events with the value of their finished transfers, in three shapes.
+
+* :func:`bridge_sides`: the events of a range and one row of totals per hash, what the
+  reports join after collapsing the events (see :mod:`ledgerlens.plans.bridge`);
+* :func:`priced_bridge_events`: one row per event, with its hash's totals;
+* :func:`priced_bridge_rows`: one row per event and transfer, for listing the transfers
+  that priced an event.
 
 The dashboard joins events to token transfers on ``tx_hash = split_part(id,'_',1)``
 with a LEFT JOIN and then only sums ``amount_usd`` and counts distinct hashes and
@@ -21,6 +27,7 @@ not price an event inside it. Hash text is compared as is (no case folding).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -47,7 +54,7 @@ def transfer_values(token_transfers: DataFrame) -> DataFrame:
     """Finished token transfers as ``(created_at, tx_hash, amount, amount_usd)``: the
     join hash and the typed values, all the bridge side needs from a transfer."""
     kept = token_transfers.where(finished())
-    v = token_transfer_amounts(kept)
+    v = token_transfer_amounts(kept, ("amount", "amount_usd"))
     return kept.select(
         "created_at",
         hash_part("id").alias("tx_hash"),
@@ -99,8 +106,9 @@ def priced_bridge_events(
     One output row per event row. Unmatched events keep NULL totals and 0 counts.
     No broadcast hint: the totals side grows with the data, so Spark decides from
     measured sizes (AQE turns the sort-merge join into a broadcast only when the
-    shuffled side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``) and
-    splits skewed event partitions (``spark.sql.adaptive.skewJoin.enabled``).
+    shuffled side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``). The
+    totals come from an aggregate on the join key, so AQE does not split a hot hash
+    here; the reports do not need it, as they collapse the events first.
     """
     return price_events(bridge_events, transfer_totals(token_transfers, start, end), start, end)
 
@@ -123,3 +131,50 @@ def price_events(bridge_events: DataFrame, totals: DataFrame, start: date | str,
         "amount",
         "amount_usd",
     )
+
+
+PRICED_ROW_COLUMNS = (
+    "event_date",
+    "tx_hash",
+    "source_chain",
+    "destination_chain",
+    "sender",
+    "token_symbol",
+    "amount",
+    "amount_usd",
+)
+
+
+def priced_bridge_rows(
+    bridge_events: DataFrame,
+    token_transfers: DataFrame,
+    start: date | str,
+    end: date | str,
+) -> DataFrame:
+    """Bridge events in ``[start, end]`` left-joined to the transfers themselves: k events
+    and m transfers of one hash give k x m rows, an event without transfers gives one row
+    with NULL amounts. Both sides are plain shuffles on the hash, so AQE can split a hot one."""
+    events = bridge_events_in_range(bridge_events, start, end)
+    values = transfer_values(token_transfers).where(in_date_range("created_at", start, end))
+    return events.join(values.select("tx_hash", "amount", "amount_usd"), on="tx_hash", how="left").select(
+        *PRICED_ROW_COLUMNS
+    )
+
+
+@dataclass(frozen=True)
+class BridgeSides:
+    """The two inputs of the bridge reports: events of the range, and totals per hash."""
+
+    events: DataFrame
+    totals: DataFrame
+
+
+def bridge_sides(
+    bridge_events: DataFrame,
+    token_transfers: DataFrame,
+    start: date | str,
+    end: date | str,
+) -> BridgeSides:
+    """Both sides in ``[start, end]``, narrowed to what the reports read."""
+    totals = transfer_totals(token_transfers, start, end).select("tx_hash", "amount_usd")
+    return BridgeSides(bridge_events_in_range(bridge_events, start, end).drop("token_symbol"), totals)

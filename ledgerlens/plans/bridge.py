@@ -1,51 +1,75 @@
-"""Bridge reports over priced bridge events (see :mod:`ledgerlens.operators.bridge`).
+"""Bridge reports over the two sides of :func:`ledgerlens.operators.bridge_sides`.
 
-Input: the output of :func:`ledgerlens.operators.priced_bridge_events`, already
-restricted to the date range on both sides. Chain names are reported as stored
-(no case folding).
+The left join adds no hash and no sender, so both distinct counts come from the events
+alone. Events are collapsed to one row per report group and hash *before* the join (the
+map-side aggregate takes in a hot or NULL hash), and a group's volume is the sum of
+events x hash total. So no hash brings more than one row per group to the join, and no
+Expand multiplies the joined rows. Chain names are reported as stored (no case folding).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import date_bucket
+from ..operators.bridge import BridgeSides
 
 
-def bridge_kpis(priced: DataFrame) -> DataFrame:
-    """One row: distinct event hashes, distinct senders, rounded USD volume of matches."""
-    return priced.agg(
-        F.count_distinct("tx_hash").alias("txn_count"),
-        F.count_distinct("sender").alias("user_count"),
-        F.round(F.sum("amount_usd")).alias("volume_usd"),
-    )
+def _collapsed(events: DataFrame, totals: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """(keys, tx_hash, volume): one row per group and hash of the events."""
+    per_hash = events.groupBy(*keys, "tx_hash").agg(F.count(F.lit(1)).alias("events"))
+    joined = per_hash.join(totals.select("tx_hash", "amount_usd"), on="tx_hash", how=how)
+    return joined.select(*keys, "tx_hash", (F.col("events") * F.col("amount_usd")).alias("volume"))
 
 
-def bridge_over_time(priced: DataFrame, grain: str = "week") -> DataFrame:
-    """Per bucket of the event date: distinct hashes, distinct senders, rounded USD volume."""
+def _hashes_users_volume(sides: BridgeSides, keys: list[str], group: list[Column]) -> DataFrame:
+    """Per group: distinct hashes, distinct senders and rounded volume, the senders counted
+    on the events and put beside the rest by a union and one more aggregate."""
+    events = sides.events.select(*group, "tx_hash", "sender")
+    volumes = (
+        _collapsed(events, sides.totals, keys, "left")
+        .groupBy(*keys)
+        .agg(F.count("tx_hash").alias("txn_count"), F.round(F.sum("volume")).alias("volume_usd"))
+        .withColumn("user_count", F.lit(None).cast("long"))
+    )
+    users = (
+        events.groupBy(*keys)
+        .agg(F.count_distinct("sender").alias("user_count"))
+        .withColumn("txn_count", F.lit(None).cast("long"))
+        .withColumn("volume_usd", F.lit(None).cast("double"))
+    )
     return (
-        priced.select(date_bucket("event_date", grain).alias("bucket"), "tx_hash", "sender", "amount_usd")
-        .groupBy("bucket")
+        volumes.unionByName(users)
+        .groupBy(*keys)
         .agg(
-            F.count_distinct("tx_hash").alias("txn_count"),
-            F.count_distinct("sender").alias("user_count"),
-            F.round(F.sum("amount_usd")).alias("volume_usd"),
+            F.max("txn_count").alias("txn_count"),
+            F.max("user_count").alias("user_count"),
+            F.max("volume_usd").alias("volume_usd"),
         )
-        .orderBy(F.col("bucket").asc_nulls_last())
     )
 
 
-def bridge_route_totals(priced: DataFrame) -> DataFrame:
+def bridge_kpis(sides: BridgeSides) -> DataFrame:
+    """One row: distinct event hashes, distinct senders, rounded USD volume of matches."""
+    return _hashes_users_volume(sides, [], [])
+
+
+def bridge_over_time(sides: BridgeSides, grain: str = "week") -> DataFrame:
+    """Per bucket of the event date: distinct hashes, distinct senders, rounded USD volume."""
+    bucket = date_bucket("event_date", grain).alias("bucket")
+    return _hashes_users_volume(sides, ["bucket"], [bucket]).orderBy(F.col("bucket").asc_nulls_last())
+
+
+def bridge_route_totals(sides: BridgeSides) -> DataFrame:
     """Per (source, destination) chain of the event: distinct hashes and rounded USD
     volume, events with a priced transfer only; most hashes first, then smaller volume."""
+    keys = ["source_chain", "destination_chain"]
     return (
-        priced.where(F.col("amount_usd").isNotNull())
-        .groupBy("source_chain", "destination_chain")
-        .agg(
-            F.count_distinct("tx_hash").alias("txn_count"),
-            F.round(F.sum("amount_usd")).alias("volume_usd"),
-        )
+        _collapsed(sides.events, sides.totals, keys, "inner")
+        .where(F.col("volume").isNotNull())
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("txn_count"), F.round(F.sum("volume")).alias("volume_usd"))
         .orderBy(
             F.col("txn_count").desc(),
             F.col("volume_usd").asc(),

@@ -1,10 +1,11 @@
 """All dashboard reports for one parameter set, sharing their intermediates.
 
 The dashboard ran its ten queries one after another, each rebuilding the same
-unified-transfer and priced-bridge CTEs. Here those two datasets are built once per
-parameter set (already restricted to the date range, and narrowed to the columns
-the reports read) and optionally kept (:func:`ledgerlens.operators.keep`), then
-every report reads them. Everything stays lazy until the caller acts.
+unified-transfer and priced-bridge CTEs. Here the unified transfers and the transfer
+totals per hash are built once per parameter set (already restricted to the date range,
+and narrowed to the columns the reports read) and optionally kept
+(:func:`ledgerlens.operators.keep`), then every report reads them. Everything stays lazy
+until the caller acts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row
 
 from ..functions import in_date_range
-from ..operators import keep, priced_bridge_events, unified_transfers
+from ..operators import BridgeSides, bridge_sides, keep, unified_transfers
 from ..params import ReportParams
 from ..sources import Inputs
 from . import bridge, ledger, routed
@@ -43,29 +44,31 @@ class Dashboard:
     inputs: Inputs
     params: ReportParams = field(default_factory=ReportParams)
     reuse: str = "none"
+    #: Folder shared by all executors, for ``reuse="parquet"``.
+    shared_path: str | None = None
     _unified: DataFrame | None = None
-    _priced: DataFrame | None = None
+    _bridge: BridgeSides | None = None
+
+    def __post_init__(self) -> None:
+        self.inputs = self.inputs.between(self.params.start, self.params.end)
 
     @property
     def unified(self) -> DataFrame:
         if self._unified is None:
             p = self.params
-            rows = unified_transfers(self.inputs.token_transfers, self.inputs.contract_calls).where(
-                in_date_range("created_at", p.start, p.end)
-            )
-            narrow = rows.select("created_at", "source_chain", "destination_chain", "user_address", "amount_usd", "id")
-            self._unified = keep(narrow, self.reuse)
+            rows = unified_transfers(
+                self.inputs.token_transfers, self.inputs.contract_calls, columns=routed.REPORT_COLUMNS
+            ).where(in_date_range("created_at", p.start, p.end))
+            self._unified = keep(rows, self.reuse, self.shared_path)
         return self._unified
 
     @property
-    def priced(self) -> DataFrame:
-        if self._priced is None:
+    def bridge(self) -> BridgeSides:
+        if self._bridge is None:
             p = self.params
-            self._priced = keep(
-                priced_bridge_events(self.inputs.bridge_events, self.inputs.token_transfers, p.start, p.end),
-                self.reuse,
-            )
-        return self._priced
+            sides = bridge_sides(self.inputs.bridge_events, self.inputs.token_transfers, p.start, p.end)
+            self._bridge = BridgeSides(sides.events, keep(sides.totals, self.reuse, self.shared_path))
+        return self._bridge
 
     def report(self, name: str) -> DataFrame:
         p, tx = self.params, self.inputs.ledger_tx
@@ -81,9 +84,9 @@ class Dashboard:
             "routed_kpis": lambda: routed.routed_kpis(self.unified, p.start, p.end),
             "routed_over_time": lambda: routed.routed_over_time(self.unified, p.start, p.end, p.grain),
             "routed_route_totals": lambda: routed.routed_route_totals(self.unified, p.start, p.end),
-            "bridge_kpis": lambda: bridge.bridge_kpis(self.priced),
-            "bridge_over_time": lambda: bridge.bridge_over_time(self.priced, p.grain),
-            "bridge_route_totals": lambda: bridge.bridge_route_totals(self.priced),
+            "bridge_kpis": lambda: bridge.bridge_kpis(self.bridge),
+            "bridge_over_time": lambda: bridge.bridge_over_time(self.bridge, p.grain),
+            "bridge_route_totals": lambda: bridge.bridge_route_totals(self.bridge),
         }
         if name not in builders:
             raise KeyError(f"unknown report {name!r}; expected one of {REPORT_NAMES}")
@@ -95,8 +98,8 @@ class Dashboard:
     def run_all(self, max_concurrent: int = 4, names: tuple[str, ...] = REPORT_NAMES) -> dict[str, list[Row]]:
         """Run reports as concurrent Spark jobs and return their rows.
 
-        Report results are small (one row, one per bucket or one per route), so they
-        are what the dashboard shows. Submitting the jobs together lets the
+        Results have one row, one per bucket or one per route; routes are free text, so
+        where their number is not known to be small, use :meth:`write_all`. Submitting the jobs together lets the
         scheduler fill idle executor slots with the next report's tasks while one
         report waits on a shuffle. Kept intermediates are materialised first, so
         concurrent reports share them instead of each computing them.
@@ -105,17 +108,22 @@ class Dashboard:
             if any(n.startswith("routed") for n in names):
                 self.unified.count()
             if any(n.startswith("bridge") for n in names):
-                self.priced.count()
+                self.bridge.totals.count()
         frames = {name: self.report(name) for name in names}
         with ThreadPoolExecutor(max_workers=max(1, max_concurrent)) as pool:
             futures = {name: pool.submit(df.collect) for name, df in frames.items()}
             return {name: f.result() for name, f in futures.items()}
 
+    def write_all(self, path: str, names: tuple[str, ...] = REPORT_NAMES) -> None:
+        """Write each report as Parquet under ``path``; nothing comes to the driver."""
+        for name in names:
+            self.report(name).write.parquet(f"{path.rstrip('/')}/{name}")
+
     def release(self) -> None:
         """Drop kept intermediates: unpersist persisted ones; drop the references to
         checkpointed ones so the context cleaner can remove their files (with
         ``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
-        for df in (self._unified, self._priced):
+        for df in (self._unified, self._bridge and self._bridge.totals):
             if df is not None and self.reuse == "persist":
                 df.unpersist()
-        self._unified = self._priced = None
+        self._unified = self._bridge = None

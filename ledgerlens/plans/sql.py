@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_part
 from ..operators import finished, token_transfer_amounts, unified_transfers
+from ..operators.routed import UNIFIED_COLUMNS
 from ..params import as_date, check_grain
+from .routed import columns_of
 
 VIEWS = ("ledger_tx", "routed_transfers", "token_transfer_values", "bridge_events")
 
@@ -36,20 +38,43 @@ def _time_bucket(col: str) -> str:
     return f"CAST({_date_bucket(f'to_date({col})')} AS TIMESTAMP_NTZ)"
 
 
-def _bridge(select_from_overview: str) -> str:
+def _bridge(group: str, select: str) -> str:
+    """Events collapsed to one row per ``group`` and hash, then joined to the hash totals."""
+    keys = f"{group}, " if group else ""
     return f"""
 WITH events AS (
     SELECT CAST(block_timestamp AS DATE) AS event_date, tx_hash, source_chain, destination_chain, sender
     FROM {{bridge_events}} WHERE {_RANGE.format(col="block_timestamp")}
+), grouped AS (
+    SELECT {_date_bucket("event_date") if group == "bucket" else "event_date"} AS bucket,
+           tx_hash, source_chain, destination_chain, sender
+    FROM events
+), per_hash AS (
+    SELECT {keys}tx_hash, count(*) AS events FROM grouped GROUP BY {keys}tx_hash
 ), totals AS (
     SELECT tx_hash, sum(amount_usd) AS amount_usd
     FROM {{token_transfer_values}}
     WHERE finished AND {_RANGE.format(col="created_at")}
     GROUP BY tx_hash
-), overview AS (
-    SELECT e.*, t.amount_usd FROM events e LEFT JOIN totals t ON e.tx_hash = t.tx_hash
+), volumes AS (
+    SELECT {keys}p.tx_hash, p.events * t.amount_usd AS volume
+    FROM per_hash p LEFT JOIN totals t ON p.tx_hash = t.tx_hash
 )
-{select_from_overview}"""
+{select}"""
+
+
+def _hashes_users_volume(group: str) -> str:
+    keys, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
+    return _bridge(
+        group,
+        f"""SELECT {keys}max(txn_count) AS txn_count, max(user_count) AS user_count, max(volume_usd) AS volume_usd
+FROM (
+    SELECT {keys}count(tx_hash) AS txn_count, CAST(NULL AS BIGINT) AS user_count, round(sum(volume)) AS volume_usd
+    FROM volumes {by}
+    UNION ALL
+    SELECT {keys}CAST(NULL AS BIGINT), count(DISTINCT sender), CAST(NULL AS DOUBLE) FROM grouped {by}
+) {by}""",
+    )
 
 
 REPORT_SQL = {
@@ -126,26 +151,15 @@ FROM {{routed_transfers}}
 WHERE {_RANGE.format(col="created_at")} AND amount_usd IS NOT NULL
 GROUP BY 1, 2
 ORDER BY 3 DESC, 4 ASC, 1 ASC NULLS LAST, 2 ASC NULLS LAST""",
-    "bridge_kpis": _bridge(
-        """SELECT count(DISTINCT tx_hash) AS txn_count, count(DISTINCT sender) AS user_count,
-       round(sum(amount_usd)) AS volume_usd
-FROM overview"""
-    ),
-    "bridge_over_time": _bridge(
-        f"""SELECT {_date_bucket("event_date")} AS bucket,
-       count(DISTINCT tx_hash) AS txn_count, count(DISTINCT sender) AS user_count,
-       round(sum(amount_usd)) AS volume_usd
-FROM overview
-GROUP BY 1
-ORDER BY 1 ASC NULLS LAST"""
-    ),
+    "bridge_kpis": _hashes_users_volume(""),
+    "bridge_over_time": _hashes_users_volume("bucket") + " ORDER BY 1 ASC NULLS LAST",
     "bridge_route_totals": _bridge(
-        """SELECT source_chain, destination_chain,
-       count(DISTINCT tx_hash) AS txn_count, round(sum(amount_usd)) AS volume_usd
-FROM overview
-WHERE amount_usd IS NOT NULL
+        "source_chain, destination_chain",
+        """SELECT source_chain, destination_chain, count(*) AS txn_count, round(sum(volume)) AS volume_usd
+FROM volumes
+WHERE volume IS NOT NULL
 GROUP BY 1, 2
-ORDER BY 3 DESC, 4 ASC, 1 ASC NULLS LAST, 2 ASC NULLS LAST"""
+ORDER BY 3 DESC, 4 ASC, 1 ASC NULLS LAST, 2 ASC NULLS LAST""",
     ),
 }
 GRAINED = {
@@ -159,7 +173,7 @@ GRAINED = {
 
 def token_transfer_values(token_transfers: DataFrame) -> DataFrame:
     """Typed token-transfer leaves with the join hash and the finished flag (for SQL)."""
-    v = token_transfer_amounts(token_transfers)
+    v = token_transfer_amounts(token_transfers, ("amount", "amount_usd"))
     return token_transfers.select(
         "id",
         hash_part("id").alias("tx_hash"),
@@ -170,10 +184,10 @@ def token_transfer_values(token_transfers: DataFrame) -> DataFrame:
     )
 
 
-def _view_frames(inputs) -> dict[str, Callable[[], DataFrame]]:
+def _view_frames(inputs, columns=UNIFIED_COLUMNS) -> dict[str, Callable[[], DataFrame]]:
     return {
         "ledger_tx": lambda: inputs.ledger_tx,
-        "routed_transfers": lambda: unified_transfers(inputs.token_transfers, inputs.contract_calls),
+        "routed_transfers": lambda: unified_transfers(inputs.token_transfers, inputs.contract_calls, columns=columns),
         "token_transfer_values": lambda: token_transfer_values(inputs.token_transfers),
         "bridge_events": lambda: inputs.bridge_events,
     }
@@ -201,6 +215,6 @@ def run_sql(
     args = {"range_start": F.lit(as_date(start)), "range_end": F.lit(as_date(end))}
     if name in GRAINED:
         args["grain"] = F.lit(check_grain(grain))
-    frames = {view: (lambda v=view: spark.table(v)) for view in VIEWS} if inputs is None else _view_frames(inputs)
+    frames = {view: (lambda v=view: spark.table(v)) for view in VIEWS} if inputs is None else _view_frames(inputs, columns_of(name))
     tables = {view: build() for view, build in frames.items() if "{" + view + "}" in text}
     return spark.sql(text, args=args, **tables)

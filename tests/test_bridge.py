@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import hash_part, in_date_range, safe_double
-from ledgerlens.operators import priced_bridge_events
+from ledgerlens.operators import BridgeSides, bridge_sides, priced_bridge_events, priced_bridge_rows
 from ledgerlens.plans import bridge
 
 EV = "block_timestamp timestamp_ntz, tx_hash string, source_chain string, destination_chain string, sender string, token_symbol string"
@@ -65,14 +65,14 @@ def test_priced_events(spark):
 
 def test_bridge_kpis_fan_out(spark):
     ev, tt = inputs(spark)
-    k = bridge.bridge_kpis(priced_bridge_events(ev, tt, S, E)).collect()[0]
+    k = bridge.bridge_kpis(bridge_sides(ev, tt, S, E)).collect()[0]
     # 0xab: 2 events x (10 + 10 + 10) = 60; 0x77: 5
     assert (k.txn_count, k.user_count, k.volume_usd) == (6, 4, 65.0)
 
 
 def test_bridge_over_time(spark):
     ev, tt = inputs(spark)
-    rows = bridge.bridge_over_time(priced_bridge_events(ev, tt, S, E), "week").collect()
+    rows = bridge.bridge_over_time(bridge_sides(ev, tt, S, E), "week").collect()
     assert [(r.bucket, r.txn_count, r.user_count, r.volume_usd) for r in rows] == [
         (d("2024-12-30"), 4, 3, 60.0),
         (d("2025-01-06"), 1, 1, 5.0),
@@ -82,7 +82,7 @@ def test_bridge_over_time(spark):
 
 def test_bridge_route_totals_case_and_order(spark):
     ev, tt = inputs(spark)
-    rows = bridge.bridge_route_totals(priced_bridge_events(ev, tt, S, E)).collect()
+    rows = bridge.bridge_route_totals(bridge_sides(ev, tt, S, E)).collect()
     assert [(r.source_chain, r.destination_chain, r.txn_count, r.volume_usd) for r in rows] == [
         ("ethereum", "osmosis", 1, 5.0),
         ("Ethereum", "osmosis", 1, 60.0),
@@ -90,11 +90,13 @@ def test_bridge_route_totals_case_and_order(spark):
 
 
 def test_route_order_transactions_first(spark):
-    priced = spark.createDataFrame(
-        [("a", "b", "h1", 9.0), ("c", "d", "h2", 2.0), ("c", "d", "h3", 3.0)],
-        "source_chain string, destination_chain string, tx_hash string, amount_usd double",
+    events = spark.createDataFrame(
+        [("a", "b", "h1"), ("c", "d", "h2"), ("c", "d", "h3")],
+        "source_chain string, destination_chain string, tx_hash string",
     )
-    rows = bridge.bridge_route_totals(priced).collect()
+    totals = spark.createDataFrame([("h1", 9.0), ("h2", 2.0), ("h3", 3.0)], "tx_hash string, amount_usd double")
+    sides = BridgeSides(events, totals)
+    rows = bridge.bridge_route_totals(sides).collect()
     assert [(r.source_chain, r.txn_count, r.volume_usd) for r in rows] == [("c", 2, 5.0), ("a", 1, 9.0)]
 
 
@@ -120,11 +122,11 @@ def test_pre_aggregated_join_equals_row_level_join(spark):
     ev, tt = inputs(spark)
     for start, end in [(S, E), ("2025-01-02", "2025-01-05"), ("2025-01-06", "2025-02-28")]:
         brute = _brute_force_overview(ev, tt, start, end)
-        priced = priced_bridge_events(ev, tt, start, end)
+        sides = bridge_sides(ev, tt, start, end)
         want = brute.agg(
             F.count_distinct("tx_hash").alias("t"), F.count_distinct("sender").alias("u"), F.round(F.sum("amount_usd")).alias("v")
         ).collect()
-        assert bridge.bridge_kpis(priced).collect() == [tuple(want[0])]
+        assert bridge.bridge_kpis(sides).collect() == [tuple(want[0])]
         want_routes = sorted(
             tuple(r)
             for r in brute.where(F.col("amount_usd").isNotNull())
@@ -132,7 +134,7 @@ def test_pre_aggregated_join_equals_row_level_join(spark):
             .agg(F.count_distinct("tx_hash"), F.round(F.sum("amount_usd")))
             .collect()
         )
-        assert sorted(tuple(r) for r in bridge.bridge_route_totals(priced).collect()) == want_routes
+        assert sorted(tuple(r) for r in bridge.bridge_route_totals(sides).collect()) == want_routes
         for grain in ("day", "week", "month"):
             want_t = sorted(
                 tuple(r)
@@ -140,20 +142,21 @@ def test_pre_aggregated_join_equals_row_level_join(spark):
                 .agg(F.count_distinct("tx_hash"), F.count_distinct("sender"), F.round(F.sum("amount_usd")))
                 .collect()
             )
-            assert sorted(tuple(r) for r in bridge.bridge_over_time(priced, grain).collect()) == want_t
+            assert sorted(tuple(r) for r in bridge.bridge_over_time(sides, grain).collect()) == want_t
 
 
 def test_route_report_plans_inner_join(spark):
     ev, tt = inputs(spark)
-    plan = bridge.bridge_route_totals(priced_bridge_events(ev, tt, S, E))._jdf.queryExecution().optimizedPlan().toString()
+    plan = bridge.bridge_route_totals(bridge_sides(ev, tt, S, E))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in plan and "LeftOuter" not in plan
-    plan = bridge.bridge_kpis(priced_bridge_events(ev, tt, S, E))._jdf.queryExecution().optimizedPlan().toString()
+    plan = bridge.bridge_kpis(bridge_sides(ev, tt, S, E))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" in plan
 
 
 _HASHES = ["0xa", "0xb", "0xc", "0xA", ""]
+_EVENT_HASHES = [*_HASHES, None]
 _DAYS = ["2024-12-31", "2025-01-01", "2025-01-15", "2025-01-31", "2025-02-01"]
-_event = st.tuples(st.sampled_from(_DAYS), st.sampled_from(_HASHES), st.sampled_from(["Ethereum", "ethereum", "BSC"]), st.sampled_from(["s1", "s2", None]))
+_event = st.tuples(st.sampled_from(_DAYS), st.sampled_from(_EVENT_HASHES), st.sampled_from(["Ethereum", "ethereum", "BSC"]), st.sampled_from(["s1", "s2", None]))
 _transfer = st.tuples(
     st.sampled_from(_HASHES),
     st.integers(0, 9),
@@ -178,9 +181,9 @@ def test_pre_aggregated_join_equals_row_level_join_random(spark, events, transfe
         TT,
     )
     brute = _brute_force_overview(ev, tt, S, E)
-    priced = priced_bridge_events(ev, tt, S, E)
+    sides = bridge_sides(ev, tt, S, E)
     want = brute.agg(F.count_distinct("tx_hash"), F.count_distinct("sender"), F.round(F.sum("amount_usd"))).collect()
-    assert [tuple(r) for r in bridge.bridge_kpis(priced).collect()] == [tuple(want[0])]
+    assert [tuple(r) for r in bridge.bridge_kpis(sides).collect()] == [tuple(want[0])]
     want_routes = sorted(
         tuple(r)
         for r in brute.where(F.col("amount_usd").isNotNull())
@@ -188,4 +191,35 @@ def test_pre_aggregated_join_equals_row_level_join_random(spark, events, transfe
         .agg(F.count_distinct("tx_hash"), F.round(F.sum("amount_usd")))
         .collect()
     )
-    assert sorted(tuple(r) for r in bridge.bridge_route_totals(priced).collect()) == want_routes
+    assert sorted(tuple(r) for r in bridge.bridge_route_totals(sides).collect()) == want_routes
+
+
+def test_priced_rows_keep_every_transfer(spark):
+    ev, tt = inputs(spark)
+    rows = priced_bridge_rows(ev, tt, S, E)
+    assert rows.count() == 11  # 2 events x 3 transfers, five events with one row each
+    ab = sorted(r.amount_usd for r in rows.where("tx_hash = '0xab'").collect())
+    assert ab == [10.0] * 6
+    assert [r.amount for r in rows.where("tx_hash = '0xcd'").collect()] == [None]
+    assert [(r.amount, r.amount_usd) for r in rows.where("tx_hash = '0x99'").collect()] == [(5.0, None)]
+
+
+def test_hot_and_null_hashes_are_collapsed_before_the_join(spark):
+    n = 1000
+    events = spark.range(3 * n).selectExpr(
+        "DATE '2025-01-10' AS event_date",
+        f"CASE WHEN id < {n} THEN '0xhot' WHEN id < {2 * n} THEN NULL ELSE concat('0x', id) END AS tx_hash",
+        "'a' AS source_chain", "'b' AS destination_chain", "concat('s', id % 7) AS sender",
+    )
+    totals = spark.createDataFrame([("0xhot", 2.0)], "tx_hash string, amount_usd double")
+    into_join = bridge._collapsed(events, totals, ["source_chain", "destination_chain"], "left").groupBy("tx_hash").count()
+    assert {r["count"] for r in into_join.collect()} == {1}
+    k = bridge.bridge_kpis(BridgeSides(events, totals)).collect()[0]
+    assert (k.txn_count, k.user_count, k.volume_usd) == (n + 1, 7, 2.0 * n)
+
+
+def test_volume_branch_has_no_expand(spark):
+    ev, tt = inputs(spark)
+    for report in (bridge.bridge_kpis, bridge.bridge_over_time, bridge.bridge_route_totals):
+        plan = report(bridge_sides(ev, tt, S, E))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Expand" not in plan

@@ -8,7 +8,7 @@ import pytest
 from conftest import ts
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import priced_bridge_events, unified_transfers
+from ledgerlens.operators import bridge_sides, priced_bridge_events, unified_transfers
 from ledgerlens.params import ROUTER_ADDRESSES
 from ledgerlens.plans import bridge, routed
 
@@ -69,10 +69,11 @@ def test_hot_hash_does_not_fan_out(spark, small_skew_thresholds):
     ev, tt = _frames(spark)
     priced = priced_bridge_events(ev, tt, S, E)
     assert priced.count() == HOT + COLD  # one row per event, not HOT * HOT for the hot hash
-    k = bridge.bridge_kpis(priced).collect()[0]
+    sides = bridge_sides(ev, tt, S, E)
+    k = bridge.bridge_kpis(sides).collect()[0]
     # each hot event is priced by all HOT hot transfers of 1 USD; each cold one by its own
     assert (k.txn_count, k.user_count, k.volume_usd) == (1 + COLD, 7, float(HOT * HOT + COLD))
-    routes = bridge.bridge_route_totals(priced).collect()
+    routes = bridge.bridge_route_totals(sides).collect()
     assert [(r.txn_count, r.volume_usd) for r in routes] == [(1 + COLD, float(HOT * HOT + COLD))]
 
 

@@ -45,7 +45,14 @@ def test_ingest_then_report_matches_batch(spark, tmp_path):
 
 
 def test_transfer_values_ingest_prices_bridge_events(spark, tmp_path):
-    from ledgerlens.operators import price_events, priced_bridge_events, totals_per_hash
+    from ledgerlens.operators import (
+        BridgeSides,
+        bridge_events_in_range,
+        bridge_sides,
+        price_events,
+        priced_bridge_events,
+        totals_per_hash,
+    )
     from ledgerlens.plans import bridge
     from ledgerlens.streaming import read_transfer_values, start_transfer_values_ingest
 
@@ -58,7 +65,11 @@ def test_transfer_values_ingest_prices_bridge_events(spark, tmp_path):
         start_transfer_values_ingest(spark, src, out, ckpt, available_now=True).awaitTermination(300)
 
     for start, end in [(S, E), ("1997-06-01", "1998-06-30")]:
-        from_table = price_events(events, totals_per_hash(read_transfer_values(spark, out, start, end), start, end), start, end)
+        totals = totals_per_hash(read_transfer_values(spark, out, start, end), start, end)
+        from_table = price_events(events, totals, start, end)
         batch = priced_bridge_events(events, tt, start, end)
         assert sorted(from_table.collect()) == sorted(batch.collect())
-        assert bridge.bridge_route_totals(from_table).collect() == bridge.bridge_route_totals(batch).collect()
+        sides = BridgeSides(bridge_events_in_range(events, start, end), totals)
+        assert bridge.bridge_route_totals(sides).collect() == (
+            bridge.bridge_route_totals(bridge_sides(events, tt, start, end)).collect()
+        )
