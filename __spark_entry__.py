@@ -34,8 +34,8 @@ import oracle_queries as oq  # noqa: E402
 from ledgerlens import load_inputs  # noqa: E402
 from ledgerlens.functions import contains_any_ci, json_leaves, safe_double  # noqa: E402
 from ledgerlens.operators import contract_call_fee as fee_expr  # noqa: E402
+from ledgerlens.operators import bridge_sides, priced_bridge_rows, token_transfer_amounts, unified_transfers  # noqa: E402
 from ledgerlens.operators import priced_bridge_events as priced_events  # noqa: E402
-from ledgerlens.operators import token_transfer_amounts, unified_transfers  # noqa: E402
 from ledgerlens.operators.routed import CONTRACT_CALL_PATHS  # noqa: E402
 from ledgerlens.params import ROUTER_ADDRESSES, SERVICE_CONTRACT_CALLS, SERVICE_TOKEN_TRANSFERS  # noqa: E402
 from ledgerlens.plans import bridge, ledger, routed  # noqa: E402
@@ -64,7 +64,8 @@ def _ledger(report, rng, *extra):
 def _routed(report, rng, *extra):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         inp = load_inputs(spark, sf_dir)
-        return report(unified_transfers(inp.token_transfers, inp.contract_calls), *rng, *extra)
+        columns = routed.columns_of(report.__name__)
+        return report(unified_transfers(inp.token_transfers, inp.contract_calls, columns=columns), *rng, *extra)
 
     return run
 
@@ -72,7 +73,7 @@ def _routed(report, rng, *extra):
 def _bridge(report, rng, *extra):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         inp = load_inputs(spark, sf_dir)
-        return report(priced_events(inp.bridge_events, inp.token_transfers, *rng), *extra)
+        return report(bridge_sides(inp.bridge_events, inp.token_transfers, *rng), *extra)
 
     return run
 
@@ -90,6 +91,14 @@ def _priced_bridge_events(rng):
     return run
 
 
+def _priced_bridge_rows(rng):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inp = load_inputs(spark, sf_dir)
+        return priced_bridge_rows(inp.bridge_events, inp.token_transfers, *rng)
+
+    return run
+
+
 def safe_double_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed leaves of every token transfer (all JSON kinds, malformed documents)."""
     tt = load_inputs(spark, sf_dir).token_transfers
@@ -185,6 +194,8 @@ def _registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "unified_transfers": (unified_transfers_query, oq.unified_transfers()),
         "priced_bridge_events": (_priced_bridge_events(CHAIN_ALL), oq.priced_bridge_events(*CHAIN_ALL)),
         "priced_bridge_events_1998": (_priced_bridge_events(CHAIN_1998), oq.priced_bridge_events(*CHAIN_1998)),
+        "priced_bridge_rows": (_priced_bridge_rows(CHAIN_ALL), oq.priced_bridge_rows(*CHAIN_ALL)),
+        "priced_bridge_rows_1998": (_priced_bridge_rows(CHAIN_1998), oq.priced_bridge_rows(*CHAIN_1998)),
         "safe_double_extract": (safe_double_extract, oq.safe_double_extract()),
         "contract_call_fee": (contract_call_fee, oq.contract_call_fee()),
         "address_match": (address_match, oq.address_match()),

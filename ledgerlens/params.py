@@ -35,8 +35,8 @@ ROUTER_ADDRESSES = (
 def check_grain(grain: str) -> str:
     """Return ``grain`` if it is one of :data:`GRAINS`, else raise ``ValueError``.
 
-    The grain is spliced into ``date_trunc`` as a unit name, so it comes from an
-    allow-list, never from free text.
+    It names the unit that dates are truncated to, so it comes from an allow-list, never
+    from free text.
     """
     if grain not in GRAINS:
         raise ValueError(f"unknown grain {grain!r}; expected one of {GRAINS}")

@@ -35,10 +35,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # Remove reliable-checkpoint files once their DataFrames are no longer referenced
         # (Dashboard(reuse="checkpoint") writes one set per refresh).
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        # Let HotSpot JIT-compile generated stage methods above 8000 bytes of bytecode
-        # (wide report stages otherwise run in the bytecode interpreter).
-        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
-        .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)

@@ -89,8 +89,11 @@ def start_routed_ingest(
 
 
 def _start(frame: DataFrame, output_path: str, checkpoint_path: str, available_now: bool, processing_time: str) -> StreamingQuery:
+    # One file per date and batch (a large date is split by AQE's rebalance), not one per
+    # task and date.
     writer = (
-        frame.writeStream.format("parquet")
+        frame.hint("rebalance", PARTITION_COLUMN)
+        .writeStream.format("parquet")
         .option("path", output_path)
         .option("checkpointLocation", checkpoint_path)
         .partitionBy(PARTITION_COLUMN)
