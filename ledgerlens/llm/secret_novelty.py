@@ -73,7 +73,8 @@ def novelty(candidate: str, before: str, after: str) -> float:
     """Marginal compressed bytes of ``candidate`` for each of its bytes.
 
     Further copies of it nearby do not make it known."""
-    known = f"{IDENTIFIERS}\n{after}\n{before}".replace(candidate, "").encode()
+    around = f"{after}\n{before}".replace(candidate, "")
+    known = f"{IDENTIFIERS}\n{around}".encode()
     primed = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     compress = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False).compress
     data = candidate.encode()
