@@ -3,11 +3,12 @@
 A text's letters, lower-cased, give hashed byte trigrams; log counts times inverse document
 frequency, normalised, are its vector. Each language has several centroids (spherical
 k-means over a sample of its documents); the nearest of all by cosine names the language.
-A document is rejected when it is farther from every centroid than its length allows: the
-floor is a share of the lowest cosine that sampled documents of that length or more have,
-so only texts unlike anything learnt fall below; texts too short to tell are not rejected.
+A document is rejected when it is farther from every centroid than documents of the learnt
+languages are: the floor is a share of the lowest cosine that sampled documents have to
+centroids fitted on the sample's other half, so only texts unlike anything learnt fall
+below; texts too short to tell are not rejected.
 
-The model (document frequencies, centroids, floors) is fitted on at most
+The model (document frequencies, centroids, floor) is fitted on at most
 ``SAMPLE_PER_LANGUAGE`` labelled rows a language, chosen by a hash of their id; prediction
 reads every whole text and nothing but the text.
 
@@ -37,12 +38,12 @@ SAMPLE_PER_LANGUAGE = 1000
 CLUSTERS = 4
 DIMENSIONS = 1 << 12
 ROUNDS = 8
-#: Share of the sample's lowest cosine (at a length) below which a document is rejected.
+#: Share of the sample's lowest cosine below which a document is rejected.
 SLACK = 0.5
-#: Texts of fewer trigrams than 2 to this power are too short to be rejected.
-SHORTEST_CLASS = 6
-#: Lengths are told apart by the power of two of their trigrams, up to this.
-LENGTHS = 24
+#: Sampled documents of a language from which they tell how far its documents can be.
+ENOUGH = 16
+#: Texts of fewer trigrams are too short to be rejected.
+LEAST_TRIGRAMS = 64
 ROWS_AT_ONCE = 256
 
 
@@ -69,10 +70,6 @@ def normalised(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return weighted / np.where(length == 0, 1, length)
 
 
-def length_class(trigrams: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(trigrams, 1)).astype(int), LENGTHS - 1)
-
-
 @dataclass
 class Model:
     """At most languages x ``CLUSTERS`` centroids of ``DIMENSIONS`` numbers."""
@@ -80,7 +77,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
-    floors: np.ndarray
+    floor: float
 
     def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each row of counts."""
@@ -92,7 +89,7 @@ class Model:
         score = np.clip(cosines.max(axis=1).astype(float), 0, 1)
         none = total == 0
         score[none] = 0
-        rejected = none | (score < self.floors[length_class(total)])
+        rejected = none | ((total >= LEAST_TRIGRAMS) & (score < self.floor))
         return ["und" if n else self.languages[b] for n, b in zip(none, best, strict=True)], score, rejected
 
 
@@ -133,7 +130,8 @@ def fit(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int
     A language's rows are drawn at the rate that gives about the bound, then cut to it, so
     the cut orders a bounded number of rows whatever share of the table the language has."""
     labelled = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # One row a language, written so that Spark knows its size and leaves the texts unmoved.
+    counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
     place = drawn(F.col("doc_id")) / float(2**52)
     few = labelled.join(counts, "lang").where(place < F.lit(2.0 * per_language) / F.col("rows")).select("doc_id", "text", "lang")
     order = Window.partitionBy("lang").orderBy(drawn(F.col("doc_id")), "doc_id", "text")
@@ -160,27 +158,29 @@ def fit(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int
         seen = _as_counts(part["counts"])
         unit = normalised(seen, idf)
         centroids = spherical_kmeans(unit, clusters)
-        nearest = np.clip((unit @ centroids.T).max(axis=1), 0, 1)
-        floors = np.full(LENGTHS, np.inf)
-        np.minimum.at(floors, length_class(seen.sum(axis=1)), nearest)
+        lowest = np.inf
+        if len(part) >= ENOUGH:  # how near are documents that the centroids have not seen?
+            fold = np.arange(len(part)) % 2
+            for k in (0, 1):
+                others = spherical_kmeans(unit[fold != k], clusters)
+                long = (fold == k) & (seen.sum(axis=1) >= LEAST_TRIGRAMS)
+                lowest = min(lowest, (unit[long] @ others.T).max(axis=1).min(initial=np.inf))
         return pd.DataFrame(
             {
                 "lang": part["lang"].iloc[0],
                 "centroid": [c.astype("<f4").tobytes() for c in centroids],
-                "floors": [floors.astype("<f4").tobytes()] * len(centroids),
+                "lowest": float(lowest),
             }
         )
 
-    learnt = vectors.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floors binary")
-    made = sorted((r["lang"], bytes(r["centroid"]), bytes(r["floors"])) for r in learnt.collect())
-    lowest = np.min([np.frombuffer(f, "<f4") for _, _, f in made], axis=0) if made else np.full(LENGTHS, np.inf)
-    floors = SLACK * np.minimum.accumulate(lowest[::-1])[::-1]
-    floors[:SHORTEST_CLASS] = 0
+    learnt = vectors.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, lowest double")
+    made = sorted((r["lang"], bytes(r["centroid"]), r["lowest"]) for r in learnt.collect())
+    floor = SLACK * min((x for _, _, x in made), default=np.inf)
     return Model(
         idf,
         np.stack([np.frombuffer(c, "<f4") for _, c, _ in made]) if made else np.zeros((0, DIMENSIONS), np.float32),
         [lang for lang, _, _ in made],
-        np.where(np.isfinite(floors), floors, 0),
+        float(floor) if np.isfinite(floor) else 0.0,
     )
 
 
