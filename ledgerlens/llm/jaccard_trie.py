@@ -2,8 +2,9 @@
 
 A document is its set of word shingles, as tokens in one global order, rare words first:
 the order's first byte comes from a fixed-size table of word counts over the whole table,
-the rest is a hash. Two sets at the threshold share one of their first few tokens, so
-these tokens are the keys of :mod:`.links`. In a block the sets are stored, frequent tokens
+the rest is a hash. Two sets at the threshold share several of their first tokens, so these
+tokens are the keys of :mod:`.links`; their sizes are alike, so blocks are parted by size.
+In a block the sets are stored, frequent tokens
 first, in a trie whose edges hold runs of tokens; looking up a set goes down the trie once,
 sharing the overlap with common beginnings, and leaves a subtree when even the tokens that
 remain on both sides cannot reach the threshold.
@@ -22,16 +23,19 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import connected_components, materialise
+from .common import arrow_rows, connected_components, materialise
 from .words import parts, shingle_hashes, word_hashes
 
+#: So many first tokens two linked sets must share, the more of long ones: the larger of the
+#: number and the share of the size (or the whole overlap, if that is less).
+SHARED_KEYS = 8
+SHARED_PART = 20
 #: Word counts are kept in so many buckets (a power of two), whatever the table's size.
 TABLE_BITS = 22
 BLOCKS = 64
@@ -144,25 +148,22 @@ def word_levels(texts: DataFrame) -> np.ndarray:
             at, times = np.unique(words >> np.uint64(64 - TABLE_BITS), return_counts=True)
             table[at] += times.astype(np.uint32)
         share = TaskContext.get().partitionId() % PARTIAL_SUMS
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(BLOCKS), pa.int32()),
-                pa.array([share] * BLOCKS, pa.int32()),
-                pa.array([table[k * width : (k + 1) * width].astype("<u8").tobytes() for k in range(BLOCKS)], pa.binary()),
-            ],
-            names=["block", "share", "counts"],
-        )
+        for k in range(BLOCKS):
+            counts = table[k * width : (k + 1) * width].astype("<u8").tobytes()
+            columns = [pa.array([k], pa.int32()), pa.array([share], pa.int32()), pa.array([counts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "share", "counts"])
 
-    def total(part: pd.DataFrame) -> pd.DataFrame:
+    def total(part: pa.Table) -> pa.Table:
         summed = np.zeros(width, np.uint64)
         for counts in part["counts"]:
-            summed += np.frombuffer(counts, "<u8")
-        return pd.DataFrame({"block": part["block"].iloc[:1], "share": 0, "counts": [summed.tobytes()]})
+            summed += np.frombuffer(counts.as_py(), "<u8")
+        columns = [part["block"][:1].combine_chunks(), pa.array([0], pa.int32()), pa.array([summed.tobytes()], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["block", "share", "counts"])
 
     columns = "block int, share int, counts binary"
     tables = texts.mapInArrow(count, columns)
     for keys in (["block", "share"], ["block"]):
-        tables = tables.groupBy(*keys).applyInPandas(total, columns)
+        tables = tables.groupBy(*keys).applyInArrow(total, columns)
     counts = np.zeros(1 << TABLE_BITS, np.uint64)
     for row in tables.collect():  # BLOCKS rows
         counts[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], "<u8")
@@ -177,9 +178,32 @@ def token_sets(texts: pa.Array, width: int, levels: np.ndarray) -> list[np.ndarr
     return [np.unique(tokens[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def keys_needed(n: int, num: int, den: int) -> int:
-    """How many first tokens two sets at the threshold cannot all differ in."""
-    return n - -(-num * n // den) + 1 if n else 0
+def least_overlap(n: int, num: int, den: int) -> int:
+    """The least overlap with any set at the threshold."""
+    return -(-num * n // den)
+
+
+def shared_at_least(n: int, num: int, den: int) -> int:
+    """How many of their first tokens a set of ``n`` and a larger linked one share."""
+    return min(max(SHARED_KEYS, -(-n // SHARED_PART)), least_overlap(n, num, den))
+
+
+def first_tokens(n: int, num: int, den: int) -> int:
+    """How many first tokens hold :func:`shared_at_least` of any overlap at the threshold."""
+    return n - least_overlap(n, num, den) + shared_at_least(n, num, den)
+
+
+def shared_needed(n: Column, num: int, den: int) -> Column:
+    """How many first tokens of a set of ``n`` every linked set shares: what the smallest set
+    that can link with it would."""
+    smallest = F.ceil(n * num / F.lit(den))
+    return F.least(F.greatest(F.lit(SHARED_KEYS), F.ceil(smallest / F.lit(SHARED_PART))), F.ceil(smallest * num / F.lit(den)))
+
+
+def size_class(n: Column, num: int, den: int) -> Column:
+    """Linked sets are in the same class or in adjacent ones (a little wider than need be,
+    so that rounding cannot tell two apart)."""
+    return F.floor(F.log(n.cast("double")) / F.lit(1.0001 * float(np.log(den / num))))
 
 
 def _signatures(levels: Broadcast, width: int, num: int, den: int):
@@ -191,7 +215,7 @@ def _signatures(levels: Broadcast, width: int, num: int, den: int):
                     part.column(0).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([s[: keys_needed(len(s), num, den)].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([s[: first_tokens(len(s), num, den)].view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "n", "digest", "keys"],
             )
@@ -199,14 +223,24 @@ def _signatures(levels: Broadcast, width: int, num: int, den: int):
     return run
 
 
-def _dealt_sets(levels: Broadcast, width: int):
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[dict]]]:
+def _sets_in(levels: Broadcast, bitmap: Broadcast, width: int):
+    """(id, tokens) of the documents that the filter lets pass."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 1):
+            ids = part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            part = part.filter(pa.array(links.passes(bitmap.value, ids)))
             sets = token_sets(part.column(1), width, levels.value)
-            for i, s, homes in zip(part.column(0).to_pylist(), sets, part.column(2).to_pylist(), strict=True):
-                yield i, s.tobytes(), homes
+            payloads = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), payloads], names=["doc_id", "tokens"])
+
+    return run
 
-    return lambda batches: links.deal_rows(rows(batches))
+
+def _deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return links.deal_rows(
+        row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    )
 
 
 def jaccard_components(
@@ -221,19 +255,30 @@ def jaccard_components(
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest
     doc_id reachable by links of similarity ``num`` / ``den`` or more)."""
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    levels = docs.sparkSession.sparkContext.broadcast(word_levels(raw.select("text")))
-    signed = materialise(
-        raw.mapInArrow(_signatures(levels, width, num, den), "doc_id long, n long, digest binary, keys array<long>")
-    )
+    spark = docs.sparkSession
+    with arrow_rows(spark, links.TEXTS_AT_ONCE):
+        levels = spark.sparkContext.broadcast(word_levels(raw.select("text")))
+        signed = materialise(
+            raw.mapInArrow(_signatures(levels, width, num, den), "doc_id long, n long, digest binary, keys array<long>")
+        )
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     distinct = known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("weight"), F.first("keys").alias("keys"))
     records = distinct.select(F.explode("keys").alias("key"), "id", "weight")
 
     def with_sets(placed: DataFrame) -> DataFrame:
-        taken = raw.join(placed, raw["doc_id"] == placed["id"]).select("doc_id", "text", "homes")
-        return taken.mapInArrow(_dealt_sets(levels, width), links.DEALT_COLUMNS)
-
-    found = links.links(records, with_sets, trie_index(num, den), chunk_weight)
+        bitmap = spark.sparkContext.broadcast(links.id_filter(placed.select("id")))
+        sets = raw.where("doc_id IS NOT NULL").mapInArrow(_sets_in(levels, bitmap, width), "doc_id long, tokens binary")
+        taken = sets.join(placed, sets["doc_id"] == placed["id"]).select("id", "tokens", "homes")
+        return taken.mapInArrow(_deal, links.DEALT_COLUMNS)
+
+    found = links.links(
+        records,
+        with_sets,
+        trie_index(num, den),
+        chunk_weight,
+        needed=lambda n: shared_needed(n, num, den),
+        length_class=lambda n: size_class(n, num, den),
+    )
     of_digest = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
     # A copy is linked with its set's first document.
     copies = (

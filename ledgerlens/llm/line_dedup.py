@@ -22,22 +22,17 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import connected_components, materialise, null_safe
+from .common import arrow_rows, connected_components, materialise
 from .words import mixed, parts, prefix_sums, substring_hashes
 
 THRESHOLD = 2
 LEAST_CHARS = 50
-#: The filter that tells which lines are in blocks: a bitmap of this fixed size.
-FILTER_BITS = 24
-FILTER_BLOCKS = 16
-PARTIAL_SUMS = 16
 
 
 def segments(length: int, count: int) -> list[tuple[int, int]]:
@@ -220,54 +215,17 @@ def _keys(threshold: int, least_chars: int):
     return run
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the ids' last bits: of fixed size, made in the tasks and united in two steps.
-
-    On very many ids it lets every line pass; it only saves moving text that no block needs."""
-    width = (1 << FILTER_BITS) // 8 // FILTER_BLOCKS
-    mask = (1 << FILTER_BITS) - 1
-
-    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            seen[batch.column(0).to_numpy(zero_copy_only=False) & mask] = True
-        packed = np.packbits(seen).reshape(FILTER_BLOCKS, width)
-        share = TaskContext.get().partitionId() % PARTIAL_SUMS
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(FILTER_BLOCKS), pa.int32()),
-                pa.array([share] * FILTER_BLOCKS, pa.int32()),
-                pa.array([x.tobytes() for x in packed], pa.binary()),
-            ],
-            names=["block", "share", "bits"],
-        )
-
-    def unite(part: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in part["bits"]], axis=0)
-        return pd.DataFrame({"block": part["block"].iloc[:1], "share": 0, "bits": [bits.tobytes()]})
-
-    columns = "block int, share int, bits binary"
-    marked = ids.mapInArrow(mark, columns)
-    for keys in (["block", "share"], ["block"]):
-        marked = marked.groupBy(*keys).applyInPandas(unite, columns)
-    out = np.zeros((FILTER_BLOCKS, width), np.uint8)
-    for row in marked.collect():  # FILTER_BLOCKS rows
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.ravel()
-
-
 def _lines_in(bitmap: Broadcast, least_chars: int):
     """(id, line) of the distinct long lines of each part that the filter lets pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bitmap.value).astype(bool)
         for part in parts(batches, 1):
             texts = _texts(part.column(1))
             _, _, starts, ends, solid, sums = split_lines(texts)
             long = solid & (ends - starts >= least_chars)
             starts, ends = starts[long], ends[long]
             ids, first = np.unique(substring_hashes(sums, starts, ends).view(np.int64), return_index=True)
-            passed = bits[ids & ((1 << FILTER_BITS) - 1)]
+            passed = links.passes(bitmap.value, ids)
             joined = "\n".join(texts)
             spans = zip(starts[first][passed].tolist(), ends[first][passed].tolist(), strict=True)
             lines = pa.array([joined[a:b] for a, b in spans], pa.string())
@@ -300,11 +258,12 @@ def line_classes(
     if least_chars <= 2 * threshold:
         raise ValueError("least_chars must exceed twice the threshold, for segments of a character or more")
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    lines = materialise(raw.mapInArrow(_occurrences, "doc_id long, line_no int, id long"))
+    with arrow_rows(docs.sparkSession, links.TEXTS_AT_ONCE):
+        lines = materialise(raw.mapInArrow(_occurrences, "doc_id long, line_no int, id long"))
     records = raw.mapInArrow(_keys(threshold, least_chars), "key long, id long, weight long")
 
     def with_lines(placed: DataFrame) -> DataFrame:
-        bitmap = docs.sparkSession.sparkContext.broadcast(_id_filter(placed.select("id")))
+        bitmap = docs.sparkSession.sparkContext.broadcast(links.id_filter(placed.select("id")))
         found = raw.mapInArrow(_lines_in(bitmap, least_chars), "id long, line string")
         each = placed.join(found, "id").groupBy("id").agg(F.first("line").alias("line"), F.first("homes").alias("homes"))
         return each.mapInArrow(_deal, links.DEALT_COLUMNS)

@@ -1,14 +1,17 @@
 """Linking records that share keys, without emitting the pairs of a key's group.
 
 A similarity join's filter gives each record some keys, so that every two records that may
-link share a key. The records of a key form a block under the key's hub, its smallest id:
-all keys with the same hub make one block, into which a record goes once. A task links the
-records of a block and gives a spanning forest of the links found.
-
-A block above ``chunk_weight`` is dealt into chunks, each with the hub in it. Records that
-their chunk links with the hub are in one component already; only the others (leftovers)
-are then compared with all other chunks. So a large group of near copies costs about one
-comparison a record, and no link between records of different components is lost.
+link share a key, or several: a record with fewer shared keys than its links would have is
+left out. The records of a key form a block under the key's hub, its smallest id: all keys
+with the same hub make one block, into which a record goes once. Where records can only
+link within a length class or with the next one, a block is parted by these classes. A task
+links the records of a block and gives a spanning forest of the links found.
+
+A block above ``chunk_weight`` is dealt into chunks, each with the block's center (its
+smallest id) in it. Records that their chunk links with the center are in one component
+already; only the others (leftovers) are then compared with all other chunks. So a large
+group of near copies costs about one comparison a record, and no link between records of
+different components is lost.
 """
 
 from __future__ import annotations
@@ -17,35 +20,92 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import arrow_rows, materialise
 
 CHUNK_WEIGHT = 1 << 18
+#: The filter that tells which ids are in blocks: a bitmap of this fixed size.
+FILTER_BITS = 24
+FILTER_MASK = (1 << FILTER_BITS) - 1
+FILTER_BLOCKS = 16
+PARTIAL_SUMS = 16
 FLUSH_BYTES = 8 << 20
 
+#: Rows of payloads that a task takes at a time.
+ROWS_AT_ONCE = 400
+#: Texts that a task takes at a time.
+TEXTS_AT_ONCE = 2000
+
 #: Finds the linked records of a block: built from the payloads, called with a payload, it
 #: returns the positions of those that link with it.
 Index = Callable[[Sequence[bytes]], Callable[[bytes], Sequence[int]]]
 
 
-def hub_members(records: DataFrame) -> DataFrame:
-    """(hub, id, weight) from (key, id, weight): each record once per hub of its keys."""
-    groups = records.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
-    shared = groups.where("hub < last").select("key", "hub")
-    return records.join(shared, "key").groupBy("hub", "id").agg(F.max("weight").alias("weight"))
-
+def hub_members(records: DataFrame, needed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(hub, id, weight) from (key, id, weight): each record once per hub of its keys.
 
-def homes(members: DataFrame, chunk_weight: int) -> DataFrame:
-    """(id, homes) from (hub, id, weight): the chunks (hub, chunk, chunks) that it goes to."""
-    sizes = members.groupBy("hub").agg(F.ceil(F.sum("weight") / F.lit(chunk_weight)).cast("int").alias("chunks"))
-    large = sizes.where("chunks > 1")
-    dealt = members.join(large, "hub", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    ``needed`` tells from the weight how many shared keys a record must have to link."""
+    groups = records.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
+    # One row a key, and fewer keys than records: hashed in each task, the records need no sort.
+    shared = groups.where("hub < last").select("key", "hub").hint("shuffle_hash")
+    members = (
+        records.join(shared, "key")
+        .groupBy("hub", "id")
+        .agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("keys"))
+    )
+    if needed is not None:
+        # Linked records share the needed keys over the hubs that they have in common, so under
+        # one of these hubs at least the needed number by the hubs of either. Elsewhere, and with
+        # too few keys in all, a record meets nothing it links with that it does not meet there.
+        # (A record has few hubs: no more than keys.)
+        of_id = Window.partitionBy("id")
+        least = needed(F.col("weight"))
+        members = (
+            members.withColumn("all_keys", F.sum("keys").over(of_id))
+            .withColumn("hubs", F.count(F.lit(1)).over(of_id))
+            .where((F.col("all_keys") >= least) & (F.col("keys") * F.col("hubs") >= least))
+        )
+    return members.select("hub", "id", "weight")
+
+
+def homes(
+    members: DataFrame, chunk_weight: int, length_class: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """(id, homes) from (hub, id, weight): the chunks (block, chunk, chunks, center) it goes to.
+
+    With classes, a record goes to its hub's block of its own class and of the next, unless
+    there is no record of that class to meet."""
+    if length_class is None:
+        parted = members.select(F.col("hub").alias("block"), "id", "weight", F.lit(1).alias("own"))
+    else:
+        own = length_class(F.col("weight")).cast("long")
+        both = members.withColumn("class", F.explode(F.array(own, own + 1)))
+        parted = both.select(
+            F.xxhash64("hub", "class").alias("block"),
+            "id",
+            "weight",
+            (F.col("class") == own).cast("int").alias("own"),
+        )
+    blocks = (
+        parted.groupBy("block")
+        .agg(
+            F.min("id").alias("center"),
+            F.count(F.lit(1)).alias("records"),
+            F.max("own").alias("met"),
+            F.ceil(F.sum("weight") / F.lit(chunk_weight)).cast("int").alias("chunks"),
+        )
+        .where("records > 1 AND met = 1")
+        .select("block", "center", "chunks")
+    )
+    dealt = parted.join(blocks, "block")
+    one = F.array(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    placed = dealt.withColumn("chunk", F.explode(F.when(F.col("id") == F.col("hub"), every).otherwise(own)))
-    return placed.groupBy("id").agg(F.collect_list(F.struct("hub", "chunk", "chunks")).alias("homes"))
+    placed = dealt.withColumn("chunk", F.explode(F.when(F.col("id") == F.col("center"), every).otherwise(one)))
+    return placed.groupBy("id").agg(F.collect_list(F.struct("block", "chunk", "chunks", "center")).alias("homes"))
 
 
 class Components:
@@ -97,7 +157,53 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-LINKS = pa.schema([("hub", pa.int64()), ("chunk", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the ids' last bits: of fixed size, made in the tasks and united in two steps.
+
+    On very many ids it lets every record pass; it only saves moving payloads that no block
+    needs."""
+    width = (1 << FILTER_BITS) // 8 // FILTER_BLOCKS
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False) & FILTER_MASK
+            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        packed = packed.reshape(FILTER_BLOCKS, width)
+        share = TaskContext.get().partitionId() % PARTIAL_SUMS
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(range(FILTER_BLOCKS), pa.int32()),
+                pa.array([share] * FILTER_BLOCKS, pa.int32()),
+                pa.array([x.tobytes() for x in packed], pa.binary()),
+            ],
+            names=["block", "share", "bits"],
+        )
+
+    def unite(part: pa.Table) -> pa.Table:
+        bits = np.zeros(width, np.uint8)
+        for b in part["bits"]:
+            bits |= np.frombuffer(b.as_py(), np.uint8)
+        columns = [part["block"][:1].combine_chunks(), pa.array([0], pa.int32()), pa.array([bits.tobytes()], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["block", "share", "bits"])
+
+    columns = "block int, share int, bits binary"
+    marked = ids.mapInArrow(mark, columns)
+    for keys in (["block", "share"], ["block"]):
+        marked = marked.groupBy(*keys).applyInArrow(unite, columns)
+    out = np.zeros((FILTER_BLOCKS, width), np.uint8)
+    for row in marked.collect():  # FILTER_BLOCKS rows
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def passes(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids :func:`id_filter`'s bitmap lets pass."""
+    at = ids & FILTER_MASK
+    return (bitmap[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
+LINKS = pa.schema([("block", pa.int64()), ("chunk", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _flush(rows: list[tuple]) -> pa.RecordBatch:
@@ -107,17 +213,17 @@ def _flush(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _link_chunks(index: Index):
-    """(hub, chunk, a, b): links a-b, and leftovers a with a null b."""
+    """(block, chunk, a, b): links a-b, and leftovers a with a null b."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for rows in _groups(batches):
-            hub, chunk, chunks = rows[0][:3]
-            rows.sort(key=lambda r: r[3] != hub)
-            links, parts = link_block([r[4] for r in rows], index)
-            out += [(hub, chunk, rows[i][3], rows[j][3]) for i, j in links]
+            block, chunk, chunks, center = rows[0][:4]
+            rows.sort(key=lambda r: r[4] != center)
+            links, parts = link_block([r[5] for r in rows], index)
+            out += [(block, chunk, rows[i][4], rows[j][4]) for i, j in links]
             if chunks > 1:
-                out += [(hub, chunk, rows[i][3], None) for i in np.flatnonzero(parts.label != parts.label[0])]
+                out += [(block, chunk, rows[i][4], None) for i in np.flatnonzero(parts.label != parts.label[0])]
             if len(out) > 50_000:
                 yield _flush(out)
                 out = []
@@ -133,15 +239,15 @@ def _link_leftovers(index: Index):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for rows in _groups(batches):
-            own = [r for r in rows if not r[5]]
+            own = [r for r in rows if not r[6]]
             if not own:
                 continue
-            payloads = [r[4] for r in own]
+            payloads = [r[5] for r in own]
             _, parts = link_block(payloads, index)
             find = index(payloads)
-            for probe in (r for r in rows if r[5]):
-                one = {int(parts.label[i]): i for i in find(probe[4])}
-                out += [(probe[0], probe[1], probe[3], own[i][3]) for i in one.values()]
+            for probe in (r for r in rows if r[6]):
+                one = {int(parts.label[i]): i for i in find(probe[5])}
+                out += [(probe[0], probe[1], probe[4], own[i][4]) for i in one.values()]
             if len(out) > 50_000:
                 yield _flush(out)
                 out = []
@@ -153,16 +259,17 @@ def _link_leftovers(index: Index):
 
 DEALT = pa.schema(
     [
-        ("hub", pa.int64()),
+        ("block", pa.int64()),
         ("chunk", pa.int32()),
         ("chunks", pa.int32()),
+        ("center", pa.int64()),
         ("id", pa.int64()),
         ("payload", pa.binary()),
         ("probe", pa.bool_()),
     ]
 )
-DEALT_COLUMNS = "hub long, chunk int, chunks int, id long, payload binary, probe boolean"
-LINK_COLUMNS = "hub long, chunk int, a long, b long"
+DEALT_COLUMNS = "block long, chunk int, chunks int, center long, id long, payload binary, probe boolean"
+LINK_COLUMNS = "block long, chunk int, a long, b long"
 
 
 def deal_rows(rows: Iterable[tuple[int, bytes, list[dict]]]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +280,7 @@ def deal_rows(rows: Iterable[tuple[int, bytes, list[dict]]]) -> Iterator[pa.Reco
     held = 0
     for i, payload, places in rows:
         for h in places:
-            out.append((h["hub"], h["chunk"], h["chunks"], i, payload, h.get("probe", False)))
+            out.append((h["block"], h["chunk"], h["chunks"], h["center"], i, payload, h.get("probe", False)))
             held += len(payload) + 64
             if held >= FLUSH_BYTES:
                 yield _dealt(out)
@@ -189,36 +296,45 @@ def _dealt(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _by_chunk(dealt: DataFrame) -> DataFrame:
-    return dealt.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "id")
+    return dealt.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "id")
 
 
 def links(
-    records: DataFrame, with_payloads: Callable[[DataFrame], DataFrame], index: Index, chunk_weight: int = CHUNK_WEIGHT
+    records: DataFrame,
+    with_payloads: Callable[[DataFrame], DataFrame],
+    index: Index,
+    chunk_weight: int = CHUNK_WEIGHT,
+    needed: Callable[[Column], Column] | None = None,
+    length_class: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """(a, b): a spanning forest of all links, from (key, id, weight) records.
 
     ``with_payloads`` takes (id, homes) and returns the ``DEALT`` rows of those ids."""
-    members = materialise(hub_members(records))
-    placed = materialise(homes(members, chunk_weight))
-    found = materialise(_by_chunk(with_payloads(placed)).mapInArrow(_link_chunks(index), LINK_COLUMNS))
+    spark = records.sparkSession
+    with arrow_rows(spark, TEXTS_AT_ONCE):
+        members = materialise(hub_members(records, needed))
+    placed = materialise(homes(members, chunk_weight, length_class))
+    with arrow_rows(spark, ROWS_AT_ONCE):
+        found = materialise(_by_chunk(with_payloads(placed)).mapInArrow(_link_chunks(index), LINK_COLUMNS))
     edges = found.where("b IS NOT NULL").select("a", "b")
-    left = found.where("b IS NULL").select("hub", F.col("chunk").alias("home"), F.col("a").alias("id"))
+    left = found.where("b IS NULL").select("block", F.col("chunk").alias("home"), F.col("a").alias("id"))
     if left.isEmpty():
         return edges
     split = placed.select("id", F.explode("homes").alias("h")).where("h.chunks > 1").select("id", "h.*")
-    hot = split.withColumn("probe", F.lit(False))
-    width = split.groupBy("hub").agg(F.max("chunks").alias("chunks"))
+    width = split.groupBy("block").agg(F.max("chunks").alias("chunks"), F.max("center").alias("center"))
     guests = (
-        left.join(width, "hub")
+        left.join(width, "block")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .where("chunk <> home")
-        .select("id", "hub", "chunk", "chunks", F.lit(True).alias("probe"))
+        .select("id", "block", "chunk", "chunks", "center", F.lit(True).alias("probe"))
     )
     again = (
-        hot.select("id", "hub", "chunk", "chunks", "probe")
+        split.select("id", "block", "chunk", "chunks", "center", F.lit(False).alias("probe"))
         .unionByName(guests)
         .groupBy("id")
-        .agg(F.collect_list(F.struct("hub", "chunk", "chunks", "probe")).alias("homes"))
+        .agg(F.collect_list(F.struct("block", "chunk", "chunks", "center", "probe")).alias("homes"))
     )
-    across = _by_chunk(with_payloads(materialise(again))).mapInArrow(_link_leftovers(index), LINK_COLUMNS)
-    return edges.unionByName(materialise(across.select("a", "b")))
+    again = materialise(again)
+    with arrow_rows(spark, ROWS_AT_ONCE):
+        across = _by_chunk(with_payloads(again)).mapInArrow(_link_leftovers(index), LINK_COLUMNS)
+        return edges.unionByName(materialise(across.select("a", "b")))

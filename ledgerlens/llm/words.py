@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text whose words are hashed at a time (a longer text makes a part of its own).
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Odd multipliers of a shingle's first, second, ... word.
 PLACES = [pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(16)]
