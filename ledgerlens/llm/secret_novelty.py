@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns, and strings that a primed compressor finds novel.
 
-Patterns give the base spans. Beyond them, every long mixed string that follows a sensitive
-word closely is a candidate: its marginal compressed size, by zstandard primed with the
+Patterns give the base spans. Beyond them, every long string that follows a sensitive word
+closely is a candidate: its marginal compressed size, by zstandard primed with the
 identifiers that code commonly has and with the text around the candidate, tells how much
 of it is neither a known name nor repeated nearby. Candidates that stay nearly as long as
-they are get reported; base spans stay whatever the compressor says.
+they are, or as random strings of their length and alphabet, get reported; of those without
+a digit, only such whose letter pairs are not those of words. Base spans stay whatever the
+compressor says.
 
 Edge cases: a null or empty text has no spans; texts are scanned whole; repeated rows give
 repeated results; an empty table gives an empty result. Only the id and text columns are
@@ -14,8 +16,11 @@ read.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -43,8 +48,23 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 48
 #: Code points of context on each side that prime the compressor.
 CONTEXT = 1024
-#: Marginal compressed bytes for each byte of a candidate from which it is novel.
+#: Marginal compressed bytes for each byte of a candidate from which it is novel, as a share of
+#: what a random string of its length and alphabet takes (of one byte, if that is less).
 NOVELTY = 0.8
+#: A candidate's alphabet is the first of these that has all its characters, else the union of
+#: the classes (digits, lower case, upper case, others) that it has characters of.
+ALPHABETS = ("0123456789", "0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase, "+/_=-")
+#: Pairs of letters that words of European languages often have: about two in three of their
+#: pairs, but fewer than one in five of a random string's.
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic "
+    "ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un "
+    "lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev "
+    "ld ry mp fe bl ab gh ty op wo sa ay ex ke fr oo av ag if ap gr od bo sp rd do uc bu ei ov by rm ep".split()
+)
+#: Share of a candidate's letter pairs from which it is words.
+WORDS = 0.45
 #: Identifiers that commonly follow sensitive words in code without being secrets.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret client_id credential "
@@ -81,6 +101,32 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(compress(data)) - len(compress(b""))) / len(data)
 
 
+def alphabet(candidate: str) -> str:
+    has = set(candidate)
+    known = next((a for a in ALPHABETS if has.issubset(a)), None)
+    return known or "".join(c for c in CLASSES if has.intersection(c))
+
+
+@lru_cache(4096)
+def random_novelty(letters: str, length: int) -> float:
+    """:func:`novelty` of a random string (the same one each time)."""
+    return novelty("".join(random.Random(length).choices(letters, k=length)), "", "")
+
+
+def of_words(candidate: str) -> bool:
+    """Whether a candidate without a digit is one or more words."""
+    runs = re.findall("[a-z]+", candidate.lower())
+    pairs = [a + b for run in runs for a, b in zip(run, run[1:], strict=False)]
+    return sum(p in PAIRS for p in pairs) >= WORDS * len(pairs)
+
+
+def is_novel(candidate: str, before: str, after: str) -> bool:
+    if not any(c.isdigit() for c in candidate) and of_words(candidate):
+        return False
+    least = NOVELTY * min(1, random_novelty(alphabet(candidate), len(candidate)))
+    return novelty(candidate, before, after) >= least
+
+
 def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Candidates in sensitive context that no base span touches and that stay incompressible."""
     low = text.lower()
@@ -93,9 +139,8 @@ def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int,
             a, b = m.span()
             if a > word.end() + REACH:
                 break
-            mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
-            if mixed and (a, b) not in found and all(b <= x or y <= a for x, y in taken):
-                if novelty(m[0], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]) >= NOVELTY:
+            if (a, b) not in found and all(b <= x or y <= a for x, y in taken):
+                if is_novel(m[0], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]):
                     found.add((a, b))
     return [(a, "novel", b) for a, b in found]
 

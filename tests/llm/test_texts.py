@@ -130,6 +130,30 @@ def test_novel_strings_in_sensitive_context():
     assert novelty(key, "", "") > 0.9 > novelty("abcdefghijklmnopqrstuvwxyz", "", "")
 
 
+ALPHABETS = {
+    "upper-case hex": "0123456789ABCDEF",
+    "base32": string.ascii_uppercase + "234567",
+    "base36": string.digits + string.ascii_lowercase,
+    "letters": string.ascii_letters,
+    "base62": string.ascii_letters + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/",
+}
+
+
+@pytest.mark.parametrize("length", [64, 128, 1600])
+@pytest.mark.parametrize("letters", ALPHABETS.values(), ids=ALPHABETS)
+def test_long_keys_of_each_alphabet_are_novel(letters, length):
+    draw = random.Random(length)
+    for _ in range(10):
+        key = "".join(draw.choices(letters, k=length))
+        assert f"novel:19:{19 + length}" in scan(f"the private key is {key} .")[5].split(",")
+
+
+@pytest.mark.parametrize("name", ["authenticationManagerBuilder", "/usr/local/share/ca-certificates", "getRequestDispatcher", "=" * 40])
+def test_words_are_not_novel(name):
+    assert scan(f"credential {name} .")[3] == 0
+
+
 def test_secrets_on_odd_rows(spark):
     rows = find_secrets(cases.frame(spark)).collect()
     assert len(rows) == len(cases.TEXTS)
