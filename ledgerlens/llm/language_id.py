@@ -3,12 +3,14 @@
 A text's letters, lower-cased, give hashed byte trigrams; log counts times inverse document
 frequency, normalised, are its vector. Each language has several centroids (spherical
 k-means over a sample of its documents); the nearest of all by cosine names the language.
-A document is rejected when it is farther from every centroid than documents of the learnt
-languages are: the floor is a share of the lowest cosine that sampled documents have to
-centroids fitted on the sample's other half, so only texts unlike anything learnt fall
-below; texts too short to tell are not rejected.
-
-The model (document frequencies, centroids, floor) is fitted on at most
+A document is rejected when it is farther from its language's centroids than documents of
+that language and length are: the floor is a share of a low quantile of the cosines that
+sampled documents have to centroids fitted on the sample's other half. Short texts have lower
+cosines, so each class of lengths has a floor of its own, from sampled documents thinned to
+the class's least length. A language with few sampled documents of a class takes the lowest
+floor of the others, and without any, what random trigrams reach.
+
+The model (document frequencies, centroids, floors) is fitted on at most
 ``SAMPLE_PER_LANGUAGE`` labelled rows a language, chosen by a hash of their id; prediction
 reads every whole text and nothing but the text.
 
@@ -38,12 +40,16 @@ SAMPLE_PER_LANGUAGE = 1000
 CLUSTERS = 4
 DIMENSIONS = 1 << 12
 ROUNDS = 8
-#: Share of the sample's lowest cosine below which a document is rejected.
+#: Share of the sampled documents' low quantile below which a document is rejected.
 SLACK = 0.5
-#: Sampled documents of a language from which they tell how far its documents can be.
+#: The quantile; the lowest document is left out of it however few there are.
+QUANTILE = 0.01
+#: Sampled documents of a language and length from which they tell how far such can be.
 ENOUGH = 16
-#: Texts of fewer trigrams are too short to be rejected.
-LEAST_TRIGRAMS = 64
+#: Least trigrams of the classes of length.
+LENGTHS = (1, 8, 16, 32, 64, 128, 256, 512, 1024)
+#: Draws of random trigrams that tell the floor where no language has enough documents.
+RANDOM_DRAWS = 200
 ROWS_AT_ONCE = 256
 
 
@@ -77,7 +83,8 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
-    floor: float
+    #: By centroid (its language's) and class of length.
+    floors: np.ndarray
 
     def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each row of counts."""
@@ -89,7 +96,8 @@ class Model:
         score = np.clip(cosines.max(axis=1).astype(float), 0, 1)
         none = total == 0
         score[none] = 0
-        rejected = none | ((total >= LEAST_TRIGRAMS) & (score < self.floor))
+        length = np.maximum(np.searchsorted(LENGTHS, total, side="right") - 1, 0)
+        rejected = none | (score < self.floors[best, length])
         return ["und" if n else self.languages[b] for n, b in zip(none, best, strict=True)], score, rejected
 
 
@@ -109,6 +117,44 @@ def spherical_kmeans(vectors: np.ndarray, clusters: int) -> np.ndarray:
     return centroids.astype(np.float32)
 
 
+def thinned(counts: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """The counts of ``size`` of the trigrams, drawn without replacement (fewer of larger sizes)."""
+    grams = np.repeat(np.arange(DIMENSIONS), counts)
+    return np.bincount(np.random.default_rng(seed).permutation(grams)[:size], minlength=DIMENSIONS)
+
+
+def low_cosines(seen: np.ndarray, halves: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> list[float]:
+    """Of each class of length, the low quantile of the cosines that documents thinned to its
+    least length have to the centroids; NaN without enough. ``halves`` holds (positions of
+    documents, centroids that have not seen them)."""
+    total, out = seen.sum(axis=1), []
+    for size in LENGTHS:
+        cosines = []
+        for at, others in halves:
+            for i in at[total[at] >= size]:
+                cosines.append((normalised(thinned(seen[i], size, int(i)), idf) @ others.T).max())
+        low = max(1, int(QUANTILE * len(cosines)))
+        out.append(float(np.sort(cosines)[low]) if len(cosines) >= ENOUGH else float("nan"))
+    return out
+
+
+def class_floors(low: np.ndarray, centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Floors by row and class of length from :func:`low_cosines`, with none missing."""
+    draw = np.random.default_rng(0)
+    floors = SLACK * low
+    for k, size in enumerate(LENGTHS):
+        known = floors[:, k][~np.isnan(floors[:, k])]
+        if len(known):
+            instead = known.min()
+        elif k:
+            noise = np.stack([np.bincount(draw.integers(0, DIMENSIONS, size), minlength=DIMENSIONS) for _ in range(RANDOM_DRAWS)])
+            instead = max(np.quantile((normalised(noise, idf) @ centroids.T).max(axis=1), 1 - QUANTILE), floors[:, k - 1].min())
+        else:  # a trigram or a few tell nothing
+            instead = 0.0
+        floors[:, k] = np.where(np.isnan(floors[:, k]), instead, floors[:, k])
+    return floors
+
+
 def held_out(doc_id: Column) -> Column:
     key = F.coalesce(doc_id.cast("string"), F.lit(""))
     return F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(3)) == 1
@@ -158,30 +204,25 @@ def fit(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int
         seen = _as_counts(part["counts"])
         unit = normalised(seen, idf)
         centroids = spherical_kmeans(unit, clusters)
-        lowest = np.inf
-        if len(part) >= ENOUGH:  # how near are documents that the centroids have not seen?
-            fold = np.arange(len(part)) % 2
-            for k in (0, 1):
-                others = spherical_kmeans(unit[fold != k], clusters)
-                long = (fold == k) & (seen.sum(axis=1) >= LEAST_TRIGRAMS)
-                lowest = min(lowest, (unit[long] @ others.T).max(axis=1).min(initial=np.inf))
+        fold, halves = np.arange(len(part)) % 2, []
+        if len(part) > 1:  # how near are documents that the centroids have not seen?
+            halves = [(np.flatnonzero(fold == k), spherical_kmeans(unit[fold != k], clusters)) for k in (0, 1)]
+        low = low_cosines(seen, halves, idf)
         return pd.DataFrame(
             {
                 "lang": part["lang"].iloc[0],
                 "centroid": [c.astype("<f4").tobytes() for c in centroids],
-                "lowest": float(lowest),
+                "low": [low] * len(centroids),
             }
         )
 
-    learnt = vectors.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, lowest double")
-    made = sorted((r["lang"], bytes(r["centroid"]), r["lowest"]) for r in learnt.collect())
-    floor = SLACK * min((x for _, _, x in made), default=np.inf)
-    return Model(
-        idf,
-        np.stack([np.frombuffer(c, "<f4") for _, c, _ in made]) if made else np.zeros((0, DIMENSIONS), np.float32),
-        [lang for lang, _, _ in made],
-        float(floor) if np.isfinite(floor) else 0.0,
-    )
+    learnt = vectors.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, low array<double>")
+    made = sorted((r["lang"], bytes(r["centroid"]), r["low"]) for r in learnt.collect())
+    if not made:
+        return Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros((0, len(LENGTHS))))
+    centroids = np.stack([np.frombuffer(c, "<f4") for _, c, _ in made])
+    # Missing quantiles arrive as nulls: NaN again as floats.
+    return Model(idf, centroids, [lang for lang, _, _ in made], class_floors(np.array([x for _, _, x in made], float), centroids, idf))
 
 
 def _predict(model: Model):

@@ -58,6 +58,36 @@ def test_texts_unlike_any_language_are_rejected(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
 
 
+ITALIAN = (
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. Ahi quanto a dir "
+    "qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura! Tant'è amara che poco è più morte."
+)
+FINNISH = (
+    "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan, sukuvirttä suoltamahan, lajivirttä "
+    "laulamahan. Sanat suussani sulavat, puhe'et putoelevat, kielelleni kerkiävät, hampahilleni hajoovat."
+)
+
+
+def test_unlearnt_languages_gibberish_and_short_texts_are_rejected(spark):
+    draw = random.Random(3)
+    gibberish = " ".join("".join(draw.choices(string.ascii_lowercase, k=7)) for _ in range(60))
+    odd = [ITALIAN, FINNISH, gibberish, "表意文字の文章です人類社会のすべての構成", "Ὁ βίος βραχύς"]
+    odd_row = (10**6 - 1, "qwx jzk vvq xkj " * 20, "de")  # one odd labelled row sets no floor
+    docs = queries.documents(spark, SF).select("doc_id", "text", "lang")
+    learnt = docs.unionByName(spark.createDataFrame([odd_row], docs.schema))
+    both = learnt.unionByName(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(odd)], docs.schema))
+    out = {r.doc_id: r for r in identify_languages(both).collect()}
+    assert [out[10**6 + i].rejected for i in range(len(odd))] == [True] * len(odd)
+    assert not any(r.rejected for i, r in out.items() if i < 10**6 - 1)
+
+
+def test_few_learnt_rows_still_reject_other_scripts(spark):
+    docs = queries.documents(spark, SF).where("lang = 'en'").orderBy("doc_id").limit(8).select("doc_id", "text", "lang")
+    greek = spark.createDataFrame([(10**6, "Ὁ βίος βραχύς, ἡ δὲ τέχνη μακρή, ὁ δὲ καιρὸς ὀξύς. " * 8, None)], docs.schema)
+    out = {r.doc_id: r.rejected for r in identify_languages(docs.unionByName(greek)).collect()}
+    assert out.pop(10**6) and not any(out.values())
+
+
 def test_languages_on_odd_rows(spark):
     rows = identify_languages(cases.frame(spark)).collect()
     assert len(rows) == len(cases.TEXTS)
