@@ -11,7 +11,10 @@ A block above ``chunk_weight`` is dealt into chunks, each with the block's cente
 smallest id) in it. Records that their chunk links with the center are in one component
 already; only the others (leftovers) are then compared with all other chunks. So a large
 group of near copies costs about one comparison a record, and no link between records of
-different components is lost.
+different components is lost. Leftovers visit a chunk in slices of bounded weight, each a
+task's own, and pass by the chunk's rows one after another: a task holds one chunk and a
+batch, however many leftovers there are. Their comparisons still grow with the square of a
+block whose records share a key but do not link.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ FILTER_MASK = (1 << FILTER_BITS) - 1
 FILTER_BLOCKS = 16
 PARTIAL_SUMS = 16
 FLUSH_BYTES = 8 << 20
+#: Chunks' weights of leftovers in a slice.
+SLICE_CHUNKS = 8
 
 #: Rows of payloads that a task takes at a time.
 ROWS_AT_ONCE = 400
@@ -234,20 +239,26 @@ def _link_chunks(index: Index):
 
 
 def _link_leftovers(index: Index):
-    """Links between a chunk and leftovers of other chunks, one for each component of it."""
+    """Links between a chunk and leftovers of other chunks, one for each component of it.
+
+    A chunk's own rows come before its guests, which are not kept."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for rows in _groups(batches):
-            own = [r for r in rows if not r[6]]
-            if not own:
-                continue
-            payloads = [r[5] for r in own]
-            _, parts = link_block(payloads, index)
-            find = index(payloads)
-            for probe in (r for r in rows if r[6]):
-                one = {int(parts.label[i]): i for i in find(probe[5])}
-                out += [(probe[0], probe[1], probe[4], own[i][4]) for i in one.values()]
+        place, own, payloads, find, parts = None, [], [], None, None
+        for batch in batches:
+            for block, chunk, _, _, i, payload, probe, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (block, chunk, part) != place:
+                    place, own, payloads, find = (block, chunk, part), [], [], None
+                if not probe:
+                    own.append(i)
+                    payloads.append(payload)
+                elif own:
+                    if find is None:
+                        _, parts = link_block(payloads, index)
+                        find = index(payloads)
+                    one = {int(parts.label[k]): k for k in find(payload)}
+                    out += [(block, chunk, i, own[k]) for k in one.values()]
             if len(out) > 50_000:
                 yield _flush(out)
                 out = []
@@ -266,25 +277,35 @@ DEALT = pa.schema(
         ("id", pa.int64()),
         ("payload", pa.binary()),
         ("probe", pa.bool_()),
+        ("slice", pa.int32()),
     ]
 )
-DEALT_COLUMNS = "block long, chunk int, chunks int, center long, id long, payload binary, probe boolean"
+DEALT_COLUMNS = "block long, chunk int, chunks int, center long, id long, payload binary, probe boolean, slice int"
 LINK_COLUMNS = "block long, chunk int, a long, b long"
 
 
+def _spots(home: dict) -> Iterator[tuple[int, int]]:
+    """(chunk, slice) of a home. A guest goes to its slice of all chunks but its own, a
+    chunk's own record to all slices of it."""
+    if home.get("probe"):
+        return ((c, home["slice"]) for c in range(home["chunks"]) if c != home["chunk"])
+    return ((home["chunk"], k) for k in range(home.get("slices", 1)))
+
+
 def deal_rows(rows: Iterable[tuple[int, bytes, list[dict]]]) -> Iterator[pa.RecordBatch]:
     """Batches of ``DEALT`` from (id, payload, homes); for the operators' own tasks.
 
-    A home may name ``probe``: then the record is a guest there."""
+    A home may name ``probe``: then the record is a guest of the block's other chunks."""
     out: list[tuple] = []
     held = 0
     for i, payload, places in rows:
         for h in places:
-            out.append((h["block"], h["chunk"], h["chunks"], h["center"], i, payload, h.get("probe", False)))
-            held += len(payload) + 64
-            if held >= FLUSH_BYTES:
-                yield _dealt(out)
-                out, held = [], 0
+            for chunk, part in _spots(h):
+                out.append((h["block"], chunk, h["chunks"], h["center"], i, payload, h.get("probe", False), part))
+                held += len(payload) + 64
+                if held >= FLUSH_BYTES:
+                    yield _dealt(out)
+                    out, held = [], 0
     if out:
         yield _dealt(out)
 
@@ -296,7 +317,7 @@ def _dealt(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _by_chunk(dealt: DataFrame) -> DataFrame:
-    return dealt.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "id")
+    return dealt.repartition("block", "chunk", "slice").sortWithinPartitions("block", "chunk", "slice", "probe", "id")
 
 
 def links(
@@ -321,19 +342,31 @@ def links(
     if left.isEmpty():
         return edges
     split = placed.select("id", F.explode("homes").alias("h")).where("h.chunks > 1").select("id", "h.*")
-    width = split.groupBy("block").agg(F.max("chunks").alias("chunks"), F.max("center").alias("center"))
+    width = split.groupBy("block").agg(
+        F.max("chunks").alias("chunks"), F.max("center").alias("center"), F.count(F.lit(1)).alias("records")
+    )
+    slices = F.ceil(F.col("leftovers") * F.col("chunks") / (F.col("records") * F.lit(SLICE_CHUNKS))).cast("int")
+    visited = materialise(
+        left.groupBy("block")
+        .agg(F.count(F.lit(1)).alias("leftovers"))
+        .join(width, "block")
+        .select("block", "chunks", "center", slices.alias("slices"))
+    )
+    home = ("block", "chunk", "chunks", "center", "probe", "slice", "slices")
     guests = (
-        left.join(width, "block")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .where("chunk <> home")
-        .select("id", "block", "chunk", "chunks", "center", F.lit(True).alias("probe"))
+        left.withColumnRenamed("home", "chunk")
+        .join(visited, "block")
+        .withColumn("probe", F.lit(True))
+        .withColumn("slice", F.pmod(F.xxhash64("id", "block"), F.col("slices")).cast("int"))
+        .select("id", *home)
     )
-    again = (
-        split.select("id", "block", "chunk", "chunks", "center", F.lit(False).alias("probe"))
-        .unionByName(guests)
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("block", "chunk", "chunks", "center", "probe")).alias("homes"))
+    hosts = (
+        split.join(visited.select("block", "slices"), "block")
+        .withColumn("probe", F.lit(False))
+        .withColumn("slice", F.lit(0))
+        .select("id", *home)
     )
+    again = hosts.unionByName(guests).groupBy("id").agg(F.collect_list(F.struct(*home)).alias("homes"))
     again = materialise(again)
     with arrow_rows(spark, ROWS_AT_ONCE):
         across = _by_chunk(with_payloads(again)).mapInArrow(_link_leftovers(index), LINK_COLUMNS)

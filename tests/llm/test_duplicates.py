@@ -7,6 +7,7 @@ import os
 import random
 import re
 import sys
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -239,6 +240,47 @@ def test_links_of_a_block_span_its_components():
     assert parts.label[0] == parts.label[5] and parts.label[1] == parts.label[2] == parts.label[4] != parts.label[3]
 
 
+def test_leftovers_pass_by_a_chunk_unkept():
+    """A task's memory holds the chunk's own rows and a batch, not all guests."""
+    own = [(1, 0, 9, 5, k, b"own%d" % k + bytes(20_000), False, 0) for k in range(3)]
+
+    def batches():
+        yield links._dealt(own)
+        for k in range(200):
+            payloads = [b"own%d" % (j % 3) + bytes(20_000) if j == 7 else b"%d-%d" % (k, j) + bytes(20_000) for j in range(50)]
+            yield links._dealt([(1, 0, 9, 5, 100 + 50 * k + j, p, True, 0) for j, p in enumerate(payloads)])
+
+    find = lambda payloads: lambda p: [i for i, q in enumerate(payloads) if q == p]
+    tracemalloc.start()
+    got = [tuple(r.values()) for b in links._link_leftovers(find)(batches()) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(1, 0, 100 + 50 * k + 7, 1) for k in range(200)]
+    assert peak < 20e6  # all guests: 200 MB
+
+
+def test_guests_are_dealt_without_a_list_of_chunks():
+    homes = [{"block": 1, "chunk": 2, "chunks": 5, "center": 0, "probe": True, "slice": 3, "slices": 4}]
+    homes += [{"block": 7, "chunk": 1, "chunks": 2, "center": 0, "probe": False, "slice": 0, "slices": 3}]
+    (batch,) = links.deal_rows([(8, b"x", homes)])
+    got = [(r["block"], r["chunk"], r["slice"], r["probe"]) for r in batch.to_pylist()]
+    assert got == [(1, c, 3, True) for c in (0, 1, 3, 4)] + [(7, 1, k, False) for k in range(3)]
+
+
+def test_unlinked_lines_under_one_hot_key(spark, monkeypatch):
+    """Templated lines, most of them unlinked: many chunks and slices, and no link lost."""
+    monkeypatch.setattr(links, "SLICE_CHUNKS", 1)
+    draw = random.Random(11)
+    word = lambda n: "".join(draw.choices("abcdefgh", k=n))
+    lines = ["the very same words" + word(41) for _ in range(150)]
+    lines += [altered(x, draw, 2, "xyz") for x in lines[:60]]
+    rows = [(i, x) for i, x in enumerate(draw.sample(lines, len(lines)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in line_classes(df, 2, 50, chunk_weight=600).collect()), key=str)
+    assert got == lines_by_hand(rows, 2, 50)
+    assert sum(r[4] > 1 for r in got) > 100
+
+
 def test_connected_components(spark):
     draw = random.Random(9)
     edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(220)] + [(i, i + 1) for i in range(500, 560)]
