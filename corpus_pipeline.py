@@ -13,8 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import materialise, null_safe
+from ledgerlens.llm.common import materialise
 from ledgerlens.llm.hilbert_packing import pack_along_curve
 from ledgerlens.llm.jaccard_trie import jaccard_components
 from ledgerlens.llm.language_id import accepted_documents
@@ -46,10 +47,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents alike (5-word shingles, similarity 0.8), the smallest id."""
+    """Of each component of documents alike (5-word shingles, similarity 0.8), one row: of the
+    smallest id, the first by text, then the other columns. Rows without an id all stay."""
     groups = jaccard_components(docs, width=5, num=80, den=100)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, null_safe(docs, first, ["doc_id"]), "left_semi")
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("doc_id").orderBy("text", *others)
+    # The join has dealt the rows by doc_id already.
+    numbered = docs.join(first, "doc_id", "left_semi").withColumn("__at", F.row_number().over(order))
+    return numbered.where("__at = 1").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,14 @@ def test_run_gives_the_last_stage_s_rows(spark, sf_dir, stages):
     assert {key(r)[0] for r in got} == {key(r)[0] for r in stages["packing"][1]}
 
 
+def test_near_duplicates_keep_one_row_of_a_repeated_id(spark):
+    unnamed = [(None, "Another text without an id, of words that no other text has.", "en", "a")] * 2
+    rows = corpus_pipeline.near_duplicates(spark, cases.frame(spark, cases.TEXTS + unnamed), "").collect()
+    ids = Counter(r.doc_id for r in rows)
+    assert ids.pop(None) == 3 and ids[1] == 1 and 2 not in ids
+    assert set(ids.values()) == {1}
+
+
 def test_stages_on_odd_rows(spark):
     docs = cases.frame(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
