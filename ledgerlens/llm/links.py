@@ -51,7 +51,8 @@ Index = Callable[[Sequence[bytes]], Callable[[bytes], Sequence[int]]]
 
 
 def hub_members(records: DataFrame, needed: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(hub, id, weight) from (key, id, weight): each record once per hub of its keys.
+    """(hub, id, weight) from (key, id, weight): each record once per hub of its keys; records
+    of one id but of several weights once for each weight, as each may link in its own class.
 
     ``needed`` tells from the weight how many shared keys a record must have to link."""
     groups = records.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
@@ -59,8 +60,8 @@ def hub_members(records: DataFrame, needed: Callable[[Column], Column] | None =
     shared = groups.where("hub < last").select("key", "hub").hint("shuffle_hash")
     members = (
         records.join(shared, "key")
-        .groupBy("hub", "id")
-        .agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("keys"))
+        .groupBy("hub", "id", "weight")
+        .agg(F.count(F.lit(1)).alias("keys"))
     )
     if needed is not None:
         # Linked records share the needed keys over the hubs that they have in common, so under

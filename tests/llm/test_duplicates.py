@@ -209,6 +209,14 @@ def test_components(spark, width, num, weight):
     assert got == components_by_hand(rows, width, num, 100)
 
 
+def test_texts_of_one_id_link_each_by_its_size(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(n)) for name, n in (("s", 60), ("l", 600))]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0] + " end"), (3, texts[1] + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard_components(df, 3, 90, 100).collect()), key=str)
+    assert got == components_by_hand(rows, 3, 90, 100) and {r[2] for r in got} == {1}
+
+
 def test_components_on_odd_rows(spark):
     df = cases.frame(spark)
     rows = [r[:2] for r in cases.TEXTS]
