@@ -255,15 +255,16 @@ def identify_languages(
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def _accept(model: Model, text_at: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), ROWS_AT_ONCE):
-                part = batch.slice(a, ROWS_AT_ONCE)
-                _, _, rejected = model.predict(np.stack(list(trigram_counts(part.column(text_at)))))
-                yield part.filter(pa.array(~rejected))
+def _accepted(model: Model):
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in parts:
+            kept = [np.zeros(0, bool)]
+            for a in range(0, len(texts), ROWS_AT_ONCE):
+                _, _, rejected = model.predict(np.stack(list(trigram_counts(texts.slice(a, ROWS_AT_ONCE)))))
+                kept.append(~rejected)
+            yield pa.array(np.concatenate(kept))
 
-    return run
+    return F.arrow_udf(run, "boolean")
 
 
 def accepted_documents(
@@ -274,7 +275,7 @@ def accepted_documents(
     text: str = "text",
     lang: str = "lang",
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not rejected."""
+    """The rows of ``docs``, all columns, that are not rejected. Only the text goes through Python."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     model = fit(rows, per_language, clusters)
-    return docs.mapInArrow(_accept(model, docs.columns.index(text)), docs.schema)
+    return docs.where(_accepted(model)(F.col(text)))

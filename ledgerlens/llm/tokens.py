@@ -9,10 +9,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks, and words in them, whose ids a task keeps; when full, a cache starts anew.
-CACHE_ENTRIES = 400_000
+#: Bytes that a cache of chunks, or of words in them, holds; when full, it starts anew.
+CACHE_BYTES = 32 << 20
+#: What an entry takes beside its own bytes: two objects and a place in the table.
+ENTRY_BYTES = 200
+#: Longer chunks rarely come again, and are not kept.
+KEPT_CHARS = 64
 #: Bytes of text that are split into chunks at a time (a longer text makes a part of its own).
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 
 
 class Tokenizer:
@@ -83,11 +87,16 @@ class _Cache(dict):
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make = make
+        self.held = 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        made = self[key] = self.make(key)
+        made = self.make(key)
+        if len(key) <= KEPT_CHARS:
+            self.held += len(key) + len(made) + ENTRY_BYTES
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = len(key) + len(made) + ENTRY_BYTES
+            self[key] = made
         return made
 
 
