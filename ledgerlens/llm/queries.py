@@ -1,4 +1,5 @@
-"""The operators applied to the whole ``documents`` table, as registered queries.
+"""The operators applied to the whole ``documents`` table (``embeddings`` for inner products),
+as registered queries.
 
 ``QUERIES`` maps names to functions of (spark, sf_dir); ``SQL`` has the DuckDB text of
 those that SQL can express. The others are tested against brute force in ``tests/llm``.
@@ -17,8 +18,11 @@ from .jaccard_trie import jaccard_components
 from .jump_shards import assign_shards
 from .language_id import identify_languages
 from .line_dedup import line_classes
+from .merkle_manifest import FAN_OUT, verified_manifest
 from .mixing import mix_sources
 from .multiset_hash import fingerprint_with_edits
+from .norm_search import nearest_by_product
+from .pair_maxscore import rank_documents
 from .secret_novelty import find_secrets
 
 SEQUENCE_LENGTH = 2048
@@ -26,6 +30,9 @@ END_ID = 1
 SHARDS = 8
 MIX_WEIGHTS = (5.0, 2.0, 1.0)
 MIX_EPOCHS = 3
+TOP = 20
+SCALE = 64
+QUERY_EVERY = 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +99,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), MIX_WEIGHTS, MIX_EPOCHS)
 
 
+def op11_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_product(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), TOP, SCALE, QUERY_EVERY)
+
+
+def op12_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), TOP)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_hilbert_packing": op1_hilbert_packing,
     "op2_bfd_packing": op2_bfd_packing,
@@ -103,6 +122,9 @@ QUERIES = {
     "op8_secret_novelty": op8_secret_novelty,
     "op9_jaccard_trie": op9_jaccard_trie,
     "op10_mix_sources": op10_mix_sources,
+    "op11_norm_search": op11_norm_search,
+    "op12_pair_maxscore": op12_pair_maxscore,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL = {
@@ -110,4 +132,7 @@ SQL = {
     "op5_exact_dedup": sql.op5(),
     "op7_multiset_fingerprints": sql.op7(),
     "op10_mix_sources": sql.op10(MIX_WEIGHTS, MIX_EPOCHS),
+    "op11_norm_search": sql.op11(TOP, SCALE, QUERY_EVERY),
+    "op12_pair_maxscore": sql.op12(TOP),
+    "op13_merkle_manifest": sql.op13(FAN_OUT),
 }

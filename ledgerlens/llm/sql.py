@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries that SQL can express, over the whole ``documents`` table."""
+"""DuckDB SQL of the queries that SQL can express, over the whole test tables."""
 
 from __future__ import annotations
 
@@ -156,3 +156,113 @@ SELECT doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, round(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken,
        source
 FROM summed"""
+
+
+def op11(k: int, scale: int, every: int) -> str:
+    whole = f"list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT)"
+    return f"""
+WITH whole AS (
+  SELECT vec_id, {whole} AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, w.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.v, w.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM whole q JOIN whole w ON q.vec_id <> w.vec_id
+  WHERE q.vec_id % {every} = 0),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= {k}"""
+
+
+def op12(k: int) -> str:
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+    def terms(text: str) -> str:
+        return f"regexp_extract_all(translate({text}, {letters}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+    return f"""
+WITH texts AS (SELECT doc_id, {terms('text')} AS terms FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, len(terms)::BIGINT AS n, terms FROM texts WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM sizes),
+counted AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, n, unnest(terms) AS term FROM sizes) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counted, totals GROUP BY term, docs),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, unnest({terms('text')}) AS term FROM benchmark) GROUP BY item_id, term),
+scored AS (
+  SELECT item_id, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term), totals
+  GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= {k}"""
+
+
+def op13(fan_out: int) -> str:
+    crc, table = _crc32("doc_id::VARCHAR")
+
+    def field(value: str) -> str:
+        return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    step = (
+        f"list_transform(range(0, len(nodes), {fan_out}), "
+        f"lambda i: sha256(array_to_string(list_slice(nodes, i + 1, i + {fan_out}), '')))"
+    )
+
+    def beside(place: str) -> str:
+        begin = f"({place} - {place} % {fan_out})"
+        return (
+            f"{{'before': array_to_string(list_slice(nodes, {begin} + 1, {place}), ''), "
+            f"'after': array_to_string(list_slice(nodes, {place} + 2, {begin} + {fan_out}), '')}}"
+        )
+
+    place = f"(pos // {fan_out}::BIGINT ** level)::BIGINT"
+    return f"""
+WITH RECURSIVE crc AS (SELECT {table} AS remainders),
+rows AS (
+  SELECT doc_id, source, {leaf('text')} AS leaf,
+         CASE WHEN ({crc}) % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS shown
+  FROM documents, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos FROM rows),
+levels AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, {step} FROM levels WHERE len(nodes) > 1),
+subroots AS (
+  SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+  FROM levels WHERE len(nodes) = 1),
+upper AS (
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, {step} FROM upper WHERE len(nodes) > 1),
+lower_paths AS (
+  SELECT p.doc_id, p.source, p.pos, list({beside(place)} ORDER BY level) FILTER (len(nodes) > 1) AS path
+  FROM placed p JOIN levels l ON p.source IS NOT DISTINCT FROM l.source GROUP BY p.doc_id, p.source, p.pos),
+upper_paths AS (
+  SELECT source, subroot, list({beside(place)} ORDER BY level) FILTER (len(nodes) > 1) AS path
+  FROM subroots, upper GROUP BY source, subroot),
+proofs AS (
+  SELECT p.doc_id, p.leaf, p.shown, u.subroot, (SELECT nodes[1] FROM upper WHERE len(nodes) = 1) AS root,
+         list_concat(coalesce(l.path, []), coalesce(u.path, [])) AS path
+  FROM placed p
+  JOIN lower_paths l ON p.source IS NOT DISTINCT FROM l.source AND p.pos = l.pos
+  JOIN upper_paths u ON p.source IS NOT DISTINCT FROM u.source),
+folded AS (
+  SELECT *, list_reduce(list_prepend({{'before': shown, 'after': ''}}, path),
+                        lambda node, s: {{'before': sha256(s.before || node.before || s.after), 'after': ''}}).before AS folded_root
+  FROM proofs)
+SELECT doc_id, leaf, subroot, root,
+       sha256(array_to_string(list_transform(path, lambda s: s.before || s.after), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded"""

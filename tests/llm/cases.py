@@ -3,7 +3,7 @@ ties and repeated rows, and extra columns whose names clash with the operators'
 
 from __future__ import annotations
 
-CLASHING = ("id", "key", "shard", "slot", "size", "keep_id", "kept", "bucket", "block", "homes", "words", "target", "line_no", "sequence_id")
+CLASHING = ("id", "key", "shard", "slot", "size", "keep_id", "kept", "bucket", "block", "homes", "words", "target", "line_no", "sequence_id", "leaf", "tree", "segment", "root", "rank", "score", "query")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 LONG = " ".join(f"word{i % 977} of{i % 131}" for i in range(12_000))
 TEXTS = [
