@@ -6,15 +6,21 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+T = TypeVar("T")
+
 #: Rows per bucket that the bucketed windows aim at.
 BUCKET_ROWS = 4096
+#: A scratch table has so many files a core at most.
+FILES_A_CORE = 8
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,10 +42,22 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under :func:`scratch_dir` and read it back: cuts the
-    lineage, survives lost executors, and later readers take only the columns they need."""
-    path = f"{scratch_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage, survives lost executors, and later readers take only the columns they need.
+
+    A task writes the partitions of its share one after another, so that many small
+    partitions don't become as many small files."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def returning_memory(batches: Iterable[T]) -> Iterator[T]:
+    """``batches``, after which Arrow's unused memory goes back to the system: workers outlive tasks."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 @contextmanager

@@ -14,7 +14,8 @@ Equal sets are one record (by a 128-bit digest) until the end, so copies cost no
 Edge cases: a null, empty or blank text has no shingles and links with nothing; one of
 fewer words than a shingle has all of them as its one shingle. Rows that share a doc_id
 share a component; a null doc_id has a null component. An empty table gives an empty
-result. Only the id and text columns are read. Shingles are compared by 64-bit hash.
+result. Only the id and text columns are read. Shingles are compared by 56 bits of a hash of
+their words' 64-bit hashes.
 """
 
 from __future__ import annotations

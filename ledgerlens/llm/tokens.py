@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import returning_memory
+
 #: Bytes that a cache of chunks, or of words in them, holds; when full, it starts anew.
 CACHE_BYTES = 32 << 20
 #: What an entry takes beside its own bytes: two objects and a place in the table.
@@ -133,7 +135,7 @@ def _piece_encoder(spec: dict) -> Callable[[bytes], list[int]]:
 
 def text_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) in parts of about ``PART_BYTES``, from batches of those two columns."""
-    for batch in batches:
+    for batch in returning_memory(batches):
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         parts = np.cumsum(sizes) // PART_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(sizes)]

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import returning_memory
+
 #: Bytes of text whose words are hashed at a time (a longer text makes a part of its own).
 PART_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Odd multipliers of a shingle's first, second, ... word.
 PLACES = [pow(0xD1342543DE82EF95, i + 1, 1 << 64) | 1 for i in range(16)]
 ONE = np.uint64(1)
+#: Words of more bytes get a cryptographic hash: strings can be made whose polynomials modulo
+#: 2^64 agree, but they are long.
+POLYNOMIAL_BYTES = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,9 +64,13 @@ def substring_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return POWERS.of(sums, starts, ends)
 
 
+def digest64(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
 def parts(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column``'s texts have about ``PART_BYTES``."""
-    for batch in batches:
+    for batch in returning_memory(batches):
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.cumsum(sizes) // PART_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(sizes)]
@@ -91,7 +101,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after = np.concatenate([solid[1:], [False]]) if len(solid) else solid
     after[begins[begins > 0] - 1] = False
     ends = np.flatnonzero(solid & ~after) + 1
-    return substring_hashes(prefix_sums(low), starts, ends), np.searchsorted(starts, bounds)
+    hashes = substring_hashes(prefix_sums(low), starts, ends)
+    for k in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES):
+        hashes[k] = digest64(low[starts[k] : ends[k]].tobytes())
+    return hashes, np.searchsorted(starts, bounds)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
