@@ -13,11 +13,14 @@ that comes first (doc_id, then line number) stays.
 Edge cases: blank lines are never duplicates and stay; null texts have no lines; an empty
 text has one blank line. A null doc_id comes first. Rows that repeat a doc_id count as one
 document, the lines of which stay or go together. An empty table gives an empty result.
-Only the id and text columns are read. Lines are told apart by 64-bit hash.
+Only the id and text columns are read. Lines are equal when 128 bits of a cryptographic hash
+agree. Half of these bits number the lines in the joins; different lines of one number (some
+pairs among 10^10 lines) stay apart, and take no part in the edit join.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -33,6 +36,7 @@ from .words import mixed, parts, prefix_sums, substring_hashes
 
 THRESHOLD = 2
 LEAST_CHARS = 50
+BLANK = b" \t\n\x0b\x0c\r"
 
 
 def segments(length: int, count: int) -> list[tuple[int, int]]:
@@ -142,48 +146,66 @@ def segment_index(threshold: int) -> links.Index:
 
 
 def split_lines(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Of all lines of all texts: the text's position, the line's number in it, where it
-    starts and ends in the joined texts (code points), and whether it has more than white
-    space; and the prefix sums from which substrings are hashed."""
+    """Of all lines of all texts: where each starts and ends in the joined texts (code points),
+    and whether it has more than white space; and the prefix sums from which substrings are
+    hashed."""
     data = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     breaks = np.flatnonzero(data == 10)
     starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
-    per_text = np.array([t.count("\n") + 1 for t in texts])
-    of = np.repeat(np.arange(len(texts)), per_text)
-    number = np.arange(len(starts)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     visible = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
-    return of, number, starts, ends, visible[ends] > visible[starts], prefix_sums(data)
+    return starts, ends, visible[ends] > visible[starts], prefix_sums(data)
 
 
 def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def line_digests(lines: Iterable[bytes]) -> np.ndarray:
+    """Two numbers a line, of which the first is its id."""
+    digests = b"".join(hashlib.blake2b(line, digest_size=16).digest() for line in lines)
+    return np.frombuffer(digests, "<i8").reshape(-1, 2)
+
+
 def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts(batches, 1):
-        of, number, starts, ends, solid, sums = split_lines(_texts(part.column(1)))
-        hashes = substring_hashes(sums, starts, ends).view(np.int64)
+        lines = [t.encode().split(b"\n") for t in _texts(part.column(1))]
+        counts = [len(x) for x in lines]
+        flat = [line for x in lines for line in x]
+        blank = np.array([not line.strip(BLANK) for line in flat])
+        digests = line_digests(flat)
         yield pa.RecordBatch.from_arrays(
             [
-                part.column(0).cast(pa.int64()).take(pa.array(of)),
-                pa.array(number, pa.int32()),
-                pa.array(hashes, pa.int64(), mask=~solid),
+                part.column(0).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(lines)), counts))),
+                pa.array(np.concatenate([np.arange(n) for n in counts]), pa.int32()),
+                pa.array(digests[:, 0], pa.int64(), mask=blank),
+                pa.array(digests[:, 1], pa.int64(), mask=blank),
             ],
-            names=["doc_id", "line_no", "id"],
+            names=["doc_id", "line_no", "id", "check"],
         )
 
 
+def long_lines(texts: list[str], least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of the distinct lines with ``least_chars`` or more: two numbers (:func:`line_digests`), where
+    each starts and ends, the prefix sums, and the lines."""
+    starts, ends, solid, sums = split_lines(texts)
+    long = solid & (ends - starts >= least_chars)
+    joined = "\n".join(texts)
+    distinct: dict[str, tuple[int, int]] = {}
+    for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        distinct.setdefault(joined[a:b], (a, b))
+    lines = [line.encode() for line in distinct]
+    spans = np.array(list(distinct.values()), np.int64).reshape(-1, 2)
+    return line_digests(lines), spans[:, 0], spans[:, 1], sums, lines
+
+
 def _keys(threshold: int, least_chars: int):
     """(key, id, weight) of the distinct long lines of each part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = threshold + 1
         for part in parts(batches, 1):
-            _, _, starts, ends, solid, sums = split_lines(_texts(part.column(1)))
-            long = solid & (ends - starts >= least_chars)
-            starts, ends = starts[long], ends[long]
-            ids, first = np.unique(substring_hashes(sums, starts, ends), return_index=True)
-            starts, length = starts[first], (ends - starts)[first]
+            digests, starts, ends, sums, _ = long_lines(_texts(part.column(1)), least_chars)
+            ids, length = digests[:, 0], ends - starts
             keys, owners = [], []
             for delta in range(threshold + 1):
                 size, longer = np.divmod(length - delta, count)
@@ -206,7 +228,7 @@ def _keys(threshold: int, least_chars: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(ids[owner].view(np.int64)),
+                        pa.array(ids[owner]),
                         pa.array(length[owner].astype(np.int64)),
                     ],
                     names=["key", "id", "weight"],
@@ -216,27 +238,21 @@ def _keys(threshold: int, least_chars: int):
 
 
 def _lines_in(bitmap: Broadcast, least_chars: int):
-    """(id, line) of the distinct long lines of each part that the filter lets pass."""
+    """(id, check, line) of the distinct long lines of each part that the filter lets pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 1):
-            texts = _texts(part.column(1))
-            _, _, starts, ends, solid, sums = split_lines(texts)
-            long = solid & (ends - starts >= least_chars)
-            starts, ends = starts[long], ends[long]
-            ids, first = np.unique(substring_hashes(sums, starts, ends).view(np.int64), return_index=True)
-            passed = links.passes(bitmap.value, ids)
-            joined = "\n".join(texts)
-            spans = zip(starts[first][passed].tolist(), ends[first][passed].tolist(), strict=True)
-            lines = pa.array([joined[a:b] for a, b in spans], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[passed], pa.int64()), lines], names=["id", "line"])
+            digests, _, _, _, lines = long_lines(_texts(part.column(1)), least_chars)
+            passed = np.flatnonzero(links.passes(bitmap.value, digests[:, 0]))
+            columns = [pa.array(digests[passed, 0]), pa.array(digests[passed, 1]), pa.array([lines[k] for k in passed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "check", "line"])
 
     return run
 
 
 def _deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return links.deal_rows(
-        (i, line.encode(), homes)
+        (i, line, homes)
         for batch in batches
         for i, line, homes in zip(*(c.to_pylist() for c in batch.columns), strict=True)
     )
@@ -259,27 +275,32 @@ def line_classes(
         raise ValueError("least_chars must exceed twice the threshold, for segments of a character or more")
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     with arrow_rows(docs.sparkSession, links.TEXTS_AT_ONCE):
-        lines = materialise(raw.mapInArrow(_occurrences, "doc_id long, line_no int, id long"))
+        lines = materialise(raw.mapInArrow(_occurrences, "doc_id long, line_no int, id long, check long"))
     records = raw.mapInArrow(_keys(threshold, least_chars), "key long, id long, weight long")
 
     def with_lines(placed: DataFrame) -> DataFrame:
         bitmap = docs.sparkSession.sparkContext.broadcast(links.id_filter(placed.select("id")))
-        found = raw.mapInArrow(_lines_in(bitmap, least_chars), "id long, line string")
-        each = placed.join(found, "id").groupBy("id").agg(F.first("line").alias("line"), F.first("homes").alias("homes"))
-        return each.mapInArrow(_deal, links.DEALT_COLUMNS)
+        found = raw.mapInArrow(_lines_in(bitmap, least_chars), "id long, check long, line binary")
+        each = placed.join(found, "id").groupBy("id").agg(
+            F.first("line").alias("line"),
+            F.first("homes").alias("homes"),
+            F.min("check").alias("least"),
+            F.max("check").alias("most"),
+        )
+        return each.where("least = most").select("id", "line", "homes").mapInArrow(_deal, links.DEALT_COLUMNS)
 
     roots = connected_components(links.links(records, with_lines, segment_index(threshold), chunk_weight))
     solid = lines.where("id IS NOT NULL")
-    firsts = solid.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = solid.groupBy("id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     linked = materialise(firsts.join(roots, "id"))
     of_class = linked.groupBy("root").agg(F.min("first").alias("class_first"), F.sum("n").alias("class_n"))
     known = linked.select("id", "root").join(of_class, "root").drop("root")
     classes = materialise(
         firsts.join(known, "id", "left").select(
-            "id", F.coalesce("class_first", "first").alias("first"), F.coalesce("class_n", "n").alias("class_size")
+            "id", "check", F.coalesce("class_first", "first").alias("first"), F.coalesce("class_n", "n").alias("class_size")
         )
     )
-    out = solid.join(classes, "id").select(
+    out = solid.join(classes, ["id", "check"]).select(
         "doc_id",
         "line_no",
         F.col("first.doc_id").alias("keep_doc_id"),
@@ -307,7 +328,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
         .agg(F.collect_set("line_no").alias("__gone"))
     )
     joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["__doc_id"]), "left")
-    rest = F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("__gone", i))
-    joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n")))
+    rest = F.arrow_udf(_without, "string")(F.col(text), F.col("__gone"))
+    joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest))
     empty = F.col("__gone").isNotNull() & (F.length(F.translate(F.col(text), " \t\n\x0b\x0c\r", "")) == 0)
     return joined.where(~empty).drop("__doc_id", "__gone").select(docs.columns)
+
+
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines of the given numbers, once through each text."""
+    out = []
+    for text, numbers in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+        if text is not None and numbers:
+            left = set(numbers)
+            text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in left)
+        out.append(text)
+    return pa.array(out, pa.string())
