@@ -11,12 +11,12 @@ the class's least length. A language with few sampled documents of a class takes
 floor of the others, and without any, what random trigrams reach.
 
 The model (document frequencies, centroids, floors) is fitted on at most
-``SAMPLE_PER_LANGUAGE`` labelled rows a language, chosen by a hash of their id; prediction
+``SAMPLE_PER_LANGUAGE`` labelled rows a language, chosen by a hash of their id and text; prediction
 reads every whole text and nothing but the text.
 
 Edge cases: a null text or one without a letter is ``und``, score 0 and rejected; so is
 every document when no labelled row can be learnt from. Repeated rows get the same result.
-Null ids are held out or not like the empty string. An empty table gives an empty result.
+Null ids are held out or not like the empty string (they are learnt from). An empty table gives an empty result.
 Only the id, text and language columns are read.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drawn, materialise
+from .common import drawn, materialise, returning_memory
 from .tokens import text_parts
 
 SAMPLE_PER_LANGUAGE = 1000
@@ -162,12 +162,12 @@ def held_out(doc_id: Column) -> Column:
 
 def _count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for langs, texts in text_parts(batches):
-        rows = [np.minimum(c, 65535).astype("<u2").tobytes() if c.any() else None for c in trigram_counts(texts)]
+        rows = [c.astype("<u4").tobytes() if c.any() else None for c in trigram_counts(texts)]
         yield pa.RecordBatch.from_arrays([langs, pa.array(rows, pa.binary())], names=["lang", "counts"])
 
 
 def _as_counts(column: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<u2") for x in column]).astype(np.int64)
+    return np.stack([np.frombuffer(x, "<u4") for x in column]).astype(np.int64)
 
 
 def fit(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int = CLUSTERS) -> Model:
@@ -177,10 +177,14 @@ def fit(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, clusters: int
     the cut orders a bounded number of rows whatever share of the table the language has."""
     labelled = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     # One row a language, written so that Spark knows its size and leaves the texts unmoved.
-    counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
-    place = drawn(F.col("doc_id")) / float(2**52)
-    few = labelled.join(counts, "lang").where(place < F.lit(2.0 * per_language) / F.col("rows")).select("doc_id", "text", "lang")
-    order = Window.partitionBy("lang").orderBy(drawn(F.col("doc_id")), "doc_id", "text")
+    # Rows are drawn by id and text, so rows without an id, or of one id, are drawn like others;
+    # a language's lowest row is drawn whatever the rate, should all its rows be alike.
+    place = drawn(F.xxhash64("doc_id", "text")) / float(2**52)
+    labelled = labelled.withColumn("place", place)
+    counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("place").alias("lowest")))
+    rate = F.greatest(F.lit(2.0 * per_language) / F.col("rows"), "lowest")
+    few = labelled.join(counts, "lang").where(F.col("place") <= rate).select("doc_id", "text", "lang", "place")
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
     sample = few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
     vectors = materialise(
         sample.select("lang", "text").mapInArrow(_count_batches, "lang string, counts binary").where("counts IS NOT NULL")
@@ -257,7 +261,7 @@ def identify_languages(
 
 def _accepted(model: Model):
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in parts:
+        for texts in returning_memory(parts):
             kept = [np.zeros(0, bool)]
             for a in range(0, len(texts), ROWS_AT_ONCE):
                 _, _, rejected = model.predict(np.stack(list(trigram_counts(texts.slice(a, ROWS_AT_ONCE)))))
