@@ -19,6 +19,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -43,7 +44,9 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 SENSITIVE_WORDS = ASSIGN_WORDS + ("credential", "private key", "access key", "bearer", "authorization", "pwd", "passphrase")
 SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE_WORDS)), re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CHARS = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
+CANDIDATE_START = re.compile(r"[A-Za-z0-9+/_=-]{%d}" % LEAST_CHARS)
 #: A candidate starts at most so many code points after the sensitive word's end.
 REACH = 48
 #: Code points of context on each side that prime the compressor.
@@ -128,21 +131,37 @@ def is_novel(candidate: str, before: str, after: str) -> bool:
 
 
 def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Candidates in sensitive context that no base span touches and that stay incompressible."""
+    """Candidates in sensitive context that no base span touches and that stay incompressible,
+    none in another: of a run that holds several words, what follows the first."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    taken = sorted((a, b) for a, _, b in base)
-    found = set()
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end()):
+    taken = _union(sorted((a, b) for a, _, b in base))
+    begins, ends = [a for a, _ in taken], [b for _, b in taken]
+    near = _union([(m.end(), m.end() + REACH + 1) for m in SENSITIVE.finditer(text)])
+    found, seen = [], 0
+    for low_end, high_end in near:
+        # A candidate that starts in reach may end beyond it; the search itself doesn't.
+        at = max(low_end, seen)
+        while at < high_end and (start := CANDIDATE_START.search(text, at, min(len(text), high_end + LEAST_CHARS - 1))):
+            m = CANDIDATE.match(text, start.start())
             a, b = m.span()
-            if a > word.end() + REACH:
-                break
-            if (a, b) not in found and all(b <= x or y <= a for x, y in taken):
-                if is_novel(m[0], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]):
-                    found.add((a, b))
-    return [(a, "novel", b) for a, b in found]
+            at = seen = b
+            k = bisect_left(ends, a + 1)  # the first base span that ends after a
+            if (k == len(ends) or begins[k] >= b) and is_novel(m[0], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]):
+                found.append((a, "novel", b))
+    return found
+
+
+def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order of start, those that touch or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 SCHEMA = pa.schema(

@@ -300,3 +300,46 @@ def test_connected_components(spark):
     want = {x: forest.find(x) for e in edges if e[0] != e[1] for x in e}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_lines_whose_polynomial_hashes_agree_are_different(spark):
+    line = _thue_morse(1 << 11)
+    other = line.translate({97: 98, 98: 97})
+    sums = words.prefix_sums(np.frombuffer((line + other).encode(), np.uint8))
+    n = len(line)
+    assert len(set(words.substring_hashes(sums, np.array([0, n]), np.array([n, 2 * n])).tolist())) == 1  # they do agree
+    docs = spark.createDataFrame([(1, line), (2, other), (3, f"x\n{other}")], "doc_id long, text string")
+    rows = {(r.doc_id, r.line_no): (r.keep_doc_id, r.class_size, r.kept) for r in line_classes(docs).collect()}
+    assert rows == {(1, 0): (1, 1, True), (2, 0): (2, 2, True), (3, 0): (3, 1, True), (3, 1): (2, 2, False)}
+    kept = {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+    assert kept == {1: line, 2: other, 3: "x"}
+    # As words of a document, too.
+    made = spark.createDataFrame([(1, f"{line} a b"), (2, f"{other} a b")], "doc_id long, text string")
+    assert {r.component_id for r in jaccard_components(made).collect()} == {1, 2}
+
+
+def test_lines_of_one_number_stay_apart(spark, monkeypatch):
+    """Different lines whose first 64 bits agree: neither goes, and neither is linked."""
+    from ledgerlens.llm import line_dedup
+
+    base = "a line that is long enough for the edit join to look at it, number "
+    docs = spark.createDataFrame([(i, base + str(i)) for i in range(3)], "doc_id long, text string")
+    assert line_classes(docs).where("kept").count() == 1
+    numbered = line_dedup._occurrences
+
+    def one_number(batches):
+        for batch in numbered(batches):
+            yield batch.set_column(2, "id", pa.array([7] * len(batch), pa.int64()))
+
+    monkeypatch.setattr(line_dedup, "_occurrences", one_number)
+    assert line_classes(docs).where("kept").count() == 3
+
+
+def test_a_text_of_very_many_lines_is_cut_in_one_pass(spark):
+    lines = [f"line number {i // 2} of this text" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    assert dedup_lines(docs).first()["text"] == "\n".join(lines[::2])

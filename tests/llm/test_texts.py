@@ -199,3 +199,111 @@ def test_secret_query_matches_the_patterns(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.base_sha256 == hashlib.sha256(_base_by_hand(texts[r.doc_id]).encode()).hexdigest()
+
+
+def test_long_texts_of_sensitive_words_take_linear_time():
+    import time
+
+    key = "Zk3vQ9xT7mLp2WcY8sRb"
+    for text in ("token " * 170_000, "token " * 80_000 + f"the private key is {key} " + "secret=abcdefgh1 " * 30_000):
+        began = time.process_time()
+        spans = scan(text)[-1].split(",")
+        assert time.process_time() - began < 10
+    assert f"novel:{text.index(key)}:{text.index(key) + len(key)}" in spans
+
+
+def _novel_by_hand(text):
+    """Candidates by their definition, one place after another."""
+    from ledgerlens.llm import secret_novelty as s
+
+    ends = [m.end() for m in s.SENSITIVE.finditer(text)]
+    near = {a for e in ends for a in range(e, e + s.REACH + 1)}
+    taken = {k for a, _, b in s.base_spans(text) for k in range(a, b)}
+    out, at = [], 0
+    while at < len(text):
+        m = s.CANDIDATE.match(text, at) if at in near else None
+        if m and not taken.intersection(range(*m.span())) and s.is_novel(m[0], text[max(0, at - s.CONTEXT) : at], text[m.end() : m.end() + s.CONTEXT]):
+            out.append((at, "novel", m.end()))
+        at = m.end() if m else at + 1
+    return out
+
+
+def test_novel_spans_like_brute_force():
+    from ledgerlens.llm.secret_novelty import base_spans, novel_spans
+
+    draw = random.Random(11)
+    pieces = ["token", "secret ", "bearer ", "=", " ", "\n", "plain words here ", "abcdefghijklmnop", "api_key: short", "é", "password=hunter2hunter2 "]
+    found = 0
+    for _ in range(150):
+        text = "".join(
+            draw.choice(pieces) if draw.random() < 0.7 else "".join(draw.choices(string.ascii_letters + string.digits, k=draw.randint(8, 40)))
+            for _ in range(draw.randint(3, 30))
+        )
+        spans = novel_spans(text, base_spans(text))
+        assert spans == _novel_by_hand(text)
+        found += len(spans)
+    assert found > 20
+
+
+def test_languages_are_learnt_from_rows_without_an_id_or_of_one(spark):
+    docs = queries.documents(spark, SF).select("doc_id", "text", "lang").where("lang IS NOT NULL")
+    often = docs.unionByName(docs).unionByName(docs).unionByName(docs)
+    shares = {}
+    for key in ("doc_id", "CAST(NULL AS BIGINT)", "CAST(7 AS BIGINT)"):  # 7 is not held out
+        given = often.withColumn("doc_id", F.expr(key))
+        out = identify_languages(given, per_language=100).groupBy("lang_pred").count().collect()
+        shares[key] = {r.lang_pred: r["count"] for r in out}
+    by_id = shares.pop("doc_id")
+    for other in shares.values():
+        assert set(other) >= set(by_id) - {"und"}
+        assert all(abs(other[k] - by_id[k]) < 0.1 * by_id[k] for k in by_id if k != "und")
+
+
+def test_a_language_of_equal_rows_is_learnt(spark):
+    rows = [(None, "Straßen und Wege führen über München nach Hause.", "de")] * 3000
+    rows += [(i, f"The quick brown fox number {i} jumps over the lazy dog.", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs, per_language=10)
+    assert set(model.languages) == {"de", "en"}
+
+
+def test_model_and_prediction_like_a_plain_computation(spark):
+    """TF-IDF vectors, centroids and cosines again, in plain Python, from the same drawn rows."""
+    import math
+
+    import numpy as np
+
+    from ledgerlens.llm import language_id as li
+
+    docs = queries.documents(spark, SF).select("doc_id", "text", "lang")
+    model = fit(docs)  # fewer rows than the bound: all labelled rows that are not held out
+    learnt = docs.where(F.col("lang").isNotNull() & ~li.held_out(F.col("doc_id"))).collect()
+
+    def counts(text):
+        out = [0] * li.DIMENSIONS
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        data = (" " + " ".join(words) + " ").encode() if words else b""
+        for i in range(len(data) - 2):
+            gram = data[i] | data[i + 1] << 8 | data[i + 2] << 16
+            out[(gram * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        return out
+
+    seen = [(r.lang, c) for r in learnt if any(c := counts(r.text))]
+    frequency = [sum(c[g] > 0 for _, c in seen) for g in range(li.DIMENSIONS)]
+    idf = [math.log((1 + len(seen)) / (1 + f)) + 1 for f in frequency]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+
+    def unit(c):
+        v = np.array([math.log1p(x) * w for x, w in zip(c, idf, strict=True)])
+        return v / (np.linalg.norm(v) or 1)
+
+    for lang in set(model.languages):
+        vectors = np.array([unit(c) for of, c in seen if of == lang])
+        mine = np.array([c for c, of in zip(model.centroids, model.languages, strict=True) if of == lang])
+        nearest = (vectors @ mine.T).argmax(axis=1)
+        for k, centroid in enumerate(mine):  # a fixed point but for the rounds' bound
+            mean = vectors[nearest == k].sum(axis=0)
+            assert mean @ centroid > 0.95 * np.linalg.norm(mean)
+    for r in identify_languages(docs).collect()[:40]:
+        cosines = model.centroids @ unit(counts(docs.where(F.col("doc_id") == r.doc_id).first()["text"]))
+        assert r.lang_pred == model.languages[int(cosines.argmax())] and abs(r.score - min(1, max(0, cosines.max()))) < 1e-4
