@@ -12,7 +12,8 @@ the main keys use a range that covers all rows of the tables; the ``_mid`` and
 ``_1998`` keys use an inner range to check the inclusive range ends and the
 independent range filter on each side of the bridge join (the scans still read
 the whole tables). The ``sql_*`` keys run the same twelve reports as SQL text with
-bound parameters and share their DataFrame twins' oracle.
+bound parameters and share their DataFrame twins' oracle, as do the ``rollup_*`` keys, which
+count from daily tables of bitmaps.
 
 The ``op*`` keys and ``pipeline`` apply the training-data operators of ``ledgerlens.llm``
 to the whole ``documents`` table; they are there only where that subpackage is.
@@ -35,13 +36,14 @@ if _HERE not in sys.path:
 
 import oracle_queries as oq  # noqa: E402
 from ledgerlens import load_inputs  # noqa: E402
-from ledgerlens.functions import contains_any_ci, json_leaves, safe_double  # noqa: E402
+from ledgerlens.functions import contains_any_ci, safe_double, with_leaves  # noqa: E402
 from ledgerlens.operators import contract_call_fee as fee_expr  # noqa: E402
 from ledgerlens.operators import bridge_sides, priced_bridge_rows, token_transfer_amounts, unified_transfers  # noqa: E402
 from ledgerlens.operators import priced_bridge_events as priced_events  # noqa: E402
 from ledgerlens.operators.routed import CONTRACT_CALL_PATHS  # noqa: E402
 from ledgerlens.params import ROUTER_ADDRESSES, SERVICE_CONTRACT_CALLS, SERVICE_TOKEN_TRANSFERS  # noqa: E402
 from ledgerlens.plans import bridge, ledger, routed  # noqa: E402
+from ledgerlens.plans.rollup import build_rollups  # noqa: E402
 from ledgerlens.plans.sql import REPORT_SQL, run_sql  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -105,8 +107,8 @@ def _priced_bridge_rows(rng):
 def safe_double_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed leaves of every token transfer (all JSON kinds, malformed documents)."""
     tt = load_inputs(spark, sf_dir).token_transfers
-    v = token_transfer_amounts(tt)
-    return tt.select(
+    parsed, v = token_transfer_amounts(tt)
+    return parsed.select(
         "id",
         v["source_chain"].alias("source_chain"),
         v["destination_chain"].alias("destination_chain"),
@@ -120,8 +122,8 @@ def safe_double_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contract_call_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amount, USD value and fee (gas x token price, else express fee) of every contract call."""
     cc = load_inputs(spark, sf_dir).contract_calls
-    j = json_leaves(cc, "data", CONTRACT_CALL_PATHS)
-    return cc.select(
+    parsed, j = with_leaves(cc, "data", CONTRACT_CALL_PATHS)
+    return parsed.select(
         "id",
         safe_double(j["amount"]).alias("amount"),
         safe_double(j["value"]).alias("amount_usd"),
@@ -136,8 +138,8 @@ def address_match(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(SERVICE_TOKEN_TRANSFERS).alias("service"),
         contains_any_ci("sender_address", ROUTER_ADDRESSES).alias("matched"),
     )
-    j = json_leaves(inp.contract_calls, "data", {"a": "approved.returnValues.contractAddress"})
-    cc = inp.contract_calls.select(
+    parsed, j = with_leaves(inp.contract_calls, "data", {"a": "approved.returnValues.contractAddress"})
+    cc = parsed.select(
         F.lit(SERVICE_CONTRACT_CALLS).alias("service"),
         contains_any_ci(j["a"], ROUTER_ADDRESSES).alias("matched"),
     )
@@ -151,6 +153,26 @@ def _sql(name, rng, grain="week"):
     return run
 
 
+def _rollup(name, rng, *extra):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(build_rollups(load_inputs(spark, sf_dir)), name)(*rng, *extra)
+
+    return run
+
+
+ROLLUPS = (
+    ("ledger_kpis", LEDGER_ALL),
+    ("ledger_kpis", LEDGER_MID),
+    ("ledger_status_totals", LEDGER_ALL),
+    ("ledger_status_over_time", LEDGER_ALL),
+    ("ledger_users_over_time", LEDGER_ALL),
+    ("routed_kpis", CHAIN_ALL),
+    ("routed_kpis", CHAIN_1998),
+    ("routed_over_time", CHAIN_ALL),
+    ("routed_route_totals", CHAIN_ALL),
+    ("routed_route_totals", CHAIN_1998),
+)
+
 _GRAIN_SUFFIX = {"week": "", "day": "_day", "month": "_month"}
 
 
@@ -220,6 +242,12 @@ def _registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
             _bridge(bridge.bridge_over_time, CHAIN_ALL, grain),
             oq.bridge_over_time(*CHAIN_ALL, grain),
         )
+    # Reports from daily tables of distinct sets, checked against the row-level oracle.
+    for name, rng in ROLLUPS:
+        grains = _GRAIN_SUFFIX if name.endswith("_over_time") else {"": ""}
+        for grain, suffix in grains.items():
+            suffix = suffix or {LEDGER_MID: "_mid", CHAIN_1998: "_1998"}.get(rng, "")
+            reg["rollup_" + name + suffix] = (_rollup(name, rng, *([grain] if grain else [])), reg[name + suffix][1])
     # The same twelve reports run as SQL text with bound parameters (plans.sql),
     # checked against the same oracle as their DataFrame twins.
     for name in REPORT_SQL:

@@ -11,7 +11,7 @@ from .columns import (
     status_label,
     time_bucket,
 )
-from .json_paths import json_leaves, leaf_schema
+from .json_paths import json_leaves, leaf_schema, with_leaves
 
 __all__ = [
     "contains_any_ci",
@@ -25,4 +25,5 @@ __all__ = [
     "share_within",
     "status_label",
     "time_bucket",
+    "with_leaves",
 ]

@@ -9,9 +9,10 @@ Two storage forms are supported:
 * ``STRING`` holding JSON text: one ``from_json`` per row with a nested schema
   whose leaves are all ``StringType``. Spark's JSON reader keeps a non-string
   leaf as its JSON text (``12.5``, ``[1]``, ``{"a":1}``, ``true``); malformed text
-  gives NULL leaves. The options are given, if with their default, because without
-  any Catalyst narrows each leaf's call to its own top-level field, and the calls then
-  differ and parse the text once each. So callers name only the leaves they read.
+  gives NULL leaves. A filter on a leaf is pushed below the projection that made it and
+  would parse the text a second time; so :func:`with_leaves` puts the parsed struct into an
+  array of one and explodes it: no leaf's expression crosses the generator, every filter and
+  projection above reads its column, and filters on other columns still go below it to the scan.
 * ``VARIANT``: ``try_variant_get(v, '$.a.b', 'string')`` per leaf; Spark pushes
   variant extraction into the Parquet scan.
 """
@@ -51,20 +52,7 @@ def leaf_schema(paths: Mapping[str, str]) -> T.StructType:
     return build(tree)
 
 
-def json_leaves(df: DataFrame, column: str, paths: Mapping[str, str]) -> dict[str, Column]:
-    """Map each alias in ``paths`` to a STRING column holding that leaf of ``df[column]``.
-
-    Path keys are case-sensitive, as in the source system.
-    """
-    dtype = df.schema[column].dataType
-    if isinstance(dtype, T.VariantType):
-        return {
-            alias: F.try_variant_get(F.col(column), "$." + path, "string")
-            for alias, path in paths.items()
-        }
-    if not isinstance(dtype, T.StringType):
-        raise TypeError(f"column {column!r} must be STRING (JSON text) or VARIANT, not {dtype}")
-    parsed = F.from_json(F.col(column), leaf_schema(paths), {"mode": "PERMISSIVE"})
+def _fields(parsed: Column, paths: Mapping[str, str]) -> dict[str, Column]:
     out = {}
     for alias, path in paths.items():
         c = parsed
@@ -72,3 +60,32 @@ def json_leaves(df: DataFrame, column: str, paths: Mapping[str, str]) -> dict[st
             c = c.getField(p)
         out[alias] = c
     return out
+
+
+def _parsed(df: DataFrame, column: str, paths: Mapping[str, str]) -> Column:
+    if not isinstance(dtype := df.schema[column].dataType, T.StringType):
+        raise TypeError(f"column {column!r} must be STRING (JSON text) or VARIANT, not {dtype}")
+    # The option is a default: without any, Catalyst narrows each leaf's call to its own field,
+    # and the calls then differ and parse the text once each.
+    return F.from_json(F.col(column), leaf_schema(paths), {"mode": "PERMISSIVE"})
+
+
+def json_leaves(df: DataFrame, column: str, paths: Mapping[str, str]) -> dict[str, Column]:
+    """Map each alias in ``paths`` to a STRING column holding that leaf of ``df[column]``.
+
+    Path keys are case-sensitive, as in the source system. For one projection; where leaves
+    are filtered on as well, :func:`with_leaves` parses text once for both."""
+    if isinstance(df.schema[column].dataType, T.VariantType):
+        return {alias: F.try_variant_get(F.col(column), "$." + path, "string") for alias, path in paths.items()}
+    return _fields(_parsed(df, column, paths), paths)
+
+
+def with_leaves(df: DataFrame, column: str, paths: Mapping[str, str]) -> tuple[DataFrame, dict[str, Column]]:
+    """(``df`` to read them from, :func:`json_leaves` of ``column``).
+
+    Text is parsed once a row, however often its leaves are read; the frame has one column
+    more (``__leaves``). VARIANT is left to the scan, which reads the leaves' own columns."""
+    if isinstance(df.schema[column].dataType, T.VariantType) or not paths:
+        return df, json_leaves(df, column, paths) if paths else {}
+    made = df.select("*", F.explode(F.array(_parsed(df, column, paths))).alias("__leaves"))
+    return made, _fields(F.col("__leaves"), paths)

@@ -20,19 +20,25 @@ from .routed import (
     token_transfer_rows,
     unified_transfers,
 )
+from .skew import heavy_hitters, many_to_one
+from .store import ResultStore, remove_folder
 
 __all__ = [
     "BridgeSides",
+    "ResultStore",
     "bridge_events_in_range",
     "bridge_sides",
     "checkpoint_dir",
     "contract_call_fee",
     "contract_call_rows",
     "finished",
+    "heavy_hitters",
     "keep",
+    "many_to_one",
     "price_events",
     "priced_bridge_events",
     "priced_bridge_rows",
+    "remove_folder",
     "token_transfer_amounts",
     "token_transfer_rows",
     "totals_per_hash",

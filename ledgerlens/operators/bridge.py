@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_part, in_date_range
+from .skew import many_to_one
 from .routed import finished, token_transfer_amounts
 
 PRICED_EVENT_COLUMNS = (
@@ -53,8 +54,7 @@ PRICED_EVENT_COLUMNS = (
 def transfer_values(token_transfers: DataFrame) -> DataFrame:
     """Finished token transfers as ``(created_at, tx_hash, amount, amount_usd)``: the
     join hash and the typed values, all the bridge side needs from a transfer."""
-    kept = token_transfers.where(finished())
-    v = token_transfer_amounts(kept, ("amount", "amount_usd"))
+    kept, v = token_transfer_amounts(token_transfers.where(finished()), ("amount", "amount_usd"))
     return kept.select(
         "created_at",
         hash_part("id").alias("tx_hash"),
@@ -103,12 +103,8 @@ def priced_bridge_events(
 ) -> DataFrame:
     """Bridge events in ``[start, end]`` left-joined to per-hash transfer totals.
 
-    One output row per event row. Unmatched events keep NULL totals and 0 counts.
-    No broadcast hint: the totals side grows with the data, so Spark decides from
-    measured sizes (AQE turns the sort-merge join into a broadcast only when the
-    shuffled side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``). The
-    totals come from an aggregate on the join key, so AQE does not split a hot hash
-    here; the reports do not need it, as they collapse the events first.
+    One output row per event row. Unmatched events keep NULL totals and 0 counts. A hash with
+    a large share of the events is split over many tasks (:mod:`.skew`).
     """
     return price_events(bridge_events, transfer_totals(token_transfers, start, end), start, end)
 
@@ -118,7 +114,7 @@ def price_events(bridge_events: DataFrame, totals: DataFrame, start: date | str,
     (:func:`transfer_totals`, or :func:`totals_per_hash` over an ingested
     transfer-values table)."""
     events = bridge_events_in_range(bridge_events, start, end)
-    joined = events.join(totals, on="tx_hash", how="left")
+    joined = many_to_one(events, totals, "tx_hash")
     return joined.select(
         "event_date",
         "tx_hash",

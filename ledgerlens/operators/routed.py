@@ -13,7 +13,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import contains_any_ci, json_leaves, safe_double
+from ..functions import contains_any_ci, safe_double, with_leaves
 from ..params import (
     ROUTER_ADDRESSES,
     SERVICE_CONTRACT_CALLS,
@@ -88,19 +88,19 @@ CONTRACT_CALL_NEEDS = {
 
 def _leaves(
     df: DataFrame, paths: Mapping[str, str], needs: Mapping[str, Iterable[str]], columns: Iterable[str], always: Iterable[str] = ()
-) -> dict[str, Column]:
-    """The leaves of ``df.data`` that ``columns`` need, read by one parse of the text."""
+) -> tuple[DataFrame, dict[str, Column]]:
+    """(frame, leaves): those of ``df.data`` that ``columns`` need, read by one parse of the text."""
     wanted = {leaf for c in columns for leaf in needs.get(c, ())} | set(always)
-    return json_leaves(df, "data", {k: v for k, v in paths.items() if k in wanted}) if wanted else {}
+    return with_leaves(df, "data", {k: v for k, v in paths.items() if k in wanted}) if wanted else (df, {})
 
 
 def token_transfer_amounts(
     token_transfers: DataFrame, columns: Iterable[str] = tuple(TOKEN_TRANSFER_NEEDS)
-) -> dict[str, Column]:
-    """Typed leaves of a token transfer: amount, amount_usd (amount x price), fee,
-    lower-cased chains and the asset text; those of ``columns``."""
+) -> tuple[DataFrame, dict[str, Column]]:
+    """(frame, typed leaves of its token transfers): amount, amount_usd (amount x price), fee,
+    lower-cased chains and the asset text; those of ``columns``. Select them from the frame."""
     columns = tuple(columns)
-    leaf = _leaves(token_transfers, TOKEN_TRANSFER_PATHS, TOKEN_TRANSFER_NEEDS, columns)
+    parsed, leaf = _leaves(token_transfers, TOKEN_TRANSFER_PATHS, TOKEN_TRANSFER_NEEDS, columns)
     made = {
         "source_chain": lambda: F.lower(leaf["source_chain"]),
         "destination_chain": lambda: F.lower(leaf["destination_chain"]),
@@ -109,7 +109,7 @@ def token_transfer_amounts(
         "fee": lambda: safe_double(leaf["fee_value"]),
         "raw_asset": lambda: leaf["asset"],
     }
-    return {c: make() for c, make in made.items() if c in columns}
+    return parsed, {c: make() for c, make in made.items() if c in columns}
 
 
 def contract_call_fee(gas_used: Column, token_price_usd: Column, express_fee_usd: Column) -> Column:
@@ -124,8 +124,10 @@ def token_transfer_rows(
 ) -> DataFrame:
     """Token-transfer branch of the unified dataset."""
     columns = tuple(columns)
-    kept = token_transfers.where(finished() & contains_any_ci("sender_address", addresses))
-    made = token_transfer_amounts(kept, columns) | {
+    kept, values = token_transfer_amounts(
+        token_transfers.where(finished() & contains_any_ci("sender_address", addresses)), columns
+    )
+    made = values | {
         "created_at": F.col("created_at"),
         "user_address": F.col("recipient_address"),
         "id": F.col("id"),
@@ -141,8 +143,10 @@ def contract_call_rows(
 ) -> DataFrame:
     """Contract-call branch of the unified dataset."""
     columns = tuple(columns)
-    j = _leaves(contract_calls, CONTRACT_CALL_PATHS, CONTRACT_CALL_NEEDS, columns, always=("contract_address",))
-    kept = contract_calls.where(finished() & contains_any_ci(j["contract_address"], addresses))
+    parsed, j = _leaves(
+        contract_calls.where(finished()), CONTRACT_CALL_PATHS, CONTRACT_CALL_NEEDS, columns, always=("contract_address",)
+    )
+    kept = parsed.where(contains_any_ci(j["contract_address"], addresses))
     made = {
         "created_at": lambda: F.col("created_at"),
         "source_chain": lambda: F.lower(j["source_chain"]),

@@ -23,6 +23,9 @@ from ..operators.routed import UNIFIED_COLUMNS
 from ..params import as_date, check_grain
 from .routed import columns_of
 
+#: Column of a view that holds the partition's day.
+VIEW_DAY = "__day"
+
 VIEWS = ("ledger_tx", "routed_transfers", "token_transfer_values", "bridge_events")
 
 _RANGE = "{col} >= CAST(:range_start AS TIMESTAMP_NTZ) AND {col} < CAST(date_add(:range_end, 1) AS TIMESTAMP_NTZ)"
@@ -173,8 +176,8 @@ GRAINED = {
 
 def token_transfer_values(token_transfers: DataFrame) -> DataFrame:
     """Typed token-transfer leaves with the join hash and the finished flag (for SQL)."""
-    v = token_transfer_amounts(token_transfers, ("amount", "amount_usd"))
-    return token_transfers.select(
+    parsed, v = token_transfer_amounts(token_transfers, ("amount", "amount_usd"))
+    return parsed.select(
         "id",
         hash_part("id").alias("tx_hash"),
         "created_at",
@@ -194,9 +197,22 @@ def _view_frames(inputs, columns=UNIFIED_COLUMNS) -> dict[str, Callable[[], Data
 
 
 def register_views(inputs) -> None:
-    """Register :data:`VIEWS` as temp views of the given inputs (lazy, nothing runs)."""
+    """Register :data:`VIEWS` as temp views of the given inputs (lazy, nothing runs).
+
+    Views over inputs with date columns carry the day in a column of their own, on which
+    :func:`run_sql` selects the range's partitions."""
     for view, build in _view_frames(inputs).items():
         build().createOrReplaceTempView(view)
+    for name, column in getattr(inputs, "date_columns", {}).items():
+        if name in VIEWS:
+            inputs.dated[name].withColumnRenamed(column, VIEW_DAY).createOrReplaceTempView(name)
+
+
+def _days(view: DataFrame, start: date | str, end: date | str) -> DataFrame:
+    """The view's rows on the range's days, where it carries the day."""
+    if VIEW_DAY not in view.columns:
+        return view
+    return view.where(F.col(VIEW_DAY).between(F.lit(as_date(start)), F.lit(as_date(end)))).drop(VIEW_DAY)
 
 
 def run_sql(
@@ -208,13 +224,20 @@ def run_sql(
     inputs=None,
 ) -> DataFrame:
     """Run report ``name`` from :data:`REPORT_SQL` with bound parameters, over ``inputs``
-    when given, else over the views of :func:`register_views`."""
+    when given, else over the views of :func:`register_views`.
+
+    Inputs with date columns (tables partitioned by day) are restricted to the range's days
+    on them as well, so that only these partitions are listed; views are, if
+    ``register_views`` was given such inputs."""
     if name not in REPORT_SQL:
         raise KeyError(f"unknown report {name!r}; expected one of {sorted(REPORT_SQL)}")
     text = REPORT_SQL[name]
     args = {"range_start": F.lit(as_date(start)), "range_end": F.lit(as_date(end))}
     if name in GRAINED:
         args["grain"] = F.lit(check_grain(grain))
-    frames = {view: (lambda v=view: spark.table(v)) for view in VIEWS} if inputs is None else _view_frames(inputs, columns_of(name))
+    if inputs is None:
+        frames = {view: (lambda v=view: _days(spark.table(v), start, end)) for view in VIEWS}
+    else:
+        frames = _view_frames(inputs.between(start, end), columns_of(name))
     tables = {view: build() for view, build in frames.items() if "{" + view + "}" in text}
     return spark.sql(text, args=args, **tables)

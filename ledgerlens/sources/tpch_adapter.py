@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import ROUTER_ADDRESSES
-from .tables import LEDGER_TX_COLUMNS, Inputs, _require, from_frames, from_parquet, normalize_flag
+from .layout import TIMES, as_variant, clustered, stored_inputs, write_table
+from .tables import LEDGER_TX_COLUMNS, Inputs, _require, from_frames, normalize_flag
 
 # Design values of this adapter (chain and token names are invented test labels).
 TRANSFER_SOURCE_CHAINS = ("Ethereum", "ethereum", "Polygon", "Arbitrum", "AVALANCHE", "binance")
@@ -228,19 +229,35 @@ def bridge_events_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def split_small_scan(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if its scan has fewer splits than the cluster runs tasks.
+
+    A table in one row group is read by one task, and everything built from its rows (JSON
+    text, and its parsing) would stay in that task. Only the raw columns that are read are
+    dealt out. A table of many row groups scans in many splits and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class TestTableInputs:
     """The four dashboard inputs derived from ``{sf_dir}/{events,lineitem,orders}.parquet``.
 
     Each input is built on first use, so a report reads only the table it needs.
-    Attribute names match :class:`ledgerlens.sources.Inputs`.
+    Attribute names match :class:`ledgerlens.sources.Inputs`. With ``cluster`` the tables'
+    rows are dealt out by their day before anything is derived from them, for storing.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    #: Timestamp and key of the tables.
+    RAW = {"events": ("ts", "event_id"), "lineitem": ("l_shipdate", "l_orderkey"), "orders": ("o_orderdate", "o_orderkey")}
+
+    def __init__(self, spark: SparkSession, sf_dir: str, cluster: bool = False) -> None:
         self._spark = spark
         self._dir = sf_dir.rstrip("/")
+        self._cluster = cluster
 
     def _table(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        table = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return clustered(table, *self.RAW[name]) if self._cluster else split_small_scan(table)
 
     @cached_property
     def ledger_tx(self) -> DataFrame:
@@ -276,7 +293,9 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> TestTableInputs:
     return TestTableInputs(spark, sf_dir)
 
 
-def stage_inputs(spark: SparkSession, sf_dir: str, out_dir: str, data_type: str = "variant") -> Inputs:
+def stage_inputs(
+    spark: SparkSession, sf_dir: str, out_dir: str, data_type: str = "variant", by_day: bool = False
+) -> Inputs:
     """Write the four derived inputs once as Parquet under ``out_dir`` and read them back.
 
     This is how the inputs exist in production: stored tables whose ``data`` payload
@@ -284,15 +303,14 @@ def stage_inputs(spark: SparkSession, sf_dir: str, out_dir: str, data_type: str
     malformed text becomes NULL, like a failed parse) or JSON text
     (``data_type="string"``). Spark writes VARIANT shredded, and reports then read
     only the shredded leaves they use. ``out_dir`` must be on storage shared by the
-    cluster (for example below ``spark.checkpoint.dir``).
+    cluster (for example below ``spark.checkpoint.dir``). Rows are clustered by day into
+    files of bounded size, at least one for each core (:mod:`.layout`); ``by_day`` gives
+    each day a folder of its own.
     """
     if data_type not in ("variant", "string"):
         raise ValueError(f"data_type must be 'variant' or 'string', not {data_type!r}")
-    src = load_inputs(spark, sf_dir)
+    src = TestTableInputs(spark, sf_dir, cluster=True)
     out_dir = out_dir.rstrip("/")
-    for name in ("ledger_tx", "token_transfers", "contract_calls", "bridge_events"):
-        df = getattr(src, name)
-        if data_type == "variant" and "data" in df.columns:
-            df = df.withColumn("data", F.try_parse_json("data"))
-        df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
-    return from_parquet(spark, out_dir)
+    for name, timestamp in TIMES.items():
+        write_table(as_variant(getattr(src, name), data_type), f"{out_dir}/{name}", timestamp, by_day)
+    return stored_inputs(spark, out_dir, by_day)

@@ -8,7 +8,8 @@ import pytest
 from conftest import ts
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import bridge_sides, priced_bridge_events, unified_transfers
+from ledgerlens.operators import bridge_sides, many_to_one, priced_bridge_events, unified_transfers
+from ledgerlens.operators.skew import heavy_hitters
 from ledgerlens.params import ROUTER_ADDRESSES
 from ledgerlens.plans import bridge, routed
 
@@ -85,3 +86,49 @@ def test_hot_user_and_bucket(spark, small_skew_thresholds):
     assert (k.txn_count, k.user_count, k.volume_usd) == (HOT + COLD, 1 + COLD, float(HOT + COLD))
     rows = routed.routed_over_time(u, S, E, "month").collect()
     assert [(r.txn_count, r.user_count) for r in rows] == [(HOT + COLD, 1 + COLD)]
+
+
+@pytest.fixture
+def one_task_a_partition(spark, small_skew_thresholds):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def _rows_by_task(df):
+    read = F.max(F.coalesce("transfers", F.lit(0)))  # or the join could be left out
+    return sorted(r["rows"] for r in df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("rows"), read).collect())
+
+
+def test_hot_hash_is_split_over_tasks(spark, one_task_a_partition):
+    """A third of all events under one hash, a tenth without one: no task has much more than others."""
+    rows = 9000
+    hash_of = F.when(F.col("id") % 3 == 0, F.lit("0xhot")).when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.concat(F.lit("0x"), F.col("id")))
+    events = spark.range(rows).select(hash_of.alias("tx_hash"), F.lit("same").alias("sender"), (F.col("id") % 2).alias("side"))
+    totals = spark.range(rows).select(F.concat(F.lit("0x"), F.col("id")).alias("tx_hash")).unionByName(
+        spark.createDataFrame([("0xhot",)], "tx_hash string")
+    )
+    totals = totals.groupBy("tx_hash").agg(F.count(F.lit(1)).alias("transfers"))
+    plain = events.join(totals, "tx_hash", "left")
+    split = many_to_one(events, totals, "tx_hash")
+    assert split.columns == plain.columns
+    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+    most, median = (lambda x: (x[-1], x[len(x) // 2]))(_rows_by_task(split))
+    assert most < 2.5 * median
+    most, median = (lambda x: (x[-1], x[len(x) // 2]))(_rows_by_task(plain))
+    assert most > 3 * median  # what it is without
+    hot = {r["__hot"]: r["__salts"] for r in heavy_hitters(events, "tx_hash").collect()}
+    assert set(hot) == {"0xhot", None} and hot["0xhot"] > 300
+    inner = many_to_one(events, totals, "tx_hash", "inner")
+    assert inner.count() == plain.where("transfers IS NOT NULL").count()
+
+
+def test_many_to_one_of_nothing(spark):
+    none = spark.createDataFrame([], "tx_hash string, x int")
+    one = spark.createDataFrame([("a", 1)], "tx_hash string, n int")
+    assert many_to_one(none, one, "tx_hash").collect() == []
+    assert [tuple(r) for r in many_to_one(one, none, "tx_hash").collect()] == [("a", 1, None)]
+    assert heavy_hitters(none, "tx_hash").collect() == []
+    with pytest.raises(ValueError):
+        many_to_one(one, none, "tx_hash", "right")
