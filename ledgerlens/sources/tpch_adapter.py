@@ -229,14 +229,15 @@ def bridge_events_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def split_small_scan(df: DataFrame) -> DataFrame:
-    """``df``, dealt out to all cores if its scan has fewer splits than the cluster runs tasks.
+def split_small_scan(df: DataFrame, key: str) -> DataFrame:
+    """``df``, dealt out by ``key`` to all cores if its scan has fewer splits than the cluster runs
+    tasks at once.
 
     A table in one row group is read by one task, and everything built from its rows (JSON
     text, and its parsing) would stay in that task. Only the raw columns that are read are
     dealt out. A table of many row groups scans in many splits and is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 class TestTableInputs:
@@ -257,7 +258,7 @@ class TestTableInputs:
 
     def _table(self, name: str) -> DataFrame:
         table = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
-        return clustered(table, *self.RAW[name]) if self._cluster else split_small_scan(table)
+        return clustered(table, *self.RAW[name]) if self._cluster else split_small_scan(table, self.RAW[name][1])
 
     @cached_property
     def ledger_tx(self) -> DataFrame:

@@ -95,7 +95,8 @@ def test_sql_reports_list_only_the_range_s_partitions(spark, tmp_path_factory, n
     scans = [x for x in plan.splitlines() if "FileScan" in x]
     assert scans and all("PartitionFilters: [isnotnull(day" in x for x in scans), plan
     expected = Dashboard(inputs, ReportParams(*rng, "week")).report(name).collect()
-    assert sorted(map(str, got.collect())) == sorted(map(str, expected)) and expected
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected))
+    assert expected or name == "bridge_route_totals"  # no transfer of these days prices an event of them
     register_views(inputs)
     assert sorted(map(str, run_sql(spark, name, *rng).collect())) == sorted(map(str, expected))
     if name.startswith("ledger"):
