@@ -75,10 +75,10 @@ def _routed(report, rng, *extra):
     return run
 
 
-def _bridge(report, rng, *extra):
+def _bridge(report, rng, *extra, prune=False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         inp = load_inputs(spark, sf_dir)
-        return report(bridge_sides(inp.bridge_events, inp.token_transfers, *rng), *extra)
+        return report(bridge_sides(inp.bridge_events, inp.token_transfers, *rng, prune=prune), *extra)
 
     return run
 
@@ -88,18 +88,18 @@ def unified_transfers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified_transfers(inp.token_transfers, inp.contract_calls)
 
 
-def _priced_bridge_events(rng):
+def _priced_bridge_events(rng, prune=False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         inp = load_inputs(spark, sf_dir)
-        return priced_events(inp.bridge_events, inp.token_transfers, *rng)
+        return priced_events(inp.bridge_events, inp.token_transfers, *rng, prune=prune)
 
     return run
 
 
-def _priced_bridge_rows(rng):
+def _priced_bridge_rows(rng, prune=False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         inp = load_inputs(spark, sf_dir)
-        return priced_bridge_rows(inp.bridge_events, inp.token_transfers, *rng)
+        return priced_bridge_rows(inp.bridge_events, inp.token_transfers, *rng, prune=prune)
 
     return run
 
@@ -221,6 +221,13 @@ def _registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "priced_bridge_events_1998": (_priced_bridge_events(CHAIN_1998), oq.priced_bridge_events(*CHAIN_1998)),
         "priced_bridge_rows": (_priced_bridge_rows(CHAIN_ALL), oq.priced_bridge_rows(*CHAIN_ALL)),
         "priced_bridge_rows_1998": (_priced_bridge_rows(CHAIN_1998), oq.priced_bridge_rows(*CHAIN_1998)),
+        # Transfers pruned by the events' hashes before their payload is read.
+        "bridge_kpis_pruned_1998": (_bridge(bridge.bridge_kpis, CHAIN_1998, prune=True), oq.bridge_kpis(*CHAIN_1998)),
+        "priced_bridge_events_pruned_1998": (
+            _priced_bridge_events(CHAIN_1998, prune=True),
+            oq.priced_bridge_events(*CHAIN_1998),
+        ),
+        "priced_bridge_rows_pruned_1998": (_priced_bridge_rows(CHAIN_1998, prune=True), oq.priced_bridge_rows(*CHAIN_1998)),
         "safe_double_extract": (safe_double_extract, oq.safe_double_extract()),
         "contract_call_fee": (contract_call_fee, oq.contract_call_fee()),
         "address_match": (address_match, oq.address_match()),

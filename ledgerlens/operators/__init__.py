@@ -11,6 +11,7 @@ from .bridge import (
     transfer_totals,
     transfer_values,
 )
+from .marks import hash_marks, marked
 from .reuse import checkpoint_dir, keep
 from .routed import (
     contract_call_fee,
@@ -32,9 +33,11 @@ __all__ = [
     "contract_call_fee",
     "contract_call_rows",
     "finished",
+    "hash_marks",
     "heavy_hitters",
     "keep",
     "many_to_one",
+    "marked",
     "price_events",
     "priced_bridge_events",
     "priced_bridge_rows",

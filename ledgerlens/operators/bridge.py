@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_part, in_date_range
-from .skew import many_to_one
+from .marks import hash_marks, marked
 from .routed import finished, token_transfer_amounts
+from .skew import many_to_one
 
 PRICED_EVENT_COLUMNS = (
     "event_date",
@@ -51,10 +52,14 @@ PRICED_EVENT_COLUMNS = (
 )
 
 
-def transfer_values(token_transfers: DataFrame) -> DataFrame:
+def transfer_values(token_transfers: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """Finished token transfers as ``(created_at, tx_hash, amount, amount_usd)``: the
-    join hash and the typed values, all the bridge side needs from a transfer."""
-    kept, v = token_transfer_amounts(token_transfers.where(finished()), ("amount", "amount_usd"))
+    join hash and the typed values, all the bridge side needs from a transfer. With ``marks``
+    (:mod:`.marks`) only those whose hash is marked, and no other's payload is read."""
+    done = token_transfers.where(finished())
+    if marks is not None:
+        done = marked(done, marks, hash_part("id"))
+    kept, v = token_transfer_amounts(done, ("amount", "amount_usd"))
     return kept.select(
         "created_at",
         hash_part("id").alias("tx_hash"),
@@ -79,9 +84,15 @@ def totals_per_hash(values: DataFrame, start: date | str, end: date | str) -> Da
     )
 
 
-def transfer_totals(token_transfers: DataFrame, start: date | str, end: date | str) -> DataFrame:
+def transfer_totals(
+    token_transfers: DataFrame, start: date | str, end: date | str, marks: DataFrame | None = None
+) -> DataFrame:
     """Per-hash totals of the finished token transfers created in the range."""
-    return totals_per_hash(transfer_values(token_transfers), start, end)
+    return totals_per_hash(transfer_values(token_transfers, marks), start, end)
+
+
+def _marks(bridge_events: DataFrame, start: date | str, end: date | str, prune: bool) -> DataFrame | None:
+    return hash_marks(bridge_events_in_range(bridge_events, start, end)) if prune else None
 
 
 def bridge_events_in_range(bridge_events: DataFrame, start: date | str, end: date | str) -> DataFrame:
@@ -100,13 +111,16 @@ def priced_bridge_events(
     token_transfers: DataFrame,
     start: date | str,
     end: date | str,
+    prune: bool = False,
 ) -> DataFrame:
     """Bridge events in ``[start, end]`` left-joined to per-hash transfer totals.
 
     One output row per event row. Unmatched events keep NULL totals and 0 counts. A hash with
-    a large share of the events is split over many tasks (:mod:`.skew`).
+    a large share of the events is split over many tasks (:mod:`.skew`). ``prune`` reads only
+    the payloads of transfers that may belong to an event (:mod:`.marks`): for short ranges.
     """
-    return price_events(bridge_events, transfer_totals(token_transfers, start, end), start, end)
+    marks = _marks(bridge_events, start, end, prune)
+    return price_events(bridge_events, transfer_totals(token_transfers, start, end, marks), start, end)
 
 
 def price_events(bridge_events: DataFrame, totals: DataFrame, start: date | str, end: date | str) -> DataFrame:
@@ -146,12 +160,14 @@ def priced_bridge_rows(
     token_transfers: DataFrame,
     start: date | str,
     end: date | str,
+    prune: bool = False,
 ) -> DataFrame:
     """Bridge events in ``[start, end]`` left-joined to the transfers themselves: k events
     and m transfers of one hash give k x m rows, an event without transfers gives one row
-    with NULL amounts. Both sides are plain shuffles on the hash, so AQE can split a hot one."""
+    with NULL amounts. Both sides are plain shuffles on the hash, so AQE can split a hot one.
+    ``prune`` shuffles only transfers that may belong to an event (:mod:`.marks`)."""
     events = bridge_events_in_range(bridge_events, start, end)
-    values = transfer_values(token_transfers).where(in_date_range("created_at", start, end))
+    values = transfer_values(token_transfers, _marks(bridge_events, start, end, prune)).where(in_date_range("created_at", start, end))
     return events.join(values.select("tx_hash", "amount", "amount_usd"), on="tx_hash", how="left").select(
         *PRICED_ROW_COLUMNS
     )
@@ -170,7 +186,10 @@ def bridge_sides(
     token_transfers: DataFrame,
     start: date | str,
     end: date | str,
+    prune: bool = False,
 ) -> BridgeSides:
-    """Both sides in ``[start, end]``, narrowed to what the reports read."""
-    totals = transfer_totals(token_transfers, start, end).select("tx_hash", "amount_usd")
+    """Both sides in ``[start, end]``, narrowed to what the reports read; ``prune`` as in
+    :func:`priced_bridge_events`."""
+    marks = _marks(bridge_events, start, end, prune)
+    totals = transfer_totals(token_transfers, start, end, marks).select("tx_hash", "amount_usd")
     return BridgeSides(bridge_events_in_range(bridge_events, start, end).drop("token_symbol"), totals)

@@ -33,30 +33,38 @@ def _in_range(unified: DataFrame, start: date | str, end: date | str) -> DataFra
     return unified.where(in_date_range("created_at", start, end))
 
 
+def _ids_users_volume(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: distinct ids, distinct users and rounded volume. Two aggregates with one
+    distinct each, put beside each other by a union and one more aggregate: two distincts in one
+    would multiply every row (an Expand), and each of these reads only its own columns."""
+    ids = (
+        rows.groupBy(*keys)
+        .agg(F.count_distinct("id").alias("txn_count"), F.round(F.sum("amount_usd")).alias("volume_usd"))
+        .withColumn("user_count", F.lit(None).cast("long"))
+    )
+    users = (
+        rows.groupBy(*keys)
+        .agg(F.count_distinct("user_address").alias("user_count"))
+        .withColumn("txn_count", F.lit(None).cast("long"))
+        .withColumn("volume_usd", F.lit(None).cast("double"))
+    )
+    measures = ("txn_count", "user_count", "volume_usd")
+    return ids.unionByName(users).groupBy(*keys).agg(*[F.max(m).alias(m) for m in measures])
+
+
 def routed_kpis(unified: DataFrame, start: date | str, end: date | str) -> DataFrame:
     """One row: distinct transfer ids and users across both services, rounded USD volume."""
-    return _in_range(unified, start, end).agg(
-        F.count_distinct("id").alias("txn_count"),
-        F.count_distinct("user_address").alias("user_count"),
-        F.round(F.sum("amount_usd")).alias("volume_usd"),
-    )
+    return _ids_users_volume(_in_range(unified, start, end), [])
 
 
 def routed_over_time(
     unified: DataFrame, start: date | str, end: date | str, grain: str = "week"
 ) -> DataFrame:
     """Per time bucket: distinct transfers, distinct users, rounded USD volume."""
-    return (
-        _in_range(unified, start, end)
-        .select(time_bucket("created_at", grain).alias("bucket"), "id", "user_address", "amount_usd")
-        .groupBy("bucket")
-        .agg(
-            F.count_distinct("id").alias("txn_count"),
-            F.count_distinct("user_address").alias("user_count"),
-            F.round(F.sum("amount_usd")).alias("volume_usd"),
-        )
-        .orderBy(F.col("bucket").asc_nulls_last())
+    rows = _in_range(unified, start, end).select(
+        time_bucket("created_at", grain).alias("bucket"), "id", "user_address", "amount_usd"
     )
+    return _ids_users_volume(rows, ["bucket"]).orderBy(F.col("bucket").asc_nulls_last())
 
 
 def routed_route_totals(unified: DataFrame, start: date | str, end: date | str) -> DataFrame:

@@ -80,6 +80,24 @@ FROM (
     )
 
 
+def _ids_users_volume(group: str) -> str:
+    """One distinct a branch, like the DataFrame reports."""
+    keys, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
+    return f"""
+WITH transfers AS (
+    SELECT {_time_bucket("created_at") if group else "created_at"} AS bucket, id, user_address, amount_usd
+    FROM {{routed_transfers}}
+    WHERE {_RANGE.format(col="created_at")}
+)
+SELECT {keys}max(txn_count) AS txn_count, max(user_count) AS user_count, max(volume_usd) AS volume_usd
+FROM (
+    SELECT {keys}count(DISTINCT id) AS txn_count, CAST(NULL AS BIGINT) AS user_count, round(sum(amount_usd)) AS volume_usd
+    FROM transfers {by}
+    UNION ALL
+    SELECT {keys}CAST(NULL AS BIGINT), count(DISTINCT user_address), CAST(NULL AS DOUBLE) FROM transfers {by}
+) {by}"""
+
+
 REPORT_SQL = {
     "ledger_kpis": f"""
 SELECT count(DISTINCT tx_id) AS txn_count,
@@ -131,21 +149,8 @@ SELECT {_SUCCEEDED_LABEL} AS status, count(DISTINCT tx_id) AS txn_count
 FROM {{ledger_tx}}
 WHERE {_RANGE.format(col="block_timestamp")}
 GROUP BY 1""",
-    "routed_kpis": f"""
-SELECT count(DISTINCT id) AS txn_count,
-       count(DISTINCT user_address) AS user_count,
-       round(sum(amount_usd)) AS volume_usd
-FROM {{routed_transfers}}
-WHERE {_RANGE.format(col="created_at")}""",
-    "routed_over_time": f"""
-SELECT {_time_bucket("created_at")} AS bucket,
-       count(DISTINCT id) AS txn_count,
-       count(DISTINCT user_address) AS user_count,
-       round(sum(amount_usd)) AS volume_usd
-FROM {{routed_transfers}}
-WHERE {_RANGE.format(col="created_at")}
-GROUP BY 1
-ORDER BY 1 ASC NULLS LAST""",
+    "routed_kpis": _ids_users_volume(""),
+    "routed_over_time": _ids_users_volume("bucket") + " ORDER BY 1 ASC NULLS LAST",
     "routed_route_totals": f"""
 SELECT source_chain, destination_chain,
        round(sum(amount_usd)) AS volume_usd,

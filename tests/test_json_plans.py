@@ -21,8 +21,8 @@ NAMES = [
 ]
 
 
-#: Branches with a payload: token transfers, contract calls.
-BRANCHES = {"unified_transfers": 2, "routed_kpis": 2, "routed_over_time": 2, "routed_route_totals": 2, "sql_routed_route_totals": 2}
+#: Branches with a payload: token transfers and contract calls, for each distinct count.
+BRANCHES = {"unified_transfers": 2, "routed_kpis": 4, "routed_over_time": 4, "routed_route_totals": 2, "sql_routed_route_totals": 2}
 
 
 @pytest.mark.parametrize("name", NAMES)
