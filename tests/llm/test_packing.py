@@ -154,3 +154,63 @@ def test_best_fit_packing_keeps_every_id(spark, tmp_path):
 def test_best_fit_query_wastes_little(spark):
     rows = queries.QUERIES["op2_bfd_packing"](spark, SF_SMALL).select("n_tokens").collect()
     assert sum(r.n_tokens for r in rows) / (2048 * len(rows)) > 0.95
+
+
+def _cell_of(key, dims, bits):
+    """The cell at a place on the Hilbert curve, one bit after another (the inverse transform)."""
+    x = [0] * dims
+    for b in range(bits):
+        for i in range(dims):
+            x[i] |= (key >> (b * dims + dims - 1 - i) & 1) << b
+    top = x[-1] >> 1
+    for i in range(dims - 1, 0, -1):
+        x[i] ^= x[i - 1]
+    x[0] ^= top
+    q = 2
+    while q < 1 << bits:
+        for i in range(dims - 1, -1, -1):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0] ^= t
+                x[i] ^= t
+        q <<= 1
+    return x
+
+
+def test_order_along_the_curve_and_cut_like_brute_force(spark):
+    import math
+
+    from ledgerlens.llm import hilbert_packing as hp
+
+    length = 128
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()][:150] + [(500, None), (501, "")]
+    library = Tokenizer(PATH).library
+    project = hp.Projector(library.get_vocab_size())
+    ordered = []
+    for i, text in texts:
+        ids = _ids(library, text)
+        sums = [0.0] * hp.BUCKETS
+        for t in ids:
+            sums[project.bucket[t]] += project.sign[t]
+        size = math.sqrt(sum(s * s for s in sums)) or 1.0
+        cell = []
+        for k in range(hp.DIMENSIONS):
+            place = math.tanh(sum(s / size * a for s, a in zip(sums, project.axes[:, k], strict=True)))
+            cell.append(min(max(int((place + 1) / 2 * (1 << hp.BITS)), 0), (1 << hp.BITS) - 1))
+        key = int(hp.hilbert_key(np.array([cell]), hp.BITS)[0])
+        assert _cell_of(key, hp.DIMENSIONS, hp.BITS) == cell
+        ordered.append((key, i, [*ids, 1]))
+    ordered.sort()
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    pieces = sorted(pack_along_curve(frame, PATH, length).collect(), key=lambda r: (r.sequence_id, r.offset))
+    # One piece after another, all documents in the curve's order.
+    assert [t for r in pieces for t in np.frombuffer(r.ids, "<u4").tolist()] == [t for _, _, ids in ordered for t in ids]
+    assert [r.doc_id for r in pieces if r.start == 0] == [i for _, i, _ in ordered]
+    ranges = defaultdict(lambda: defaultdict(int))
+    for r in pieces:
+        ranges[r.sequence_id >> 32][r.sequence_id] += len(r.ids) // 4
+    for sizes in ranges.values():
+        full, rest = divmod(sum(sizes.values()), length)
+        assert [sizes[s] for s in sorted(sizes)] == [length] * full + powers_of_two(rest)
