@@ -6,11 +6,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,7 +50,7 @@ def materialise(df: DataFrame) -> DataFrame:
     partitions don't become as many small files."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    few_tasks(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,6 +75,48 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def summed_tables(tables: DataFrame, dtype: str, unite: Callable[[np.ndarray, np.ndarray], None]) -> DataFrame:
+    """(``block``, ``values``): the tables (arrays of numbers as bytes) of each ``block`` united
+    in place by ``unite``, first by ``share``, then over the shares.
+
+    A task streams the tables it gets and holds one for each of its blocks and shares, so many
+    tables of one block are no more to hold than two."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for k in range(len(batch)):
+                place = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                table = np.frombuffer(batch.column(2)[k].as_buffer(), dtype)
+                if place in held:
+                    unite(held[place], table)
+                else:
+                    held[place] = table.copy()
+        for (block, _), table in held.items():
+            columns = [pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "share", "values"])
+
+    for keys in (["block", "share"], ["block"]):
+        tables = tables.repartition(*keys).mapInArrow(run, TABLE_COLUMNS)
+    return tables.select("block", "values")
+
+
+TABLE_COLUMNS = "block int, share int, values binary"
+
+
+def table_rows(table: np.ndarray, blocks: int, shares: int) -> Iterator[pa.RecordBatch]:
+    """A task's whole table as rows for :func:`summed_tables`, a block each."""
+    share = TaskContext.get().partitionId() % shares
+    for k, part in enumerate(table.reshape(blocks, -1)):
+        columns = [pa.array([k], pa.int32()), pa.array([share], pa.int32()), pa.array([part.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "share", "values"])
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` read by so many tasks a core at most, for tasks that each make a table of fixed size."""
+    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     """Join condition on ``names`` in which nulls equal each other."""
     cond = F.lit(True)
@@ -125,7 +169,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each round is a
     few group-bys and joins on narrow rows and is written to the scratch folder.
-    A hub with many edges is a skewed join key on a plain shuffle, which AQE splits.
+    A hub with many edges is a skewed join key; each node's smallest neighbour is written
+    before it is joined, so both sides are plain shuffles, of which AQE splits the hub's.
     """
     e = materialise(_oriented(edges.select("a", "b")))
     state = _state(e)
@@ -158,12 +203,12 @@ def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         e.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return _oriented(both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b")))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("b").agg(F.min("a").alias("m"))
+    low = materialise(e.groupBy("b").agg(F.min("a").alias("m")))
     moved = e.join(low, "b")
     return _oriented(
         moved.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(moved.select(F.col("m").alias("a"), "b"))

@@ -25,12 +25,12 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import arrow_rows, connected_components, materialise
+from .common import TABLE_COLUMNS, arrow_rows, connected_components, few_tasks, materialise, summed_tables, table_rows
 from .words import parts, shingle_hashes, word_hashes
 
 #: So many first tokens two linked sets must share, the more of long ones: the larger of the
@@ -140,34 +140,23 @@ def word_levels(texts: DataFrame) -> np.ndarray:
 
     Every task counts into a table of 2^``TABLE_BITS`` buckets; the tables are summed block
     by block, in two steps, and come to the driver as one table of that fixed size."""
-    width = (1 << TABLE_BITS) // BLOCKS
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.uint32)
+        table = np.zeros(1 << TABLE_BITS, np.uint64)
         for part in parts(batches, 0):
             words, _ = word_hashes(part.column(0))
             at, times = np.unique(words >> np.uint64(64 - TABLE_BITS), return_counts=True)
-            table[at] += times.astype(np.uint32)
-        share = TaskContext.get().partitionId() % PARTIAL_SUMS
-        for k in range(BLOCKS):
-            counts = table[k * width : (k + 1) * width].astype("<u8").tobytes()
-            columns = [pa.array([k], pa.int32()), pa.array([share], pa.int32()), pa.array([counts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "share", "counts"])
-
-    def total(part: pa.Table) -> pa.Table:
-        summed = np.zeros(width, np.uint64)
-        for counts in part["counts"]:
-            summed += np.frombuffer(counts.as_py(), "<u8")
-        columns = [part["block"][:1].combine_chunks(), pa.array([0], pa.int32()), pa.array([summed.tobytes()], pa.binary())]
-        return pa.Table.from_arrays(columns, names=["block", "share", "counts"])
-
-    columns = "block int, share int, counts binary"
-    tables = texts.mapInArrow(count, columns)
-    for keys in (["block", "share"], ["block"]):
-        tables = tables.groupBy(*keys).applyInArrow(total, columns)
+            table[at] += times.astype(np.uint64)
+        yield from table_rows(table, BLOCKS, PARTIAL_SUMS)
+
+    def add(held: np.ndarray, more: np.ndarray) -> None:
+        held += more
+
+    width = (1 << TABLE_BITS) // BLOCKS
+    counted = few_tasks(texts).mapInArrow(count, TABLE_COLUMNS)
     counts = np.zeros(1 << TABLE_BITS, np.uint64)
-    for row in tables.collect():  # BLOCKS rows
-        counts[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["counts"], "<u8")
+    for row in summed_tables(counted, "<u8", add).collect():  # BLOCKS rows
+        counts[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["values"], "<u8")
     return np.minimum(np.round(2 * np.log2(counts + 1.0)), 127).astype(np.uint8)
 
 
@@ -280,8 +269,10 @@ def jaccard_components(
         needed=lambda n: shared_needed(n, num, den),
         length_class=lambda n: size_class(n, num, den),
     )
-    of_digest = known.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    # A copy is linked with its set's first document.
+    # A copy is linked with its set's first document. Written first, the sets that have copies are
+    # a plain side of the join, and AQE splits the other where a set has very many.
+    of_digest = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    of_digest = materialise(of_digest.where("rows > 1").drop("rows"))
     copies = (
         known.select("doc_id", "digest")
         .join(of_digest, "digest")

@@ -23,12 +23,11 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, materialise
+from .common import TABLE_COLUMNS, arrow_rows, few_tasks, materialise, summed_tables, table_rows
 
 CHUNK_WEIGHT = 1 << 18
 #: The filter that tells which ids are in blocks: a bitmap of this fixed size.
@@ -175,31 +174,15 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         for batch in batches:
             at = batch.column(0).to_numpy(zero_copy_only=False) & FILTER_MASK
             np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-        packed = packed.reshape(FILTER_BLOCKS, width)
-        share = TaskContext.get().partitionId() % PARTIAL_SUMS
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(FILTER_BLOCKS), pa.int32()),
-                pa.array([share] * FILTER_BLOCKS, pa.int32()),
-                pa.array([x.tobytes() for x in packed], pa.binary()),
-            ],
-            names=["block", "share", "bits"],
-        )
+        yield from table_rows(packed, FILTER_BLOCKS, PARTIAL_SUMS)
+
+    def unite(held: np.ndarray, more: np.ndarray) -> None:
+        held |= more
 
-    def unite(part: pa.Table) -> pa.Table:
-        bits = np.zeros(width, np.uint8)
-        for b in part["bits"]:
-            bits |= np.frombuffer(b.as_py(), np.uint8)
-        columns = [part["block"][:1].combine_chunks(), pa.array([0], pa.int32()), pa.array([bits.tobytes()], pa.binary())]
-        return pa.Table.from_arrays(columns, names=["block", "share", "bits"])
-
-    columns = "block int, share int, bits binary"
-    marked = ids.mapInArrow(mark, columns)
-    for keys in (["block", "share"], ["block"]):
-        marked = marked.groupBy(*keys).applyInArrow(unite, columns)
+    marked = few_tasks(ids).mapInArrow(mark, TABLE_COLUMNS)
     out = np.zeros((FILTER_BLOCKS, width), np.uint8)
-    for row in marked.collect():  # FILTER_BLOCKS rows
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    for row in summed_tables(marked, "u1", unite).collect():  # FILTER_BLOCKS rows
+        out[row["block"]] = np.frombuffer(row["values"], np.uint8)
     return out.ravel()
 
 
