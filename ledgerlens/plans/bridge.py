@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import date_bucket
 from ..operators.bridge import BridgeSides
 
+#: Kinds of values that are counted.
+HASH, SENDER = 0, 1
+
 
 def _collapsed(events: DataFrame, totals: DataFrame, keys: list[str], how: str) -> DataFrame:
     """(keys, tx_hash, volume): one row per group and hash of the events."""
@@ -24,28 +27,22 @@ def _collapsed(events: DataFrame, totals: DataFrame, keys: list[str], how: str)
 
 
 def _hashes_users_volume(sides: BridgeSides, keys: list[str], group: list[Column]) -> DataFrame:
-    """Per group: distinct hashes, distinct senders and rounded volume, the senders counted
-    on the events and put beside the rest by a union and one more aggregate."""
-    events = sides.events.select(*group, "tx_hash", "sender")
-    volumes = (
-        _collapsed(events, sides.totals, keys, "left")
-        .groupBy(*keys)
-        .agg(F.count("tx_hash").alias("txn_count"), F.round(F.sum("volume")).alias("volume_usd"))
-        .withColumn("user_count", F.lit(None).cast("long"))
-    )
-    users = (
-        events.groupBy(*keys)
-        .agg(F.count_distinct("sender").alias("user_count"))
-        .withColumn("txn_count", F.lit(None).cast("long"))
-        .withColumn("volume_usd", F.lit(None).cast("double"))
-    )
+    """Per group: distinct hashes, distinct senders and rounded volume, from one pass over the events.
+
+    An event gives two values, its hash and its sender; they come down to one row a group and
+    value with the number of events, map-side first. Hashes then meet their totals."""
+    values = F.stack(F.lit(2), F.lit(HASH), F.col("tx_hash"), F.lit(SENDER), F.col("sender"))
+    each = sides.events.select(*group, "tx_hash", "sender").select(*keys, values.alias("kind", "value"))
+    distinct = each.groupBy(*keys, "kind", "value").agg(F.count(F.lit(1)).alias("events"))
+    totals = sides.totals.select("tx_hash", "amount_usd")
+    of_hash = (F.col("value") == F.col("tx_hash")) & (F.col("kind") == HASH)
     return (
-        volumes.unionByName(users)
+        distinct.join(totals, of_hash, "left")
         .groupBy(*keys)
         .agg(
-            F.max("txn_count").alias("txn_count"),
-            F.max("user_count").alias("user_count"),
-            F.max("volume_usd").alias("volume_usd"),
+            F.count_if((F.col("kind") == HASH) & F.col("value").isNotNull()).alias("txn_count"),
+            F.count_if((F.col("kind") == SENDER) & F.col("value").isNotNull()).alias("user_count"),
+            F.round(F.sum(F.col("events") * F.col("amount_usd"))).alias("volume_usd"),
         )
     )
 

@@ -41,9 +41,8 @@ def _time_bucket(col: str) -> str:
     return f"CAST({_date_bucket(f'to_date({col})')} AS TIMESTAMP_NTZ)"
 
 
-def _bridge(group: str, select: str) -> str:
-    """Events collapsed to one row per ``group`` and hash, then joined to the hash totals."""
-    keys = f"{group}, " if group else ""
+def _bridge(rest: str, group: str = "") -> str:
+    """The events of the range (``grouped``, with their bucket) and the hash totals, then ``rest``."""
     return f"""
 WITH events AS (
     SELECT CAST(block_timestamp AS DATE) AS event_date, tx_hash, source_chain, destination_chain, sender
@@ -52,50 +51,48 @@ WITH events AS (
     SELECT {_date_bucket("event_date") if group == "bucket" else "event_date"} AS bucket,
            tx_hash, source_chain, destination_chain, sender
     FROM events
-), per_hash AS (
-    SELECT {keys}tx_hash, count(*) AS events FROM grouped GROUP BY {keys}tx_hash
 ), totals AS (
     SELECT tx_hash, sum(amount_usd) AS amount_usd
     FROM {{token_transfer_values}}
     WHERE finished AND {_RANGE.format(col="created_at")}
     GROUP BY tx_hash
-), volumes AS (
-    SELECT {keys}p.tx_hash, p.events * t.amount_usd AS volume
-    FROM per_hash p LEFT JOIN totals t ON p.tx_hash = t.tx_hash
-)
-{select}"""
+), {rest}"""
 
 
 def _hashes_users_volume(group: str) -> str:
+    """One pass over the events, like the DataFrame reports."""
     keys, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
     return _bridge(
+        f"""each_value AS (
+    SELECT {keys}stack(2, 0, tx_hash, 1, sender) AS (kind, value) FROM grouped
+), per_value AS (
+    SELECT {keys}kind, value, count(*) AS events FROM each_value GROUP BY {keys}kind, value
+)
+SELECT {keys}count_if(kind = 0 AND value IS NOT NULL) AS txn_count,
+       count_if(kind = 1 AND value IS NOT NULL) AS user_count,
+       round(sum(events * amount_usd)) AS volume_usd
+FROM per_value LEFT JOIN totals ON value = tx_hash AND kind = 0 {by}""",
         group,
-        f"""SELECT {keys}max(txn_count) AS txn_count, max(user_count) AS user_count, max(volume_usd) AS volume_usd
-FROM (
-    SELECT {keys}count(tx_hash) AS txn_count, CAST(NULL AS BIGINT) AS user_count, round(sum(volume)) AS volume_usd
-    FROM volumes {by}
-    UNION ALL
-    SELECT {keys}CAST(NULL AS BIGINT), count(DISTINCT sender), CAST(NULL AS DOUBLE) FROM grouped {by}
-) {by}""",
     )
 
 
 def _ids_users_volume(group: str) -> str:
-    """One distinct a branch, like the DataFrame reports."""
+    """One pass over the transfers, like the DataFrame reports."""
     keys, by = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
     return f"""
 WITH transfers AS (
     SELECT {_time_bucket("created_at") if group else "created_at"} AS bucket, id, user_address, amount_usd
     FROM {{routed_transfers}}
     WHERE {_RANGE.format(col="created_at")}
+), each_value AS (
+    SELECT {keys}stack(2, 0, id, amount_usd, 1, user_address, CAST(NULL AS DOUBLE)) AS (kind, value, amount_usd) FROM transfers
+), per_value AS (
+    SELECT {keys}kind, value, sum(amount_usd) AS amount_usd FROM each_value GROUP BY {keys}kind, value
 )
-SELECT {keys}max(txn_count) AS txn_count, max(user_count) AS user_count, max(volume_usd) AS volume_usd
-FROM (
-    SELECT {keys}count(DISTINCT id) AS txn_count, CAST(NULL AS BIGINT) AS user_count, round(sum(amount_usd)) AS volume_usd
-    FROM transfers {by}
-    UNION ALL
-    SELECT {keys}CAST(NULL AS BIGINT), count(DISTINCT user_address), CAST(NULL AS DOUBLE) FROM transfers {by}
-) {by}"""
+SELECT {keys}count_if(kind = 0 AND value IS NOT NULL) AS txn_count,
+       count_if(kind = 1 AND value IS NOT NULL) AS user_count,
+       round(sum(amount_usd)) AS volume_usd
+FROM per_value {by}"""
 
 
 REPORT_SQL = {
@@ -161,14 +158,14 @@ GROUP BY 1, 2
 ORDER BY 3 DESC, 4 ASC, 1 ASC NULLS LAST, 2 ASC NULLS LAST""",
     "bridge_kpis": _hashes_users_volume(""),
     "bridge_over_time": _hashes_users_volume("bucket") + " ORDER BY 1 ASC NULLS LAST",
-    "bridge_route_totals": _bridge(
-        "source_chain, destination_chain",
-        """SELECT source_chain, destination_chain, count(*) AS txn_count, round(sum(volume)) AS volume_usd
-FROM volumes
-WHERE volume IS NOT NULL
+    "bridge_route_totals": _bridge("""per_hash AS (
+    SELECT source_chain, destination_chain, tx_hash, count(*) AS events FROM grouped GROUP BY ALL
+)
+SELECT source_chain, destination_chain, count(*) AS txn_count, round(sum(events * amount_usd)) AS volume_usd
+FROM per_hash JOIN totals USING (tx_hash)
+WHERE amount_usd IS NOT NULL
 GROUP BY 1, 2
-ORDER BY 3 DESC, 4 ASC, 1 ASC NULLS LAST, 2 ASC NULLS LAST""",
-    ),
+ORDER BY 3 DESC, 4 ASC, 1 ASC NULLS LAST, 2 ASC NULLS LAST"""),
 }
 GRAINED = {
     "ledger_status_over_time",
