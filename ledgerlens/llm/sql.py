@@ -227,7 +227,7 @@ def op13(fan_out: int) -> str:
             f"'after': array_to_string(list_slice(nodes, {place} + 2, {begin} + {fan_out}), '')}}"
         )
 
-    place = f"(pos // {fan_out}::BIGINT ** level)::BIGINT"
+    place = f"(pos // pow({fan_out}, level)::BIGINT)"
     return f"""
 WITH RECURSIVE crc AS (SELECT {table} AS remainders),
 rows AS (
