@@ -328,18 +328,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
         .agg(F.collect_set("line_no").alias("__gone"))
     )
     joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["__doc_id"]), "left")
-    rest = F.arrow_udf(_without, "string")(F.col(text), F.col("__gone"))
+    # The lines are made once, behind a generator, for the look-ups by number; the numbers that
+    # stay come from a hash set. So the work on a text grows with its lines, not their square.
+    lines = F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n"))
+    joined = joined.select("*", F.explode(F.array(lines)).alias("__lines"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    rest = F.array_join(F.transform(stays, lambda i: F.get("__lines", i)), "\n")
     joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest))
     empty = F.col("__gone").isNotNull() & (F.length(F.translate(F.col(text), " \t\n\x0b\x0c\r", "")) == 0)
-    return joined.where(~empty).drop("__doc_id", "__gone").select(docs.columns)
-
-
-def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
-    """Texts without the lines of the given numbers, once through each text."""
-    out = []
-    for text, numbers in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
-        if text is not None and numbers:
-            left = set(numbers)
-            text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in left)
-        out.append(text)
-    return pa.array(out, pa.string())
+    return joined.where(~empty).select(docs.columns)
