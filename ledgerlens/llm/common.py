@@ -3,6 +3,7 @@ that survive skew, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 T = TypeVar("T")
+LIBC = ctypes.CDLL(None)
 
 #: Rows per bucket that the bucketed windows aim at.
 BUCKET_ROWS = 4096
@@ -55,11 +57,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def returning_memory(batches: Iterable[T]) -> Iterator[T]:
-    """``batches``, after which Arrow's unused memory goes back to the system: workers outlive tasks."""
+    """``batches``, after which unused memory goes back to the system: workers outlive tasks, and idle
+    ones would keep what their largest task took."""
     try:
         yield from batches
     finally:
         pa.default_memory_pool().release_unused()
+        if hasattr(LIBC, "malloc_trim"):  # glibc
+            LIBC.malloc_trim(0)
 
 
 @contextmanager
@@ -84,7 +89,7 @@ def summed_tables(tables: DataFrame, dtype: str, unite: Callable[[np.ndarray, np
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
-        for batch in batches:
+        for batch in returning_memory(batches):
             for k in range(len(batch)):
                 place = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
                 table = np.frombuffer(batch.column(2)[k].as_buffer(), dtype)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import TABLE_COLUMNS, arrow_rows, connected_components, few_tasks, materialise, summed_tables, table_rows
+from .common import TABLE_COLUMNS, arrow_rows, connected_components, few_tasks, materialise, returning_memory, summed_tables, table_rows
 from .words import parts, shingle_hashes, word_hashes
 
 #: So many first tokens two linked sets must share, the more of long ones: the larger of the
@@ -229,7 +229,7 @@ def _sets_in(levels: Broadcast, bitmap: Broadcast, width: int):
 
 def _deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return links.deal_rows(
-        row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        row for batch in returning_memory(batches) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)
     )
 
 

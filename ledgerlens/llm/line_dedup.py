@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import arrow_rows, connected_components, materialise
+from .common import arrow_rows, connected_components, materialise, returning_memory
 from .words import mixed, parts, prefix_sums, substring_hashes
 
 THRESHOLD = 2
@@ -253,7 +253,7 @@ def _lines_in(bitmap: Broadcast, least_chars: int):
 def _deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return links.deal_rows(
         (i, line, homes)
-        for batch in batches
+        for batch in returning_memory(batches)
         for i, line, homes in zip(*(c.to_pylist() for c in batch.columns), strict=True)
     )
 

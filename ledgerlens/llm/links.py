@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TABLE_COLUMNS, arrow_rows, few_tasks, materialise, summed_tables, table_rows
+from .common import TABLE_COLUMNS, arrow_rows, few_tasks, materialise, returning_memory, summed_tables, table_rows
 
 CHUNK_WEIGHT = 1 << 18
 #: The filter that tells which ids are in blocks: a bitmap of this fixed size.
@@ -152,7 +152,7 @@ def link_block(payloads: Sequence[bytes], index: Index) -> tuple[list[tuple[int,
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows of sorted batches, grouped by the first two columns."""
     rows: list[tuple] = []
-    for batch in batches:
+    for batch in returning_memory(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if rows and row[:2] != rows[0][:2]:
                 yield rows
@@ -230,7 +230,7 @@ def _link_leftovers(index: Index):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         place, own, payloads, find, parts = None, [], [], None, None
-        for batch in batches:
+        for batch in returning_memory(batches):
             for block, chunk, _, _, i, payload, probe, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (block, chunk, part) != place:
                     place, own, payloads, find = (block, chunk, part), [], [], None
