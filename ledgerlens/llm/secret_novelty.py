@@ -4,13 +4,15 @@ Patterns give the base spans. Beyond them, every long string that follows a sens
 closely is a candidate: its marginal compressed size, by zstandard primed with the
 identifiers that code commonly has and with the text around the candidate, tells how much
 of it is neither a known name nor repeated nearby. Candidates that stay nearly as long as
-they are, or as random strings of their length and alphabet, get reported; of those without
-a digit, only such whose letter pairs are not those of words. Base spans stay whatever the
-compressor says.
+they are, or as random strings of their length and alphabet, get reported. Names of classes
+and paths are as long and as new as many a key, so candidates without a digit are measured a
+second time: behind a carrier of words, with the words of most documents of the corpus as the
+dictionary, against the mean of random strings there. Base spans stay whatever the compressor
+says.
 
 Edge cases: a null or empty text has no spans; texts are scanned whole; repeated rows give
-repeated results; an empty table gives an empty result. Only the id and text columns are
-read.
+repeated results; an empty table gives an empty result; where all texts together have few words
+or none, those of the identifiers are the dictionary. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import string
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import cycle
 
 import pyarrow as pa
 import zstandard
@@ -58,16 +61,17 @@ NOVELTY = 0.8
 #: the classes (digits, lower case, upper case, others) that it has characters of.
 ALPHABETS = ("0123456789", "0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase, "+/_=-")
-#: Pairs of letters that words of European languages often have: about two in three of their
-#: pairs, but fewer than one in five of a random string's.
-PAIRS = frozenset(
-    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic "
-    "ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un "
-    "lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev "
-    "ld ry mp fe bl ab gh ty op wo sa ay ex ke fr oo av ag if ap gr od bo sp rd do uc bu ei ov by rm ep".split()
-)
-#: Share of a candidate's letter pairs from which it is words.
-WORDS = 0.45
+#: Bytes of the corpus's most common words that prime the compressor for candidates without a digit.
+DICTIONARY_BYTES = 32768
+#: Bytes of further words that such a candidate is compressed behind: alone, zstandard stores a
+#: short string as it is, word or not.
+CARRIER_BYTES = 1024
+#: Letters of the words in the dictionary; the longest are shorter than a candidate.
+WORD_CHARS = (4, LEAST_CHARS - 1)
+#: The share of a random string's size behind the carrier from which such a candidate is novel.
+UNLIKE_WORDS = 0.75
+#: Random strings whose mean is what a random string takes behind the carrier.
+DRAWS = 16
 #: Identifiers that commonly follow sensitive words in code without being secrets.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key client_secret client_id credential "
@@ -75,6 +79,8 @@ IDENTIFIERS = (
     "settings options default undefined function return import export const static public private protected "
     "string number boolean integer object array request response header session cookie username user_name "
     "account identifier database connection endpoint https:// http:// localhost example.com placeholder "
+    "get set create update delete find list handler manager builder factory provider service controller listener "
+    "dispatcher executor context exception interface instance register abstract internal application "
     "changeme your_api_key_here your-secret-here getenv process.env os.environ System.getProperty "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 -----BEGIN -----END"
 )
@@ -116,21 +122,86 @@ def random_novelty(letters: str, length: int) -> float:
     return novelty("".join(random.Random(length).choices(letters, k=length)), "", "")
 
 
-def of_words(candidate: str) -> bool:
-    """Whether a candidate without a digit is one or more words."""
-    runs = re.findall("[a-z]+", candidate.lower())
-    pairs = [a + b for run in runs for a, b in zip(run, run[1:], strict=False)]
-    return sum(p in PAIRS for p in pairs) >= WORDS * len(pairs)
-
-
-def is_novel(candidate: str, before: str, after: str) -> bool:
-    if not any(c.isdigit() for c in candidate) and of_words(candidate):
+class Vocabulary:
+    """A compressor primed with common words, the most common first."""
+
+    def __init__(self, words: Iterable[str], carrier_bytes: int = CARRIER_BYTES):
+        known = "\n".join(words).encode()
+        carried = known[-carrier_bytes:].split(b"\n")
+        self.carrier = b"".join(word + joint for word, joint in zip(carried, cycle((b"_", b"/", b"-"))))
+        # What is most common comes last, where it takes fewest bits to point at.
+        rest = known[:-carrier_bytes].split(b"\n")
+        primed = b"\n".join(rest[::-1]) + b"\n" + IDENTIFIERS.lower().encode()
+        dictionary = zstandard.ZstdCompressionDict(primed, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.compress = zstandard.ZstdCompressor(
+            level=19, dict_data=dictionary, write_checksum=False, write_content_size=False
+        ).compress
+        self.alone = len(self.compress(self.carrier))
+        self.expected: dict[tuple[str, int], float] = {}
+
+    def novelty(self, candidate: str) -> float:
+        """Marginal compressed bytes for each byte of ``candidate``, in lower case, behind the carrier."""
+        data = candidate.lower().encode()
+        return (len(self.compress(self.carrier + data)) - self.alone) / len(data)
+
+    def random_novelty(self, letters: str, length: int) -> float:
+        """The mean :meth:`novelty` of random strings (the same ones each time)."""
+        place = letters, length
+        if place not in self.expected:
+            if len(self.expected) >= 4096:
+                self.expected.clear()
+            draw = random.Random(length)
+            drawn = ("".join(draw.choices(letters, k=length)) for _ in range(DRAWS))
+            self.expected[place] = sum(map(self.novelty, drawn)) / DRAWS
+        return self.expected[place]
+
+
+@lru_cache(4)
+def vocabulary(words: tuple[str, ...]) -> Vocabulary:
+    return Vocabulary(words)
+
+
+#: Without a corpus, the words of the identifiers are the common ones.
+PLAIN_WORDS = tuple(dict.fromkeys(re.findall("[a-z]{%d,%d}" % WORD_CHARS, IDENTIFIERS.lower())))
+
+
+def common_words(docs: DataFrame, text: str = "text", dictionary_bytes: int = DICTIONARY_BYTES) -> tuple[str, ...]:
+    """The words (parts of identifiers, lower case) of most documents, of all texts, the most
+    common first: as many as ``dictionary_bytes`` and the carrier hold, ties by the word. So what
+    comes to the driver, and goes to tasks, has that bound. If they are fewer, the words of the
+    identifiers follow."""
+    low, high = WORD_CHARS
+    room = dictionary_bytes + CARRIER_BYTES
+    parts = F.regexp_extract_all(F.col(text), F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0))
+    sized = F.filter(parts, lambda w: F.length(w).between(low, high))
+    words = docs.select(F.explode(F.array_distinct(F.transform(sized, F.lower))).alias("word"))
+    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(room // (low + 1))
+    out = []
+    for row in top.collect():
+        room -= len(row.word) + 1
+        if room < 0:
+            break
+        out.append(row.word)
+    else:
+        out += PLAIN_WORDS
+    return tuple(dict.fromkeys(out))
+
+
+def is_novel(candidate: str, before: str, after: str, words: tuple[str, ...] = PLAIN_WORDS) -> bool:
+    """Whether the compressor finds ``candidate`` new: against its surroundings and the
+    identifiers, and, if it has no digit, against the common words as well."""
+    letters = alphabet(candidate)
+    if novelty(candidate, before, after) < NOVELTY * min(1, random_novelty(letters, len(candidate))):
         return False
-    least = NOVELTY * min(1, random_novelty(alphabet(candidate), len(candidate)))
-    return novelty(candidate, before, after) >= least
+    if any(c.isdigit() for c in candidate):
+        return True
+    known = vocabulary(words)
+    return known.novelty(candidate) >= UNLIKE_WORDS * known.random_novelty(alphabet(candidate.lower()), len(candidate))
 
 
-def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+def novel_spans(
+    text: str, base: list[tuple[int, str, int]], words: tuple[str, ...] = PLAIN_WORDS
+) -> list[tuple[int, str, int]]:
     """Candidates in sensitive context that no base span touches and that stay incompressible,
     none in another: of a run that holds several words, what follows the first."""
     low = text.lower()
@@ -148,8 +219,10 @@ def novel_spans(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int,
             a, b = m.span()
             at = seen = b
             k = bisect_left(ends, a + 1)  # the first base span that ends after a
-            if (k == len(ends) or begins[k] >= b) and is_novel(m[0], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]):
-                found.append((a, "novel", b))
+            if k == len(ends) or begins[k] >= b:
+                around = text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]
+                if is_novel(m[0], *around, words):
+                    found.append((a, "novel", b))
     return found
 
 
@@ -177,26 +250,34 @@ def _written(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in ordered)
 
 
-def scan(text: str) -> tuple:
+def scan(text: str, words: tuple[str, ...] = PLAIN_WORDS) -> tuple:
     base = base_spans(text)
-    novel = novel_spans(text, base)
+    novel = novel_spans(text, base, words)
     kinds = [kind for _, kind, _ in base + novel]
     digest = hashlib.sha256(_written(base).encode()).hexdigest()
     return (*(kinds.count(k) for k in KINDS), digest, _written(base + novel))
 
 
-def _scan_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in text_parts(batches):
-        found = list(zip(*(scan(t or "") for t in texts.to_pylist()), strict=True))
-        arrays = [ids.cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(found, list(SCHEMA)[1:], strict=True))]
-        yield pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
+def _scan_batches(words: tuple[str, ...]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_parts(batches):
+            found = list(zip(*(scan(t or "", words) for t in texts.to_pylist()), strict=True))
+            arrays = [ids.cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(found, list(SCHEMA)[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
 
+    return run
 
-def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def find_secrets(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dictionary_bytes: int = DICTIONARY_BYTES
+) -> DataFrame:
     """One row per row of ``docs``: counts per kind, the digest of the base spans, and
-    ``spans``, all as ``kind:start:end`` (code points, end exclusive) in order of start."""
+    ``spans``, all as ``kind:start:end`` (code points, end exclusive) in order of start.
+
+    The dictionary of common words is made from all texts first."""
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return raw.mapInArrow(_scan_batches, COLUMNS)
+    words = common_words(raw, dictionary_bytes=dictionary_bytes)
+    return raw.mapInArrow(_scan_batches(words), COLUMNS)
 
 
 def masked(text: str, spans: str) -> str:

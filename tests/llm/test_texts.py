@@ -245,6 +245,50 @@ def test_novel_spans_like_brute_force():
     assert found > 20
 
 
+NAMES = (
+    "AbstractMessageListener getUserAuthentication userNameAndPassword NullPointerException ThreadPoolExecutorService "
+    "requestAnimationFrame password_reset_message configuration_manager_factory application/octet-stream "
+    "public/static/images internationalization responsabilidad_civil"
+).split()
+
+
+def test_the_compressor_tells_names_from_random_letters(spark):
+    from ledgerlens.llm.secret_novelty import common_words
+
+    words = common_words(queries.documents(spark, SF))
+    assert not any(scan(f"the credential {name} .", words)[3] for name in NAMES)
+    draw = random.Random(8)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters):
+        for length in (16, 20, 32, 64):
+            keys = ["".join(draw.choices(letters, k=length)) for _ in range(40)]
+            assert sum(scan(f"the credential {key} .", words)[3] for key in keys) >= 36
+
+
+def test_common_words_are_those_of_most_documents(spark):
+    from collections import Counter
+
+    from ledgerlens.llm.secret_novelty import CARRIER_BYTES, PLAIN_WORDS, common_words
+
+    docs = queries.documents(spark, SF)
+    counts = Counter()
+    for r in docs.collect():
+        runs = re.findall("[A-Z]?[a-z]+|[A-Z]+", r.text or "")
+        counts.update({w.lower() for w in runs if 4 <= len(w) <= 15})
+    ordered = sorted(counts, key=lambda w: (-counts[w], w))
+    words = common_words(docs, dictionary_bytes=2000)
+    assert list(words) == ordered[: len(words)]
+    taken = sum(len(w) + 1 for w in words)
+    assert taken <= 2000 + CARRIER_BYTES < taken + len(ordered[len(words)]) + 1
+    assert common_words(cases.empty(spark)) == PLAIN_WORDS
+
+
+def test_names_and_keys_of_a_small_table(spark):
+    key = "qzjxkvbwpqhgzxcfyjwq"
+    rows = [(1, "the credential getRequestDispatcher ."), (2, f"the credential {key} ."), (3, None)]
+    found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in found} == {1: "", 2: f"novel:15:{15 + len(key)}", 3: ""}
+
+
 def test_languages_are_learnt_from_rows_without_an_id_or_of_one(spark):
     docs = queries.documents(spark, SF).select("doc_id", "text", "lang").where("lang IS NOT NULL")
     often = docs.unionByName(docs).unionByName(docs).unionByName(docs)
