@@ -1,11 +1,13 @@
 """Line deduplication by a segment-partition edit join.
 
 Lines (between line breaks) are duplicates when equal, or when both have ``least_chars``
-code points or more and their edit distance is at most ``threshold``. A line is cut into
-``threshold`` + 1 even segments; two lines within the threshold share one of them unedited,
-near its place. So a line's keys are its own segments and, for each length up to
-``threshold`` shorter, the substrings that can be a line of that length's segments (the
-multi-match-aware choice of Li et al. 2011). Lines that share keys meet in the blocks of
+code points or more and their edit distance is at most the :func:`edits` that the shorter
+one's length allows: ``threshold``, or, with ``chars_an_edit``, one for each so many code
+points up to ``threshold``. A line is cut into one even segment more than its edits; a line
+within them shares a segment unedited, near its place. So a line's keys are its own segments
+and, for each length up to ``threshold`` shorter, the substrings that can be a line of that
+length's segments (the multi-match-aware choice of Li et al. 2011). A line has some
+``threshold`` ** 3 / 3 keys. Lines that share keys meet in the blocks of
 :mod:`.links`, where the segments are looked up again and candidates are verified with a
 banded bit-parallel edit distance. The classes are the connected components; the line
 that comes first (doc_id, then line number) stays.
@@ -39,6 +41,11 @@ LEAST_CHARS = 50
 BLANK = b" \t\n\x0b\x0c\r"
 
 
+def edits(length: int, threshold: int, chars_an_edit: int | None) -> int:
+    """The edits that a line of ``length`` may be away."""
+    return threshold if chars_an_edit is None else max(0, min(threshold, length // chars_an_edit))
+
+
 def segments(length: int, count: int) -> list[tuple[int, int]]:
     """(start, size) of ``count`` even segments; the last ones take what is left over."""
     size, longer = divmod(length, count)
@@ -116,30 +123,33 @@ def _common(a: str, b: str) -> int:
 
 
 class SegmentIndex:
-    """Lines by (length, segment, text of the segment)."""
+    """Lines by (length, segment, text of the segment); those that allow no edit are left out."""
 
-    def __init__(self, lines: Sequence[str], threshold: int):
-        self.lines, self.threshold = lines, threshold
-        self.lengths = {len(x) for x in lines}
+    def __init__(self, lines: Sequence[str], threshold: int, chars_an_edit: int | None = None):
+        self.lines, self.threshold, self.chars_an_edit = lines, threshold, chars_an_edit
+        self.edits = {n: edits(n, threshold, chars_an_edit) for n in {len(x) for x in lines}}
         self.places = defaultdict(list)
         for k, line in enumerate(lines):
-            for i, (start, size) in enumerate(segments(len(line), threshold + 1)):
+            allowed = self.edits[len(line)]
+            for i, (start, size) in enumerate(segments(len(line), allowed + 1) if allowed else ()):
                 self.places[len(line), i, line[start : start + size]].append(k)
 
     def linked(self, line: str) -> list[int]:
-        seen: set[int] = set()
-        t = self.threshold
-        for length in range(len(line) - t, len(line) + t + 1):
-            if length in self.lengths:
-                for i, (start, size) in enumerate(segments(length, t + 1)):
-                    for at in window(i, start, size, len(line) - length, t, len(line)):
-                        seen.update(self.places.get((length, i, line[at : at + size]), ()))
-        return sorted(k for k in seen if within(line, self.lines[k], t))
-
-
-def segment_index(threshold: int) -> links.Index:
+        own = edits(len(line), self.threshold, self.chars_an_edit)
+        out = []
+        for length in range(len(line) - own, len(line) + own + 1):
+            t = self.edits.get(length, 0)
+            seen: set[int] = set()
+            for i, (start, size) in enumerate(segments(length, t + 1) if t else ()):
+                for at in window(i, start, size, len(line) - length, t, len(line)):
+                    seen.update(self.places.get((length, i, line[at : at + size]), ()))
+            out += [k for k in seen if within(line, self.lines[k], min(t, own))]
+        return sorted(out)
+
+
+def segment_index(threshold: int, chars_an_edit: int | None) -> links.Index:
     def make(payloads: Sequence[bytes]) -> Callable[[bytes], Sequence[int]]:
-        found = SegmentIndex([p.decode() for p in payloads], threshold)
+        found = SegmentIndex([p.decode() for p in payloads], threshold, chars_an_edit)
         return lambda p: found.linked(p.decode())
 
     return make
@@ -198,32 +208,36 @@ def long_lines(texts: list[str], least_chars: int) -> tuple[np.ndarray, np.ndarr
     return line_digests(lines), spans[:, 0], spans[:, 1], sums, lines
 
 
-def _keys(threshold: int, least_chars: int):
+def _keys(threshold: int, least_chars: int, chars_an_edit: int | None):
     """(key, id, weight) of the distinct long lines of each part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = threshold + 1
         for part in parts(batches, 1):
             digests, starts, ends, sums, _ = long_lines(_texts(part.column(1)), least_chars)
             ids, length = digests[:, 0], ends - starts
             keys, owners = [], []
             for delta in range(threshold + 1):
+                allowed = np.full_like(length, threshold)
+                if chars_an_edit is not None:
+                    allowed = np.clip((length - delta) // chars_an_edit, 0, threshold)
+                count = allowed + 1
                 size, longer = np.divmod(length - delta, count)
                 begin = np.zeros_like(length)
-                for i in range(count):
+                for i in range(threshold + 1):
+                    live = (allowed >= max(delta, 1)) & (i < count)
                     n = size + (i >= count - longer)
                     for step in range(-threshold, threshold + 1):
                         at = begin + step
-                        low = np.maximum(0, np.maximum(begin - i, begin + delta - (threshold - i)))
-                        high = np.minimum(length - n, np.minimum(begin + i, begin + delta + (threshold - i)))
-                        ok = (at >= low) & (at <= high)
+                        low = np.maximum(0, np.maximum(begin - i, begin + delta - (allowed - i)))
+                        high = np.minimum(length - n, np.minimum(begin + i, begin + delta + (allowed - i)))
+                        ok = live & (at >= low) & (at <= high)
                         if ok.any():
                             a = starts[ok] + at[ok]
-                            tag = mixed((length[ok] - delta).astype(np.uint64) * np.uint64(count) + np.uint64(i))
+                            tag = mixed((length[ok] - delta).astype(np.uint64) * np.uint64(threshold + 1) + np.uint64(i))
                             keys.append(mixed(substring_hashes(sums, a, a + n[ok]) ^ tag))
                             owners.append(np.flatnonzero(ok))
                     begin = begin + n
-            if len(ids):
+            if owners:
                 owner = np.concatenate(owners)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -265,18 +279,21 @@ def line_classes(
     doc_id: str = "doc_id",
     text: str = "text",
     chunk_weight: int = links.CHUNK_WEIGHT,
+    chars_an_edit: int | None = None,
 ) -> DataFrame:
     """One row per line: ``doc_id``, ``line_no`` (from 0), ``keep_doc_id`` and ``keep_line_no``
     (of the line that stays for its class), ``class_size`` (lines in the class), ``kept``.
 
     Blank lines are classes of their own.
     """
-    if least_chars <= 2 * threshold:
+    if chars_an_edit is not None and chars_an_edit < 3:
+        raise ValueError("chars_an_edit must be 3 or more, for segments of a character or more")
+    if chars_an_edit is None and least_chars <= 2 * threshold:
         raise ValueError("least_chars must exceed twice the threshold, for segments of a character or more")
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     with arrow_rows(docs.sparkSession, links.TEXTS_AT_ONCE):
         lines = materialise(raw.mapInArrow(_occurrences, "doc_id long, line_no int, id long, check long"))
-    records = raw.mapInArrow(_keys(threshold, least_chars), "key long, id long, weight long")
+    records = raw.mapInArrow(_keys(threshold, least_chars, chars_an_edit), "key long, id long, weight long")
 
     def with_lines(placed: DataFrame) -> DataFrame:
         bitmap = docs.sparkSession.sparkContext.broadcast(links.id_filter(placed.select("id")))
@@ -289,7 +306,7 @@ def line_classes(
         )
         return each.where("least = most").select("id", "line", "homes").mapInArrow(_deal, links.DEALT_COLUMNS)
 
-    roots = connected_components(links.links(records, with_lines, segment_index(threshold), chunk_weight))
+    roots = connected_components(links.links(records, with_lines, segment_index(threshold, chars_an_edit), chunk_weight))
     solid = lines.where("id IS NOT NULL")
     firsts = solid.groupBy("id", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     linked = materialise(firsts.join(roots, "id"))

@@ -27,6 +27,7 @@ from .secret_novelty import find_secrets
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
+LINE_CHARS_AN_EDIT = 25
 SHARDS = 8
 MIX_WEIGHTS = (5.0, 2.0, 1.0)
 MIX_EPOCHS = 3
@@ -67,7 +68,7 @@ def op2_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(documents(spark, sf_dir))
+    return line_classes(documents(spark, sf_dir), least_chars=LINE_CHARS_AN_EDIT, chars_an_edit=LINE_CHARS_AN_EDIT)
 
 
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,12 +105,30 @@ def test_segment_index_loses_no_pair(threshold):
             assert index.linked(x) == [k for k, y in enumerate(lines) if distance(x, y) <= threshold]
 
 
-def lines_by_hand(rows, threshold, least):
+@pytest.mark.parametrize(("threshold", "chars"), [(1, 5), (3, 4), (4, 6)])
+def test_segment_index_by_length_loses_no_pair(threshold, chars):
+    draw = random.Random(threshold)
+    allowed = lambda n: min(threshold, n // chars)
+    linked = 0
+    for _ in range(60):
+        base = ["".join(draw.choices("ab", k=draw.randint(4, 30))) for _ in range(3)]
+        lines = sorted({altered(draw.choice(base), draw, draw.randrange(5), "ab") for _ in range(20)})
+        lines = [x for x in lines if allowed(len(x))]
+        index = SegmentIndex(lines, threshold, chars)
+        for x in lines:
+            near = [k for k, y in enumerate(lines) if distance(x, y) <= min(allowed(len(x)), allowed(len(y)))]
+            assert index.linked(x) == near
+            linked += len(near) - 1
+    assert linked > 100
+
+
+def lines_by_hand(rows, threshold, least, chars=None):
     lines = [(i, k, x) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
     solid = sorted({x for _, _, x in lines if re.search(r"[^\x20\x09-\x0d]", x)})
     forest = Forest(solid)
     for a, b in itertools.combinations([x for x in solid if len(x) >= least], 2):
-        if abs(len(a) - len(b)) <= threshold and within(a, b, threshold):
+        allowed = threshold if chars is None else min(threshold, min(len(a), len(b)) // chars)
+        if abs(len(a) - len(b)) <= allowed and within(a, b, allowed):
             forest.join(a, b)
     members = defaultdict(list)
     for i, k, x in lines:
@@ -139,6 +157,30 @@ def test_line_classes(spark, threshold, least, weight):
     assert got == lines_by_hand(rows, threshold, least)
 
 
+def test_line_query_on_all_lines(spark):
+    rows = [(r.doc_id, r.text) for r in queries.documents(spark, SF_SMALL).collect()]
+    got = sorted((tuple(r) for r in queries.op3_line_dedup(spark, SF_SMALL).collect()), key=str)
+    assert got == lines_by_hand(rows, 2, 25, 25)
+
+
+def test_chars_an_edit_leave_segments_of_a_character(spark):
+    with pytest.raises(ValueError):
+        line_classes(cases.empty(spark), least_chars=2, chars_an_edit=2)
+
+
+@pytest.mark.parametrize(("threshold", "chars", "weight"), [(2, 25, 1 << 18), (4, 12, 400), (6, 30, 1 << 18)])
+def test_line_classes_by_length(spark, threshold, chars, weight):
+    draw = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("doc_id < 120").collect()]
+    rows += [(1000 + i, altered(t, draw, 6)) for i, t in rows[:40]]
+    rows += [(2000 + i, altered("one line of some length that many documents have in nearly the same words", draw, 2)) for i in range(60)]
+    rows += [(5000, None), (5001, ""), (5002, "\n \n"), (None, "a\nThe and.")]
+    rows += [(6000 + i, f"see page {altered('forty two', draw, 1)}\n{altered('the short line of the end', draw, 1)}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in line_classes(df, threshold, 1, chunk_weight=weight, chars_an_edit=chars).collect()), key=str)
+    assert got == lines_by_hand(rows, threshold, 1, chars)
+
+
 def test_lines_on_odd_rows(spark):
     df = cases.frame(spark)
     rows = line_classes(df).collect()
