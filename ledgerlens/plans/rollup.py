@@ -28,30 +28,50 @@ from pyspark.sql import functions as F
 from ..functions import date_bucket, rounded_ratio, status_label
 from ..operators import unified_transfers
 from ..params import LABEL_SUCCEEDED, as_date
-from .routed import REPORT_COLUMNS
 
 TX, USER = "tx", "user"
 
 
+def _numbered(rows: DataFrame, day: str, keys: list[str], value: str, apart: list[str]) -> DataFrame:
+    """(``apart``, ``value``, ``days``, ``number``): a row for each distinct value, with the days and
+    keys it occurs on and a number by its first day; a null value's number is null."""
+    values = rows.groupBy(*apart, value).agg(F.min(day).alias("first"), F.collect_set(F.struct(day, *keys)).alias("days"))
+    ranged = values.repartitionByRange(*apart, "first", value).sortWithinPartitions(*apart, "first", value)
+    number = F.when(F.col(value).isNotNull(), F.monotonically_increasing_id())
+    return ranged.select(*apart, value, "days", number.alias("number"))
+
+
 def numbers(values: DataFrame, value: str, day: str) -> DataFrame:
     """(``value``, ``number``): a number for each distinct value, by its first day."""
-    firsts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(day).alias("first"))
-    ranged = firsts.repartitionByRange("first", value).sortWithinPartitions("first", value)
-    return ranged.select(value, F.monotonically_increasing_id().alias("number"))
+    return _numbered(values, day, [], value, []).where(F.col(value).isNotNull()).select(value, "number")
+
 
+def daily_sets(rows: DataFrame, day: str, keys: list[str], value: str, apart: str | None = None) -> DataFrame:
+    """(``day``, keys, ``part``, ``bits``): the distinct values of each day and group, as bitmaps.
+    The values of each ``apart``, one of the keys, are numbered for themselves.
 
-def daily_sets(rows: DataFrame, day: str, keys: list[str], value: str) -> DataFrame:
-    """(``day``, keys, ``part``, ``bits``): the distinct values of each day and group, as bitmaps."""
-    distinct = rows.select(day, *keys, value).distinct()
-    numbered = distinct.join(numbers(distinct, value, day), value, "left")
-    return numbered.groupBy(day, *keys, F.bitmap_bucket_number("number").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
+    The rows are read once: a value brings its days with it (a day and group once) to be
+    numbered. Its numbers are dealt out by their bitmap before that is made: made first in the
+    tasks that have them, most bitmaps of 4 KB would hold one bit, and be shuffled. A bitmap
+    has 32,768 rows at most."""
+    own = [apart] if apart else []
+    others = [k for k in keys if k not in own]
+    places = _numbered(rows, day, others, value, own).select(
+        *own, F.inline("days"), F.bitmap_bucket_number("number").alias("part"), F.bitmap_bit_position("number").alias("place")
     )
+    dealt = places.repartition(day, *keys, "part")
+    return dealt.groupBy(day, *keys, "part").agg(F.bitmap_construct_agg("place").alias("bits"))
 
 
 def united_counts(sets: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
-    """(keys, ``count``): the size of the union of each group's sets."""
-    parts = sets.groupBy(*keys, "part").agg(F.bitmap_or_agg("bits").alias("bits"))
+    """(keys, ``count``): the size of the union of each group's sets.
+
+    Bitmaps are sorted to be united, and those with few bits compress to little: of a plain
+    shuffle, AQE would merge partitions by that size, to gigabytes to sort in one task. Dealt
+    out to a given number of tasks, each sorts its share only."""
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.select(*keys, "part", "bits").repartition(tasks, *keys, "part")
+    parts = dealt.groupBy(*keys, "part").agg(F.bitmap_or_agg("bits").alias("bits"))
     return parts.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias(count))
 
 
@@ -69,10 +89,9 @@ def ledger_daily(ledger_tx: DataFrame) -> DataFrame:
 
 def routed_daily(unified: DataFrame) -> DataFrame:
     """(``measure``, ``day``, ``part``, ``bits``): transfers and users of both services."""
-    rows = unified.select(F.to_date("created_at").alias("day"), "id", "user_address")
-    made = [(TX, daily_sets(rows, "day", [], "id")), (USER, daily_sets(rows, "day", [], "user_address"))]
-    both = [sets.select(F.lit(m).alias("measure"), "day", "part", "bits") for m, sets in made]
-    return both[0].unionByName(both[1])
+    values = F.stack(F.lit(2), F.lit(TX), F.col("id"), F.lit(USER), F.col("user_address")).alias("measure", "value")
+    rows = unified.select(F.to_date("created_at").alias("day"), values)
+    return daily_sets(rows, "day", ["measure"], "value", apart="measure").select("measure", "day", "part", "bits")
 
 
 def routes_daily(unified: DataFrame) -> DataFrame:
@@ -188,8 +207,18 @@ def _succeeded(sets: DataFrame, keys: list[str]) -> DataFrame:
 
 def build_rollups(inputs) -> Rollups:
     """The daily tables of the inputs, as lazy frames."""
-    unified = unified_transfers(inputs.token_transfers, inputs.contract_calls, columns=REPORT_COLUMNS)
-    return Rollups(ledger_daily(inputs.ledger_tx), routed_daily(unified), routes_daily(unified), volumes_daily(unified))
+
+    def unified(*columns: str) -> DataFrame:
+        """With the columns that a table reads, so that no other JSON is parsed for it."""
+        return unified_transfers(inputs.token_transfers, inputs.contract_calls, columns=columns)
+
+    route = ("created_at", "source_chain", "destination_chain", "amount_usd")
+    return Rollups(
+        ledger_daily(inputs.ledger_tx),
+        routed_daily(unified("created_at", "user_address", "id")),
+        routes_daily(unified(*route, "id")),
+        volumes_daily(unified(*route)),
+    )
 
 
 def write_rollups(rollups: Rollups, path: str) -> Rollups:

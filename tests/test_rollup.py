@@ -90,3 +90,43 @@ def test_more_values_than_a_bitmap_holds_and_a_hot_one(spark):
     # Numbers by first day: a day's own ids fill few bitmaps beside the hot id's.
     assert sets.count() < 10 * 2 * spark.sparkContext.defaultParallelism
     assert d("2025-01-03") in got
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def _line(plan, text):
+    return next(k for k, line in enumerate(plan) if text in line)
+
+
+def test_bitmaps_are_made_where_their_numbers_are_dealt_to(spark):
+    """No shuffle between the partial and the final aggregate (it would move 4 KB a number), none
+    that AQE merges before bitmaps are united, and rows are read once."""
+    rows = spark.range(1000).selectExpr("string(id % 3) AS m", "string(id) AS v", "date_add(DATE'2025-01-01', int(id % 7)) AS day")
+    for apart in (None, "m"):
+        sets = daily_sets(rows, "day", ["m"], "v", apart)
+        plan = _plan(sets)
+        made = plan[_line(plan, "[bitmap_construct_agg(") : _line(plan, "[partial_bitmap_construct_agg(")]
+        assert not any("Exchange" in line for line in made)
+        assert sum("Range (" in line for line in plan) == 1
+        plan = _plan(united_counts(sets, ["day"]))
+        united = plan[_line(plan, "[bitmap_or_agg(") : _line(plan, "[bitmap_construct_agg(")]
+        assert [line for line in united if "Exchange" in line][0].count("REPARTITION_BY_NUM") == 1
+
+
+def test_sets_numbered_apart(spark):
+    """A value may be in both measures, null, or come again on a day; numbers are each measure's own."""
+    rows = [("tx", "a", 1), ("user", "a", 1), ("tx", "b", 1), ("tx", "a", 2), ("tx", "a", 2), ("user", None, 2), (None, "a", 3), ("tx", "c", None)]
+    df = spark.createDataFrame(rows, "m string, v string, n int").select("m", "v", F.expr("date_add(DATE'2025-01-01', n)").alias("day"))
+    for apart in (None, "m"):
+        sets = daily_sets(df, "day", ["m"], "v", apart)
+        got = {(r["day"], r["m"]): r["n"] for r in united_counts(sets, ["day", "m"]).collect()}
+        assert got == {(r["day"], r["m"]): r["n"] for r in df.groupBy("day", "m").agg(F.count_distinct("v").alias("n")).collect()}
+        assert {r["m"]: r["n"] for r in united_counts(sets, ["m"]).collect()} == {"tx": 3, "user": 1, None: 1}
+
+
+def test_tables_parse_no_json_that_they_do_not_read(spark):
+    """Transfers' ids and users are columns; only contract calls are parsed for them."""
+    plan = "\n".join(_plan(build_rollups(load_inputs(spark, SF_SMALL)).routed))
+    assert plan.count("Generate explode(array(from_json") == 1
