@@ -80,9 +80,20 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def _packed(table: np.ndarray) -> bytes:
+    """Compressed, after its length: a task's table is mostly zeros, and as it is would fill the
+    executors' heap, in arrays that the collector keeps apart."""
+    data = table.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="lz4_raw", asbytes=True)
+
+
+def _unpacked(values: pa.Buffer) -> pa.Buffer:
+    return pa.decompress(values.slice(8), decompressed_size=int.from_bytes(values.slice(0, 8), "little"), codec="lz4_raw")
+
+
 def summed_tables(tables: DataFrame, dtype: str, unite: Callable[[np.ndarray, np.ndarray], None]) -> DataFrame:
-    """(``block``, ``values``): the tables (arrays of numbers as bytes) of each ``block`` united
-    in place by ``unite``, first by ``share``, then over the shares.
+    """(``block``, ``values``): the tables (arrays of numbers, packed) of each ``block`` united
+    in place by ``unite``, first by ``share``, then over the shares. :func:`table_values` unpacks.
 
     A task streams the tables it gets and holds one for each of its blocks and shares, so many
     tables of one block are no more to hold than two."""
@@ -92,13 +103,13 @@ def summed_tables(tables: DataFrame, dtype: str, unite: Callable[[np.ndarray, np
         for batch in returning_memory(batches):
             for k in range(len(batch)):
                 place = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
-                table = np.frombuffer(batch.column(2)[k].as_buffer(), dtype)
+                table = np.frombuffer(_unpacked(batch.column(2)[k].as_buffer()), dtype)
                 if place in held:
                     unite(held[place], table)
                 else:
                     held[place] = table.copy()
         for (block, _), table in held.items():
-            columns = [pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())]
+            columns = [pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([_packed(table)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "share", "values"])
 
     for keys in (["block", "share"], ["block"]):
@@ -106,6 +117,11 @@ def summed_tables(tables: DataFrame, dtype: str, unite: Callable[[np.ndarray, np
     return tables.select("block", "values")
 
 
+def table_values(values: bytes, dtype: str) -> np.ndarray:
+    """The numbers of a row of :func:`summed_tables`."""
+    return np.frombuffer(_unpacked(pa.py_buffer(values)), dtype)
+
+
 TABLE_COLUMNS = "block int, share int, values binary"
 
 
@@ -113,7 +129,7 @@ def table_rows(table: np.ndarray, blocks: int, shares: int) -> Iterator[pa.Recor
     """A task's whole table as rows for :func:`summed_tables`, a block each."""
     share = TaskContext.get().partitionId() % shares
     for k, part in enumerate(table.reshape(blocks, -1)):
-        columns = [pa.array([k], pa.int32()), pa.array([share], pa.int32()), pa.array([part.tobytes()], pa.binary())]
+        columns = [pa.array([k], pa.int32()), pa.array([share], pa.int32()), pa.array([_packed(part)], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["block", "share", "values"])
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import TABLE_COLUMNS, arrow_rows, connected_components, few_tasks, materialise, returning_memory, summed_tables, table_rows
+from .common import TABLE_COLUMNS, arrow_rows, connected_components, few_tasks, materialise, returning_memory, summed_tables, table_rows, table_values
 from .words import parts, shingle_hashes, word_hashes
 
 #: So many first tokens two linked sets must share, the more of long ones: the larger of the
@@ -156,7 +156,7 @@ def word_levels(texts: DataFrame) -> np.ndarray:
     counted = few_tasks(texts).mapInArrow(count, TABLE_COLUMNS)
     counts = np.zeros(1 << TABLE_BITS, np.uint64)
     for row in summed_tables(counted, "<u8", add).collect():  # BLOCKS rows
-        counts[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["values"], "<u8")
+        counts[row["block"] * width : (row["block"] + 1) * width] = table_values(row["values"], "<u8")
     return np.minimum(np.round(2 * np.log2(counts + 1.0)), 127).astype(np.uint8)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TABLE_COLUMNS, arrow_rows, few_tasks, materialise, returning_memory, summed_tables, table_rows
+from .common import TABLE_COLUMNS, arrow_rows, few_tasks, materialise, returning_memory, summed_tables, table_rows, table_values
 
 CHUNK_WEIGHT = 1 << 18
 #: The filter that tells which ids are in blocks: a bitmap of this fixed size.
@@ -182,7 +182,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     marked = few_tasks(ids).mapInArrow(mark, TABLE_COLUMNS)
     out = np.zeros((FILTER_BLOCKS, width), np.uint8)
     for row in summed_tables(marked, "u1", unite).collect():  # FILTER_BLOCKS rows
-        out[row["block"]] = np.frombuffer(row["values"], np.uint8)
+        out[row["block"]] = table_values(row["values"], "u1")
     return out.ravel()
 
 

@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import cases  # noqa: E402
 
-from ledgerlens.llm import jaccard_trie, links, queries, words  # noqa: E402
+from ledgerlens.llm import common, jaccard_trie, links, queries, words  # noqa: E402
 from ledgerlens.llm.common import connected_components  # noqa: E402
 from ledgerlens.llm.jaccard_trie import SetTrie, jaccard_components  # noqa: E402
 from ledgerlens.llm.line_dedup import SegmentIndex, dedup_lines, line_classes, within  # noqa: E402
@@ -385,3 +385,20 @@ def test_a_text_of_very_many_lines_is_cut_in_one_pass(spark):
     lines = [f"line number {i // 2} of this text" for i in range(60_000)]
     docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     assert dedup_lines(docs).first()["text"] == "\n".join(lines[::2])
+
+
+def test_a_tasks_table_travels_packed(monkeypatch):
+    """Mostly zeros: a row of it is a small part of the block's bytes, and unpacks to its numbers."""
+    monkeypatch.setattr(common, "TaskContext", type("Here", (), {"get": staticmethod(lambda: Here())}))
+
+    class Here:
+        def partitionId(self):
+            return 5
+
+    table = np.zeros(1 << 16, np.uint64)
+    table[::997] = np.arange(len(table[::997])) + 1
+    batches = list(common.table_rows(table, 4, 2))
+    values = [b.column(2)[0].as_py() for b in batches]
+    assert [b.column(1)[0].as_py() for b in batches] == [1] * 4
+    assert max(map(len, values)) < table.nbytes // 4 // 20
+    assert np.array_equal(np.concatenate([common.table_values(v, "<u8") for v in values]), table)
