@@ -155,15 +155,11 @@ def segment_index(threshold: int, chars_an_edit: int | None) -> links.Index:
     return make
 
 
-def split_lines(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Of all lines of all texts: where each starts and ends in the joined texts (code points),
-    and whether it has more than white space; and the prefix sums from which substrings are
-    hashed."""
-    data = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+def split_lines(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each line starts and ends (code points), and the code points."""
+    data = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     breaks = np.flatnonzero(data == 10)
-    starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]])
-    visible = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
-    return starts, ends, visible[ends] > visible[starts], prefix_sums(data)
+    return np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(data)]]), data
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -196,16 +192,17 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def long_lines(texts: list[str], least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Of the distinct lines with ``least_chars`` or more: two numbers (:func:`line_digests`), where
-    each starts and ends, the prefix sums, and the lines."""
-    starts, ends, solid, sums = split_lines(texts)
-    long = solid & (ends - starts >= least_chars)
+    each starts and ends in the joined texts, these as code points, and the lines."""
     joined = "\n".join(texts)
+    starts, ends, data = split_lines(joined)
+    long = ends - starts >= least_chars
     distinct: dict[str, tuple[int, int]] = {}
     for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
         distinct.setdefault(joined[a:b], (a, b))
-    lines = [line.encode() for line in distinct]
-    spans = np.array(list(distinct.values()), np.int64).reshape(-1, 2)
-    return line_digests(lines), spans[:, 0], spans[:, 1], sums, lines
+    solid = {line: span for line, span in distinct.items() if line.strip(BLANK.decode())}
+    lines = [line.encode() for line in solid]
+    spans = np.array(list(solid.values()), np.int64).reshape(-1, 2)
+    return line_digests(lines), spans[:, 0], spans[:, 1], data, lines
 
 
 def _keys(threshold: int, least_chars: int, chars_an_edit: int | None):
@@ -213,8 +210,8 @@ def _keys(threshold: int, least_chars: int, chars_an_edit: int | None):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches, 1):
-            digests, starts, ends, sums, _ = long_lines(_texts(part.column(1)), least_chars)
-            ids, length = digests[:, 0], ends - starts
+            digests, starts, ends, data, _ = long_lines(_texts(part.column(1)), least_chars)
+            ids, length, sums = digests[:, 0], ends - starts, prefix_sums(data)
             keys, owners = [], []
             for delta in range(threshold + 1):
                 allowed = np.full_like(length, threshold)
@@ -226,15 +223,16 @@ def _keys(threshold: int, least_chars: int, chars_an_edit: int | None):
                 for i in range(threshold + 1):
                     live = (allowed >= max(delta, 1)) & (i < count)
                     n = size + (i >= count - longer)
-                    for step in range(-threshold, threshold + 1):
+                    tags = mixed((length - delta).astype(np.uint64) * np.uint64(threshold + 1) + np.uint64(i))
+                    # Of :func:`window`, what no line of the part can leave.
+                    for step in range(max(-i, delta - (threshold - i)), min(i, delta + (threshold - i)) + 1):
                         at = begin + step
                         low = np.maximum(0, np.maximum(begin - i, begin + delta - (allowed - i)))
                         high = np.minimum(length - n, np.minimum(begin + i, begin + delta + (allowed - i)))
                         ok = live & (at >= low) & (at <= high)
                         if ok.any():
                             a = starts[ok] + at[ok]
-                            tag = mixed((length[ok] - delta).astype(np.uint64) * np.uint64(threshold + 1) + np.uint64(i))
-                            keys.append(mixed(substring_hashes(sums, a, a + n[ok]) ^ tag))
+                            keys.append(mixed(substring_hashes(sums, a, a + n[ok]) ^ tags[ok]))
                             owners.append(np.flatnonzero(ok))
                     begin = begin + n
             if owners:

@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import cases  # noqa: E402
 
-from ledgerlens.llm import common, jaccard_trie, links, queries, words  # noqa: E402
+from ledgerlens.llm import common, jaccard_trie, line_dedup, links, queries, words  # noqa: E402
 from ledgerlens.llm.common import connected_components  # noqa: E402
 from ledgerlens.llm.jaccard_trie import SetTrie, jaccard_components  # noqa: E402
 from ledgerlens.llm.line_dedup import SegmentIndex, dedup_lines, line_classes, within  # noqa: E402
@@ -402,3 +402,35 @@ def test_a_tasks_table_travels_packed(monkeypatch):
     assert [b.column(1)[0].as_py() for b in batches] == [1] * 4
     assert max(map(len, values)) < table.nbytes // 4 // 20
     assert np.array_equal(np.concatenate([common.table_values(v, "<u8") for v in values]), table)
+
+
+def test_texts_of_lines_are_not_hashed_by_substrings(monkeypatch):
+    """Only keys need the prefix sums; the pass that fetches the lines does without."""
+
+    def never(data):
+        raise AssertionError("prefix sums")
+
+    texts = ["a line of more than ten\n \t \x0b \x0c         \nshort", "a line of more than ten\nand a second line é😀".encode("utf-16", "surrogatepass").decode("utf-16")]
+    monkeypatch.setattr(line_dedup, "prefix_sums", never)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], names=["doc_id", "text"])
+    every = type("Every", (), {"value": np.full(1 << 21, 255, np.uint8)})
+    got = [line.decode() for b in line_dedup._lines_in(every, 10)(iter([batch])) for line in b.column(2).to_pylist()]
+    assert got == ["a line of more than ten", "and a second line é\U0001f600"]
+
+
+@pytest.mark.parametrize("chars", [None, 5])
+def test_keys_are_the_windows_segments(chars):
+    """As many keys a line as there are places for the segments of each length it may link with."""
+    lines = ["".join(random.Random(n).choices("abcdef", k=n)) for n in range(8, 40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["\n".join(lines)])], names=["doc_id", "text"])
+    made = pa.Table.from_batches(list(line_dedup._keys(2, 8, chars)(iter([batch]))))
+    by_length = defaultdict(int)
+    for n in made.column("weight").to_pylist():
+        by_length[n] += 1
+    for n in range(8, 40):
+        want = 0
+        for delta in range(3):
+            t = line_dedup.edits(n - delta, 2, chars)
+            if t >= max(delta, 1):
+                want += sum(len(line_dedup.window(i, a, size, delta, t, n)) for i, (a, size) in enumerate(line_dedup.segments(n - delta, t + 1)))
+        assert by_length[n] == want, n
