@@ -5,15 +5,16 @@ A row's leaf is the SHA-256 of its columns. The rows of a source stand in the or
 ids; every ``fan_out`` consecutive nodes are hashed into their parent until one is left.
 Places come from a range sort: the rows of one range are numbered where they are, and the
 ranges' counts (one row a range and source) give each its start, so no task orders a source.
-``STRIDE`` levels of the tree are built per shuffle, from runs of consecutive nodes.
+``STRIDE`` levels of the tree are built per shuffle, from runs of consecutive nodes. A run keeps
+its rows, and the siblings beside each of its nodes.
 
-Proofs come by pointer jumping. At first every node holds the siblings beside it and points
-to its parent. A self-join then appends to a node's segment the segment of the node that it
-points to and doubles the distance to its ancestor, until all rows reach the root: for a
-height of h, about log2(h) joins instead of h. In a round only nodes whose level is a multiple
-of the new distance are still needed. The ancestors' side of a join is at most a third of
-the rows in the first round and falls with the distance squared and so on; Spark broadcasts
-it only below its own threshold, and above that it has many keys.
+Proofs come by pointer jumping over the tops of runs, of which there are a ``fan_out ** STRIDE``-th
+of the rows. At first each holds the siblings up to the top of the run that it lies in and points to
+that. A self-join then appends to a node's segment the segment of the node that it points to and
+doubles the distance to its ancestor, until all reach the root: for s strides, about log2(s)
+joins. In a round only nodes whose stride is a multiple of the new distance are still needed.
+One more join gives each lowest run the path of its top; only then do the runs become rows
+again, each with its whole proof, so that proofs of rows are neither shuffled nor written.
 
 Digests are hex text, and a node is the digest of its children's texts, concatenated.
 
@@ -94,68 +95,91 @@ def _parents(nodes: Column, fan_out: int) -> Column:
     return F.transform(runs, lambda k: hashed(F.array_join(F.slice(nodes, k * fan_out + 1, fan_out), "")))
 
 
-def levels(leaves: DataFrame, fan_out: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, roots) from (tree, at, count, node). ``nodes`` (tree, level, at, height, segment)
-    are all but the roots, each with the siblings beside it; ``roots`` are (tree, root)."""
-    width, level = fan_out**STRIDE, 0
-    current = leaves.withColumn("height", _height(F.col("count"), fan_out)).select("tree", "at", "height", "node")
-    nodes, roots = [], [current.where("height = 0")]
-    current = current.where("height > 0")
-    tall = current.agg(F.max("height")).first()[0] or 0
-    while True:
+def _beside(nodes: Column, fan_out: int) -> Column:
+    """For each of an array of consecutive nodes its siblings."""
+
+    def of(_: Column, place: Column) -> Column:
+        begin = place - place % fan_out
+        before = F.slice(nodes, begin + 1, place - begin)
+        after = F.slice(nodes, place + 2, begin + (fan_out - 1) - place)
+        return F.struct(F.array_join(before, "").alias("before"), F.array_join(after, "").alias("after"))
+
+    return F.transform(nodes, of).cast(SEGMENT)
+
+
+def levels(leaves: DataFrame, fan_out: int) -> tuple[list[DataFrame], DataFrame]:
+    """(strides, roots) from (tree, at, count, node, others). A stride has ``STRIDE`` levels and a row
+    for each run of its lowest: tree, run, height, ``rows`` (at, node, in the first stride the others),
+    ``rise`` (its levels below the root), the siblings ``beside`` the nodes of each level, and ``top``,
+    the node that the run becomes. ``roots`` are (tree, root)."""
+    width, level, tall = fan_out**STRIDE, 0, None
+    current = leaves.withColumn("height", _height(F.col("count"), fan_out)).drop("count")
+    strides, roots = [], []
+    while tall is None or level < tall:
         run = F.floor(F.col("at") / width).alias("run")
-        runs = current.groupBy("tree", run, "height").agg(F.sort_array(F.collect_list(F.struct("at", "node"))).alias("pairs"))
-        runs = runs.withColumn("level0", F.transform("pairs", lambda p: p["node"])).drop("pairs")
+        others = [c for c in current.columns if c not in ("tree", "at", "height", "node")]
+        pairs = F.sort_array(F.collect_list(F.struct("at", "node", *others))).alias("rows")
+        runs = current.groupBy("tree", run, "height").agg(pairs).withColumn("level0", F.transform("rows", lambda r: r["node"]))
         for k in range(STRIDE):  # a tree that ends on the way keeps its root
             below = F.col(f"level{k}")
             runs = runs.withColumn(f"level{k + 1}", F.when(F.col("height") > level + k, _parents(below, fan_out)).otherwise(below))
-        runs = materialise(runs)
-        for k in range(STRIDE):
-            own = runs.where(F.col("height") > level + k)
-            each = own.select("tree", "height", "run", F.col(f"level{k}").alias("all"), F.posexplode(f"level{k}").alias("place", "node"))
-            begin = F.col("place") - F.col("place") % fan_out
-            before = F.slice("all", begin + 1, F.col("place") - begin)
-            after = F.slice("all", F.col("place") + 2, begin + (fan_out - 1) - F.col("place"))
-            beside = F.struct(F.array_join(before, "").alias("before"), F.array_join(after, "").alias("after"))
-            at = F.col("run") * fan_out ** (STRIDE - k) + F.col("place")
-            nodes.append(
-                each.select("tree", F.lit(level + k).alias("level"), at.alias("at"), "height", F.array(beside).cast(SEGMENT).alias("segment"))
-            )
+        beside = [_beside(F.col(f"level{k}"), fan_out).alias(f"beside{k}") for k in range(STRIDE)]
+        rise = F.least(F.lit(STRIDE), F.col("height") - level).alias("rise")
+        runs = materialise(runs.select("tree", "run", "height", "rows", rise, *beside, F.element_at(f"level{STRIDE}", 1).alias("top")))
+        if tall is None:
+            tall = runs.agg(F.max("height")).first()[0] or 0
+        strides.append(runs)
         level += STRIDE
-        ended = runs.select("tree", F.col("run").alias("at"), "height", F.element_at(f"level{STRIDE}", 1).alias("node"))
+        ended = runs.select("tree", F.col("run").alias("at"), "height", F.col("top").alias("node"))
         roots.append(ended.where(F.col("height") <= level))
         current = ended.where(F.col("height") > level)
-        if level >= tall:
-            break
-    united = [reduce(DataFrame.unionByName, frames) for frames in (nodes, roots)]
-    return united[0], united[1].select("tree", F.col("node").alias("root"))
-
-
-def paths_to_root(nodes: DataFrame, fan_out: int) -> DataFrame:
-    """(tree, at, segment) of the nodes of level 0: all siblings up to the root, lowest first."""
-    tall = nodes.agg(F.max("height")).first()[0] or 0
-    distance = 1
-    while distance < tall:
-        # Nodes that point ``distance`` up: those that jump now, and those that they point to.
-        lower = nodes.where(F.col("level") % (2 * distance) == 0)
-        upper = nodes.where(F.col("level") % (2 * distance) == distance).select(
-            F.col("tree").alias("up_tree"), F.col("level").alias("up_level"), F.col("at").alias("up_at"), F.col("segment").alias("more")
-        )
-        points_to = (
-            (F.col("tree") == F.col("up_tree"))
-            & (F.col("level") + distance == F.col("up_level"))
-            & (F.floor(F.col("at") / fan_out**distance) == F.col("up_at"))
-        )
-        jumped = lower.join(upper, points_to, "left").select(
-            "tree",
-            "level",
-            "at",
-            "height",
-            F.when(F.col("more").isNull(), F.col("segment")).otherwise(F.concat("segment", "more")).alias("segment"),
-        )
-        distance *= 2
-        nodes = materialise(jumped) if distance < tall else jumped
-    return nodes.where("level = 0").select("tree", "at", "segment")
+    return strides, reduce(DataFrame.unionByName, roots).select("tree", F.col("node").alias("root"))
+
+
+def _each(runs: DataFrame, fan_out: int, *more: Column) -> DataFrame:
+    """The rows of the runs, with tree and ``segment``: the siblings up to the run's top, then ``more``."""
+    fields = runs.schema["rows"].dataType.elementType.names
+
+    def row(r: Column, place: Column) -> Column:
+        path = F.array(*[F.element_at(f"beside{k}", F.floor(place / fan_out**k).cast("int") + 1) for k in range(STRIDE)])
+        segment = F.concat(F.slice(path, F.lit(1), F.col("rise")), *more)
+        return F.struct(*[r[c].alias(c) for c in fields], segment.alias("segment"))
+
+    used = ("run", "height", "rows", "rise", "top", "more", "above", *[f"beside{k}" for k in range(STRIDE)])
+    rest = [c for c in runs.columns if c not in used]
+    return runs.select(*rest, F.explode(F.transform("rows", row)).alias("__row")).select(*rest, "__row.*")
+
+
+def paths_to_root(strides: list[DataFrame], fan_out: int, tops: DataFrame | None = None) -> DataFrame:
+    """(tree, at, node, others, segment) of the leaves that :func:`levels` had: all siblings up to
+    the root, lowest first. ``tops`` (tree, above, more columns) adds its columns and ends the segments."""
+    none = F.array().cast(SEGMENT)
+    runs, steps, distance = strides[0], len(strides) - 1, 1
+    if steps:
+        upper_nodes = [_each(s, fan_out).select("tree", F.lit(k).alias("step"), "at", "segment") for k, s in enumerate(strides[1:])]
+        nodes = reduce(DataFrame.unionByName, upper_nodes)
+        while distance < steps:
+            # Nodes that point ``distance`` strides up: those that jump now, and those that they point to.
+            lower = nodes.where(F.col("step") % (2 * distance) == 0)
+            upper = nodes.where(F.col("step") % (2 * distance) == distance).select(
+                F.col("tree").alias("up_tree"), F.col("step").alias("up_step"), F.col("at").alias("up_at"), F.col("segment").alias("more")
+            )
+            points_to = (
+                (F.col("tree") == F.col("up_tree"))
+                & (F.col("step") + distance == F.col("up_step"))
+                & (F.floor(F.col("at") / fan_out ** (STRIDE * distance)) == F.col("up_at"))
+            )
+            segment = F.concat("segment", F.coalesce("more", none)).alias("segment")
+            jumped = lower.join(upper, points_to, "left").select("tree", "step", "at", segment)
+            distance *= 2
+            nodes = materialise(jumped) if distance < steps else jumped
+        above_runs = nodes.where("step = 0").select("tree", F.col("at").alias("run"), F.col("segment").alias("more"))
+        runs = runs.join(above_runs, ["tree", "run"], "left")
+    else:
+        runs = runs.withColumn("more", none)
+    if tops is None:
+        return _each(runs, fan_out, F.coalesce("more", none))
+    return _each(runs.join(tops, "tree"), fan_out, F.coalesce("more", none), F.coalesce("above", none))
 
 
 def folded(start: Column, segment: Column) -> Column:
@@ -190,24 +214,18 @@ def dataset_proofs(
     # The groups in their order are the leaves of the upper tree, and number the lower ones.
     trees, _ = numbered(counts.withColumn("upper", F.lit(0)), "upper", ["group"])
     trees = materialise(trees.select(F.col("group").alias("of"), "count", F.col("at").alias("tree")))
-    rows = materialise(rows.join(trees, rows["group"].eqNullSafe(trees["of"])).drop("group", "of"))
-    nodes, subroots = levels(rows.select("tree", "at", "count", F.col("leaf").alias("node")), fan_out)
-    subroots = materialise(subroots)
+    rows = rows.join(trees, rows["group"].eqNullSafe(trees["of"]))
+    strides, subroots = levels(rows.select("tree", "at", "count", F.col("leaf").alias("node"), "doc_id", "changed"), fan_out)
     upper = subroots.select(
         F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"), F.lit(trees.count()).alias("count"), F.col("root").alias("node")
     )
-    upper_nodes, top = levels(upper, fan_out)
-    above = paths_to_root(upper_nodes, fan_out).select(F.col("at").alias("tree"), F.col("segment").alias("above"))
-    tops = subroots.withColumnRenamed("root", "subroot").join(above, "tree", "left")
-    tops = tops.withColumn("root", F.lit(next((r["root"] for r in top.collect()), None)))  # one row
-    none = F.array().cast(SEGMENT)
-    return (
-        rows.join(paths_to_root(nodes, fan_out), ["tree", "at"], "left")
-        .join(materialise(tops), "tree")
-        .select(
-            "doc_id", "leaf", "changed", "subroot", "root", F.concat(F.coalesce("segment", none), F.coalesce("above", none)).alias("segment")
-        )
+    upper_strides, top = levels(upper, fan_out)
+    root = F.lit(next((r["root"] for r in top.collect()), None)).alias("root")  # one row
+    above = paths_to_root(upper_strides, fan_out).select(
+        F.col("at").alias("tree"), F.col("node").alias("subroot"), root, F.col("segment").alias("above")
     )
+    paths = paths_to_root(strides, fan_out, materialise(above))
+    return paths.select("doc_id", F.col("node").alias("leaf"), "changed", "subroot", "root", "segment")
 
 
 def tampered(doc_id: Column, columns: Sequence[Column], text: Column) -> Column:

@@ -267,6 +267,24 @@ def test_manifest_like_brute_force(spark, rows, sources):
     assert _sorted(verified_manifest(docs).collect()) == _sorted(_manifest([r.asDict() for r in docs.collect()]))
 
 
+@pytest.mark.parametrize("stride", [1, 2, 5])
+def test_proofs_of_rows_are_not_written(spark, monkeypatch, stride):
+    made = [(i * 7 % 1009, f"line {i}\nend", "en", "a" if i % 7 else None, i) for i in range(900)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    written = []
+
+    def recorded(df):
+        out = materialise(df)
+        written.append(out.count() if "segment" in out.columns else 0)
+        return out
+
+    materialise = merkle_manifest.materialise
+    monkeypatch.setattr(merkle_manifest, "materialise", recorded)
+    monkeypatch.setattr(merkle_manifest, "STRIDE", stride)
+    assert _sorted(verified_manifest(docs).collect()) == _sorted(_manifest([r.asDict() for r in docs.collect()]))
+    assert written and sum(written) < len(made)
+
+
 def test_manifest_of_other_columns_and_fan_out(spark):
     docs = spark.createDataFrame([(i, "b" if i % 2 else "a", str(i)) for i in range(100)], "k long, part string, body string")
     got = dataset_proofs(docs, ("body",), "part", "k", fan_out=2)
